@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from curatorium.plans import q_scoring
+from curatorium.plans import q_scoring, q_text
 
-_GROUPS = (q_scoring,)
+_GROUPS = (q_scoring, q_text)
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 CHECKS = {name: sql for group in _GROUPS for name, sql in group.CHECKS.items()}
