@@ -125,7 +125,29 @@ def _usage(d: Dialect) -> str:
     """
 
 
-ROLES = {"item": _item, "fact": _fact, "users": _users, "edge": _edge, "attempt": _attempt, "usage": _usage}
+def _catalog(d: Dialect) -> str:
+    """Items with spelling variants of one name, so that resolution and merging have work."""
+    k = "p_partkey"
+    return f"""
+    select {k} as item_id,
+      case {k} % 3 when 0 then p_name when 1 then 'Château ' || p_name else p_name || ' 1998' end as name,
+      case when {k} % 17 = 0 then '' when {k} % 5 = 0 then 'Domaine ' || p_brand else p_brand end as maker,
+      case {k} % 4 when 0 then '' when 1 then 'rood' when 2 then 'wit' else 'Rood' end as color,
+      case when {k} % 4 = 1 then null else cast(1990 + {k} % 30 as int) end as year,
+      {k} % 97 = 0 as is_icon,
+      case when {k} % 53 = 0 then 'ultra' end as tier_override,
+      case {k} % 5 when 0 then null when 1 then 'common' when 2 then 'rare' when 3 then 'superrare' else 'ultra' end as tier,
+      case when {k} % 5 <> 0 then 'reason ' || cast({k} % 5 as varchar(5)) end as tier_reason,
+      case when {k} % 3 <> 2 then {k} % 150 end as first_user,
+      case when {k} % 6 <> 0 then 'label ' || cast({k} as varchar(20)) end as label_style,
+      cast(case when {k} % 2 = 0 then 2 else 1 end as int) as label_version,
+      {k} % 29 = 0 and {k} % 6 <> 0 as label_locked,
+      {d.ts_plus_minutes('2023-01-01 00:00:00', f'({k} * 7) % 500')} as created_at
+    from {{part}}
+    """
+
+
+ROLES = {"catalog": _catalog, "item": _item, "fact": _fact, "users": _users, "edge": _edge, "attempt": _attempt, "usage": _usage}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
