@@ -61,3 +61,11 @@ def open_reviews(proposals: DataFrame, done: DataFrame) -> DataFrame:
         .where(F.col("done_at").isNull() | (F.col("done_at") < F.col("proposed_at")))
         .drop("done_at")
     )
+
+
+def both_ends(edges: DataFrame) -> DataFrame:
+    """Every undirected edge (a < b) seen from either end."""
+    return edges.select("*", F.explode(F.array(
+        F.struct(F.col("a").alias("user_id"), F.col("b").alias("friend_id")),
+        F.struct(F.col("b").alias("user_id"), F.col("a").alias("friend_id")))).alias("_e")).select(
+        "_e.user_id", "_e.friend_id", *[c for c in edges.columns if c not in ("a", "b")])

@@ -27,10 +27,15 @@ from curatorium.session import cut_lineage
 
 SEGMENT = "_segment"
 ROW = "_row"
+# the planner limits groups before the shuffle up to this k (spark.sql.optimizer.windowGroupLimitThreshold)
+GROUP_LIMIT = 1000
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[str | Column], k: int, name: str = "position") -> DataFrame:
     """The first k rows of every key with their position, 1..k."""
+    if k > GROUP_LIMIT:
+        plain = [c for c in order if isinstance(c, str)]
+        return position(df, keys, plain, name).where(F.col(name) <= k)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
