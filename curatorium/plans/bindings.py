@@ -183,7 +183,7 @@ def oracle(body: str, *roles: str) -> str:
         text = ROLES[role](DUCK)
         for t in TABLES:
             text = text.replace("{" + t + "}", t)
-        parts.append(f"{role} as ({text})")
+        parts.append(f"{role} as materialized ({text})")
     if not parts:
         return body
     head = ", ".join(parts)

@@ -21,11 +21,16 @@ def packaged(name: str) -> list[dict]:
     return json.loads((FOLDER / f"{name}.json").read_text(encoding="utf-8"))
 
 
+def literal_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table carried in the plan itself: one task, no Python worker, no file."""
+    text = F.lit(json.dumps(rows, ensure_ascii=False))
+    parsed = F.from_json(text, f"array<struct<{schema}>>")
+    return spark.range(0, 1, 1, 1).select(F.explode(parsed).alias("r")).select("r.*")
+
+
 def sets_frame(spark: SparkSession, sets: list[dict]) -> DataFrame:
     """A small catalogue held in memory; `read_sets` takes one from storage."""
-    return spark.createDataFrame(
-        [(json.dumps(s, ensure_ascii=False),) for s in sets], "doc string"
-    ).select(F.from_json("doc", SET_SCHEMA).alias("s")).select("s.*")
+    return literal_frame(spark, sets, SET_SCHEMA)
 
 
 def read_sets(spark: SparkSession, path: str) -> DataFrame:

@@ -43,11 +43,17 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+check_seconds = 0.0
+
+
 def compare(df, con, sql):
     got_cols = df.columns
     got = rows_of(got_cols, [tuple(r) for r in df.collect()])
+    start = time.time()
     rel = con.sql(sql)
     want = rows_of(rel.columns, rel.fetchall())
+    global check_seconds
+    check_seconds = time.time() - start
     problems = []
     if sorted(got_cols) != sorted(rel.columns):
         problems.append(f"columns {sorted(got_cols)} != {sorted(rel.columns)}")
@@ -73,6 +79,7 @@ def main() -> int:
     queries, checks = entry.queries(), entry.oracle_sql()
     for name in names:
         start = time.time()
+        globals()["check_seconds"] = 0.0
         try:
             df = queries[name](spark, sf_dir)
             if name in checks:
@@ -84,7 +91,7 @@ def main() -> int:
             n, problems, tag = -1, [f"{type(e).__name__}: {str(e)[:700]}"], "ERR "
         bad += bool(problems)
         kind = "O" if name in checks else "R"
-        print(f"{tag}{kind} {name:22s} rows={n:7d} {time.time() - start:6.2f}s {' '.join(problems)}", flush=True)
+        print(f"{tag}{kind} {name:22s} rows={n:7d} {time.time() - start:6.2f}s (check {check_seconds:.1f}s) {' '.join(problems)}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
     return bad
 
