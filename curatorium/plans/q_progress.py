@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from curatorium.operators import geo, progress, social
@@ -13,29 +15,54 @@ BASICS = ["ribbon", "star", "stamp"]
 
 
 class _Album:
-    """The frames most progress queries share."""
+    """The frames most progress queries share, built when first asked for."""
 
     def __init__(self, spark, sf_dir):
-        self.d = Data(spark, sf_dir)
-        self.slots = catalogue.slots(catalogue.sets_frame(spark, catalogue.packaged("sets")))
+        self.spark, self.d = spark, Data(spark, sf_dir)
+        self.facts = self.d.fact
         self.items = self.d.item.select(
             "item_id", "name", "maker", "region", "country", "appellation", "grape", "style", F.nullif("color", F.lit("")).alias("color"),
             F.array("tag").alias("tags"))
-        self.facts = self.d.fact
-        self.fills = progress.slot_fill(self.items, self.slots)
-        self.filled = progress.filled_slots(self.facts, self.fills)
-        self.progress = progress.set_progress(self.filled, self.slots)
-        self.visible = progress.visible_sets(self.progress, self.d.users, self.slots)
-        self.rewards = catalogue.literal_frame(
-            spark, catalogue.packaged("rewards"), "id string, metric string, goal bigint, badges array<string>")
-        # which rewards were opened already: by person and place in the list
-        ids = [r["id"] for r in catalogue.packaged("rewards")]
-        self.opened = self.d.users.select("user_id", F.posexplode(F.lit(ids)).alias("i", "reward")).where(
-            "(user_id + i) % 4 = 0").select("user_id", "reward")
 
+    @cached_property
+    def slots(self):
+        return catalogue.slots(catalogue.sets_frame(self.spark, catalogue.packaged("sets")))
+
+    @cached_property
+    def fills(self):
+        return progress.slot_fill(self.items, self.slots)
+
+    @cached_property
+    def filled(self):
+        return progress.filled_slots(self.facts, self.fills)
+
+    @cached_property
+    def progress(self):
+        return progress.set_progress(self.filled, self.slots)
+
+    @cached_property
+    def visible(self):
+        return progress.visible_sets(self.progress, self.d.users, self.slots)
+
+    @cached_property
+    def shared(self):
+        return social.shared_items(self.d.edge, self.facts, self.items)
+
+    @cached_property
     def metrics(self):
-        shared = social.shared_items(self.d.edge, self.facts, self.items)
-        return progress.reward_metrics(self.d.users, self.facts, self.items, self.d.edge, self.visible, shared)
+        return progress.reward_metrics(self.d.users, self.facts, self.items, self.d.edge, self.visible, self.shared)
+
+    @cached_property
+    def rewards(self):
+        return catalogue.literal_frame(
+            self.spark, catalogue.packaged("rewards"), "id string, metric string, goal bigint, badges array<string>")
+
+    @cached_property
+    def opened(self):
+        """Which rewards were opened already: by person and place in the list."""
+        ids = [r["id"] for r in catalogue.packaged("rewards")]
+        return self.d.users.select("user_id", F.posexplode(F.lit(ids)).alias("i", "reward")).where(
+            "(user_id + i) % 4 = 0").select("user_id", "reward")
 
 
 def _long(df, *names):
@@ -71,17 +98,17 @@ def chapters(spark, sf_dir):
 
 
 def reward_metrics(spark, sf_dir):
-    return _Album(spark, sf_dir).metrics()
+    return _Album(spark, sf_dir).metrics
 
 
 def reward_progress(spark, sf_dir):
     a = _Album(spark, sf_dir)
-    return progress.reward_progress(a.metrics(), a.rewards)
+    return progress.reward_progress(a.metrics, a.rewards)
 
 
 def due_rewards(spark, sf_dir):
     a = _Album(spark, sf_dir)
-    return progress.due_rewards(progress.reward_progress(a.metrics(), a.rewards), a.opened)
+    return progress.due_rewards(progress.reward_progress(a.metrics, a.rewards), a.opened)
 
 
 def earned_badges(spark, sf_dir):
@@ -95,8 +122,7 @@ def icon_coverage(spark, sf_dir):
 
 
 def shared_items(spark, sf_dir):
-    a = _Album(spark, sf_dir)
-    return social.shared_items(a.d.edge, a.facts, a.items)
+    return _Album(spark, sf_dir).shared
 
 
 def cosine_counts(spark, sf_dir):
@@ -107,8 +133,7 @@ def cosine_counts(spark, sf_dir):
 
 def taste_match(spark, sf_dir):
     a = _Album(spark, sf_dir)
-    shared = social.shared_items(a.d.edge, a.facts, a.items)
-    return social.taste_match(social.cosine_counts(a.d.edge, social.profiles(a.facts, a.items)), shared)
+    return social.taste_match(social.cosine_counts(a.d.edge, social.profiles(a.facts, a.items)), a.shared)
 
 
 def friend_list(spark, sf_dir):

@@ -18,6 +18,8 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # no Python call-site lookup per column expression: plans here have thousands of them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
