@@ -45,19 +45,27 @@ def daily_quota(actions: DataFrame, limits: DataFrame, zone: str = dates.HOME_ZO
         "status", F.when(_at() <= F.col("cut"), "ok").otherwise("limit")).drop("cut")
 
 
-def cooldown(repeats: DataFrame, cards: DataFrame, zone: str = dates.HOME_ZONE) -> DataFrame:
-    """One repeat per person, item and local day, and none on the day the item was acquired."""
-    day = dates.local_day(F.col("ts"), zone)
-    rows = repeats.withColumn("day", day)
+def _first_repeats(repeats: DataFrame, cards: DataFrame, zone: str) -> DataFrame:
+    """Repeats with their local day, whether the item was theirs (and since an earlier day), and the
+    day's first repeat of that item."""
+    rows = repeats.withColumn("day", dates.local_day(F.col("ts"), zone))
     acquired = cards.groupBy("user_id", "item_id").agg(F.min("ts").alias("acquired"))
     firsts = rows.groupBy("user_id", "item_id", "day").agg(F.min(_at()).alias("first"))
     joined = rows.join(acquired, ["user_id", "item_id"], "left").join(firsts, ["user_id", "item_id", "day"])
     bought = dates.local_day(F.col("acquired"), zone)
-    return joined.withColumn(
+    return joined.withColumns({
+        "owned": F.coalesce(F.col("acquired") <= F.col("ts"), F.lit(False)),
+        "owned_before_today": F.coalesce(F.col("day") > bought, F.lit(False)),
+    }).drop("acquired")
+
+
+def cooldown(repeats: DataFrame, cards: DataFrame, zone: str = dates.HOME_ZONE) -> DataFrame:
+    """One repeat per person, item and local day, and none on the day the item was acquired."""
+    return _first_repeats(repeats, cards, zone).withColumn(
         "status",
-        F.when(F.col("acquired").isNull() | (F.col("acquired") > F.col("ts")), "no_card")
-        .when((F.col("day") > bought) & (_at() == F.col("first")), "bottle").otherwise("cooldown"),
-    ).drop("acquired", "first")
+        F.when(~F.col("owned"), "no_card")
+        .when(F.col("owned_before_today") & (_at() == F.col("first")), "bottle").otherwise("cooldown"),
+    ).drop("first", "owned", "owned_before_today")
 
 
 def admission(attempts: DataFrame, limits: DataFrame, owned: DataFrame | None = None, zone: str = dates.HOME_ZONE) -> DataFrame:
@@ -103,13 +111,19 @@ def repeats(actions: DataFrame, cards: DataFrame, limits: DataFrame, zone: str =
     accepted, and of cards and such candidates together exactly the first `limit` of the day get
     through: as long as fewer came before, all of them were accepted.
     """
-    checked = cooldown(actions, cards, zone)
+    checked = _first_repeats(actions, cards, zone)
     owned = cards.withColumn("day", dates.local_day(F.col("ts"), zone))
-    merged = checked.where("status = 'bottle'").select("user_id", "day", *WHEN).unionByName(owned.select("user_id", "day", *WHEN))
+    candidates = checked.where(F.col("owned") & F.col("owned_before_today") & (_at() == F.col("first")))
+    merged = candidates.select("user_id", "day", *WHEN).unionByName(owned.select("user_id", "day", *WHEN))
     head = first_k(merged, ["user_id", "day"], WHEN, MAX_DAILY_LIMIT)
     cut = _with_limit(head, limits).where("position <= daily_limit").groupBy("user_id", "day").agg(F.max(_at()).alias("cut"))
+    # a refused first repeat does not start the cooldown: the quota is still what stops later ones
+    accepted = F.coalesce(F.col("first") <= F.col("cut"), F.lit(False))
     return checked.join(cut, ["user_id", "day"], "left").withColumn(
-        "status", F.when((F.col("status") == "bottle") & ~(_at() <= F.col("cut")), "limit").otherwise(F.col("status"))).drop("cut")
+        "status",
+        F.when(~F.col("owned"), "no_card").when(~F.col("owned_before_today"), "cooldown").when(~accepted, "limit")
+        .when(_at() == F.col("first"), "bottle").otherwise("cooldown"),
+    ).drop("cut", "first", "owned", "owned_before_today")
 
 
 def capped(calls: DataFrame, limits: DataFrame, month_cap: int = MONTH_CAP, day_cap: int = DAY_CAP, zone: str = dates.HOME_ZONE,

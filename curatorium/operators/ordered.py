@@ -77,7 +77,9 @@ def running(
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, value) in columns.items():
         if kind == "count":
-            local[name] = F.row_number().over(Window.partitionBy(SEGMENT, *keys).orderBy(*order))
+            # without a key the row's place in its sorted segment is the position already
+            local[name] = (F.row_number().over(Window.partitionBy(SEGMENT, *keys).orderBy(*order)) if keys
+                           else F.col(ROW) + 1)
             totals.append(F.count(F.lit(1)).alias(name))
         else:
             combine = F.sum if kind == "sum" else F.max

@@ -55,7 +55,8 @@ def batch_pages(items: DataFrame, size: int = BATCH, parts: int | None = None) -
 
 def album_pages(facts: DataFrame, entry: Column, per_page: int = 9, parts: int | None = None) -> DataFrame:
     """Each person's cards in order of acquisition, nested per page of nine: no page outgrows a row."""
-    numbered = position(facts, ["user_id"], ["created_at", "fact_id"], parts=parts)
+    rows = facts.select("user_id", "created_at", "fact_id", entry.alias("card"))
+    numbered = position(rows, ["user_id"], ["created_at", "fact_id"], parts=parts)
     page = F.floor((F.col("position") - 1) / per_page).cast("long").alias("page")
     return numbered.groupBy("user_id", page).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", entry.alias("card")))), lambda e: e["card"]).alias("cards"))
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "card"))), lambda e: e["card"]).alias("cards"))

@@ -79,20 +79,18 @@ def lookup_two_stage(attempts: DataFrame, items: DataFrame) -> DataFrame:
     # one row per key and colour on the item side, so a hot key on the attempt side is not multiplied
     exact = items.select(natural_key(F.col("maker"), F.col("name")).alias("k"), "item_id", "created_at").groupBy("k").agg(
         F.min_by("item_id", F.struct("created_at", "item_id")).alias("exact_id"))
-    by_color = blocked(items).groupBy("norm_name", "norm_maker", "norm_color").agg(
-        F.min(F.struct("created_at", "item_id")).alias("first"))
-    # colours of a block are few: the map answers "same colour or blank" without a second join
-    block = by_color.groupBy("norm_name", "norm_maker").agg(
-        F.map_from_entries(F.collect_list(F.struct("norm_color", "first"))).alias("by_color"), F.min("first").alias("any"))
+    first = F.min(F.struct("created_at", "item_id"))
+    block = ["norm_name", "norm_maker"]
+    per_color = blocked(items).groupBy(*block, "norm_color").agg(first.alias("same"))
+    per_block = per_color.groupBy(*block).agg(
+        F.min("same").alias("any"), F.min(F.when(F.col("norm_color") == "", F.col("same"))).alias("blank"))
     wanted = with_block(attempts).withColumn("k", natural_key(F.col("maker"), F.col("name")))
-    joined = wanted.join(exact, "k", "left").join(block, ["norm_name", "norm_maker"], "left")
-    same = F.try_element_at("by_color", F.col("norm_color"))
-    blank = F.try_element_at("by_color", F.lit(""))
-    found = F.when(F.col("norm_color") == "", F.col("any")).otherwise(F.least(same, blank))
+    joined = wanted.join(exact, "k", "left").join(per_block, block, "left").join(per_color, [*block, "norm_color"], "left")
+    found = F.when(F.col("norm_color") == "", F.col("any")).otherwise(F.least("same", "blank"))
     return joined.withColumns({
         "item_id": F.coalesce("exact_id", found["item_id"]),
         "stage": F.when(F.col("exact_id").isNotNull(), "exact").when(found.isNotNull(), "norm").otherwise("new"),
-    }).drop("k", "exact_id", "by_color", "any")
+    }).drop("k", "exact_id", "same", "any", "blank")
 
 
 def merge_survivors(items: DataFrame) -> DataFrame:
@@ -164,9 +162,15 @@ def merge_facts(facts: DataFrame, pairs: DataFrame, given_tier: DataFrame | None
     `given_tier` (item_id, given) is the tier the merged item prescribes; without one the
     highest tier wins. Fields that do not merge stay those of the leader's own fact.
     """
-    key = F.coalesce("keep_id", "item_id")
-    moved = facts.join(pairs.withColumnRenamed("drop_id", "item_id"), "item_id", "left").withColumns(
-        {"target_id": key, "turn": F.struct(F.col("keep_id").isNotNull().alias("moved"), "created_at", "fact_id")})
+    leaders_too = pairs.select("keep_id", F.col("keep_id").alias("drop_id")).distinct()
+    target = pairs.unionByName(leaders_too).select(F.col("drop_id").alias("item_id"), F.col("keep_id").alias("target_id"))
+    joined = facts.join(target, "item_id", "left")
+    columns = ["user_id", "item_id", "fact_id", "bottles", "tier", "full_art", "memo", "created_at"]
+    # facts of items outside any merge, nearly all of them, are passed on without a shuffle
+    untouched = joined.where(F.col("target_id").isNull()).withColumn("bottles", F.coalesce("bottles", F.lit(1))).select(*columns)
+    dropped = F.col("item_id") != F.col("target_id")
+    moved = joined.where(F.col("target_id").isNotNull()).withColumns(
+        {"dropped": dropped, "turn": F.struct(dropped.alias("d"), "created_at", "fact_id")})
     out = moved.groupBy("user_id", "target_id").agg(
         F.min_by("fact_id", "turn").alias("fact_id"),
         F.sum(F.coalesce("bottles", F.lit(1))).alias("bottles"),
@@ -174,14 +178,13 @@ def merge_facts(facts: DataFrame, pairs: DataFrame, given_tier: DataFrame | None
         F.bool_or("full_art").alias("full_art"),
         F.min_by("memo", F.when(F.col("memo").isNotNull(), F.col("turn"))).alias("memo"),
         F.min("created_at").alias("created_at"),
-        F.bool_or(F.col("keep_id").isNotNull()).alias("touched"),
+        F.bool_or("dropped").alias("touched"),
     ).withColumnRenamed("target_id", "item_id")
     tier = tier_name(F.col("rank"))
     if given_tier is not None:
         out = out.join(given_tier, "item_id", "left")
         tier = F.when(F.col("touched"), F.coalesce(F.col("given"), tier)).otherwise(tier)
-    return out.withColumn("tier", tier).select(
-        "user_id", "item_id", "fact_id", "bottles", "tier", "full_art", "memo", "created_at")
+    return untouched.unionByName(out.withColumn("tier", tier).select(*columns))
 
 
 def given_tiers(items: DataFrame, pairs: DataFrame) -> DataFrame:

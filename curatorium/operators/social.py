@@ -20,16 +20,18 @@ def shared_items(edges: DataFrame, facts: DataFrame, items: DataFrame) -> DataFr
     Only the smaller of the two collections is expanded per edge and probed in the other, so a
     person with a huge album costs nothing per small friend.
     """
-    keyed = items.select("item_id", natural_key(F.col("maker"), F.col("name")).alias("key"))
-    owned = facts.select("user_id", "item_id").join(keyed, "item_id").groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    # equal keys share one number, so the big shuffles below carry two longs instead of text
+    keys = items.select("item_id", natural_key(F.col("maker"), F.col("name")).alias("key"))
+    keyed = keys.join(keys.groupBy("key").agg(F.min("item_id").alias("same")), "key").select("item_id", "same")
+    owned = facts.select("user_id", "item_id").join(keyed, "item_id").select("user_id", "same").distinct()
     sizes = owned.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
     sized = (
         edges.select("a", "b").join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
         .select("a", "b", F.when(F.col("size_a") <= F.col("size_b"), F.col("a")).otherwise(F.col("b")).alias("small"),
                 F.when(F.col("size_a") <= F.col("size_b"), F.col("b")).otherwise(F.col("a")).alias("large"))
     )
-    probes = sized.join(owned.select(F.col("user_id").alias("small"), "key"), "small")
-    both = probes.join(owned.select(F.col("user_id").alias("large"), "key"), ["large", "key"], "left_semi")
+    probes = sized.join(owned.select(F.col("user_id").alias("small"), "same"), "small")
+    both = probes.join(owned.select(F.col("user_id").alias("large"), "same"), ["large", "same"], "left_semi")
     counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     return edges.select("a", "b").join(counts, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
@@ -102,3 +104,27 @@ def accept_invites(accepts: DataFrame, invites: DataFrame, existing: DataFrame)
 def visible_albums(viewer_edges: DataFrame, albums: DataFrame) -> DataFrame:
     """Album pages per viewer, friends only; anything private was dropped before nesting."""
     return both_ends(viewer_edges).select(F.col("user_id").alias("viewer_id"), F.col("friend_id").alias("user_id")).join(albums, "user_id")
+
+
+def friend_album(requests: DataFrame, edges: DataFrame, users: DataFrame, facts: DataFrame, page_items: DataFrame) -> DataFrame:
+    """Who may see whose album, with the owner's profile and decorated pages; else not_friends.
+
+    The cards themselves come as pages from `ranking.album_pages`; here is one row per request.
+    """
+    allowed = both_ends(edges).select(F.col("user_id").alias("viewer_id"), F.col("friend_id").alias("owner_id"))
+    counts = facts.groupBy(F.col("user_id").alias("owner_id")).agg(F.count(F.lit(1)).alias("cards"))
+    # a person decorates as many pages as there are sets and chapters, whatever they collect
+    pages = page_items.groupBy(F.col("user_id").alias("owner_id")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("page", "items")))).alias("stickers"))
+    profile = users.select(
+        F.col("user_id").alias("owner_id"), display_name(F.col("display_name"), F.col("mail")).alias("name"),
+        F.coalesce("cover_color", F.lit(DEFAULT_COVER)).alias("cover"))
+    full = profile.join(counts, "owner_id", "left").join(pages, "owner_id", "left")
+    seen = requests.join(allowed.withColumn("ok", F.lit(True)), ["viewer_id", "owner_id"], "left").join(full, "owner_id", "left")
+
+    def if_ok(c: Column) -> Column:
+        return F.when(F.col("ok"), c)
+
+    return seen.select(
+        *requests.columns, F.when(F.col("ok"), "ok").otherwise("not_friends").alias("status"), if_ok(F.col("name")).alias("name"),
+        if_ok(F.col("cover")).alias("cover"), if_ok(F.coalesce("cards", F.lit(0))).alias("cards"), if_ok(F.col("stickers")).alias("stickers"))

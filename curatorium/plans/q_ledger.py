@@ -110,9 +110,10 @@ CHECKS = {
     "cooldown_daily": oracle(f"with {_REPEAT} select event_id, status from cool", "attempt"),
     "repeat_ledger": oracle(f"""with {_REPEAT},
       mix as (select user_id, day, ts, event_id from cool where status = 'bottle' union all select user_id, day, ts, event_id from crd_day),
-      num as (select event_id, row_number() over (partition by user_id, day order by ts, event_id) as n from mix)
-      select event_id, case when status = 'bottle' and n > floor((coalesce(daily_limit, 3) + 1) / 2) then 'limit' else status end as status
-      from cool left join num using (event_id) left join users using (user_id)""", "users", "attempt"),
+      num as (select event_id, row_number() over (partition by user_id, day order by ts, event_id) as n from mix),
+      tried as (select c.*, min(case when c.status = 'bottle' then n end) over (partition by c.user_id, item_id, c.day) as first_n from cool c left join num using (event_id))
+      select event_id, case when status <> 'no_card' and first_n > floor((coalesce(daily_limit, 3) + 1) / 2) then 'limit' else status end as status
+      from tried left join users using (user_id)""", "users", "attempt"),
     "admission_ledger": oracle(f"""with recursive lim as (select user_id, case when daily_limit > 2 then 2 else 1 end as cap from users),
       att as (select event_id, ts, user_id, item_id % 25 as item_id, {_DAY} as day from attempt),
       cand as (select user_id, item_id, day, min(ts) as ts, arg_min(event_id, ts) as event_id from att group by 1, 2, 3),

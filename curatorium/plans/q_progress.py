@@ -141,6 +141,15 @@ def friend_list(spark, sf_dir):
     return social.friend_list(d.edge, d.users, d.fact).withColumn("since", F.date_format("since", "yyyy-MM-dd HH:mm:ss"))
 
 
+def friend_album(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    requests = d.attempt.select("event_id", F.col("user_id").alias("viewer_id"), (F.col("user_id") * 7 + F.col("item_id") % 4 + 2).alias("owner_id"))
+    pages = d.attempt.where("event_type = 'click'").groupBy("user_id", (F.col("item_id") % 5).alias("page")).agg(
+        F.count(F.lit(1)).alias("items")).withColumn("page", F.concat(F.lit("set:"), F.col("page").cast("string")))
+    out = social.friend_album(requests, d.edge, d.users, d.fact, pages)
+    return out.drop("viewer_id", "owner_id").withColumn("stickers", F.to_json("stickers"))
+
+
 def canonical_edges(spark, sf_dir):
     d = Data(spark, sf_dir)
     code = F.upper(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8))
@@ -197,7 +206,7 @@ def pin_lookup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     slot_fill, set_progress, set_visible, gap_guide, leftovers, chapters, reward_metrics, reward_progress, due_rewards, earned_badges,
-    icon_coverage, shared_items, cosine_counts, taste_match, friend_list, canonical_edges, point_in_polygon, within_radius,
+    icon_coverage, shared_items, cosine_counts, taste_match, friend_list, friend_album, canonical_edges, point_in_polygon, within_radius,
     bbox_overlap, project_box, thin_sequence, pin_lookup)}
 
 _FILL = f"""{SLOTS_SQL},
@@ -288,6 +297,14 @@ CHECKS = {
       select be.user_id, friend_id, coalesce(nullif(trim(display_name), ''), upper(left(mail, 1)) || substr(split_part(split_part(mail, '@', 1), '.', 1), 2), 'Wijnvriend') as name,
       coalesce(cover_color, 'bordeaux') as cover, (select count(*) from fact where fact.user_id = friend_id) as cards, strftime(be.created_at, '%Y-%m-%d %H:%M:%S') as since
       from be left join users on users.user_id = friend_id""", "fact", "users", "edge"),
+    "friend_album": oracle("""with req as (select event_id, user_id as v, user_id * 7 + item_id % 4 + 2 as o from attempt),
+      pg as (select user_id, 'set:' || item_id % 5 as page, count(*) as n from attempt where event_type = 'click' group by all),
+      st as (select user_id, '{' || string_agg('"' || page || '":' || n, ',' order by page) || '}' as stickers from pg group by 1),
+      fr as (select req.*, exists (select 1 from edge where (a = v and b = o) or (a = o and b = v)) as ok from req)
+      select event_id, case when ok then 'ok' else 'not_friends' end as status,
+      case when ok then coalesce(nullif(trim(display_name), ''), upper(left(mail, 1)) || substr(split_part(split_part(mail, '@', 1), '.', 1), 2), 'Wijnvriend') end as name,
+      case when ok then coalesce(cover_color, 'bordeaux') end as cover, case when ok then (select count(*) from fact where fact.user_id = o) end as cards,
+      case when ok then stickers end as stickers from fr left join users on users.user_id = o left join st on st.user_id = o""", "fact", "users", "edge", "attempt"),
     "canonical_edges": oracle("""with inv as (select user_id as other, upper(substr(md5(cast(user_id as varchar)), 1, 8)) as code from users),
       acc as (select event_id, ts, user_id, case when event_id % 10 = 0 then 'NOPE' else upper(substr(md5(cast(item_id as varchar)), 1, 8)) end as code from attempt where event_type = 'click'),
       j as (select acc.*, other, least(user_id, other) as a, greatest(user_id, other) as b from acc left join inv using (code)),

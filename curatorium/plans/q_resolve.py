@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curatorium.operators import resolve
 from curatorium.plans.bindings import Data, oracle
 from curatorium.plans.q_text import norm_sql
+from curatorium.session import cut_lineage
 
 
 def dup_leader(spark, sf_dir):
@@ -43,7 +44,8 @@ def merge_survivor(spark, sf_dir):
 
 def merge_facts(spark, sf_dir):
     d = Data(spark, sf_dir)
-    pairs = resolve.duplicate_pairs(d.catalog)
+    # the decision is stored once and then applied; recomputing it per use would repeat the matching
+    pairs = cut_lineage(resolve.duplicate_pairs(d.catalog))
     return resolve.merge_facts(d.fact, pairs, resolve.given_tiers(d.catalog, pairs)).withColumn(
         "created_at", F.date_format("created_at", "yyyy-MM-dd"))
 

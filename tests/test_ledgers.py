@@ -97,10 +97,7 @@ def test_repeats(frames, log, limits):
     spark = frames[0].sparkSession
     schema = "event_id long, ts timestamp_ntz, user_id long, item_id long"
     got = statuses(ledger.repeats(spark.createDataFrame(repeats, schema), spark.createDataFrame(cards, schema), frames[1]))
-    # after a day's first try was refused for the limit, later tries that day are refused too; the
-    # ledger names them cooldown, the replay limit
-    relaxed = {e: ("limit" if s == "cooldown" and want[e] == "limit" else s) for e, s in got.items()}
-    assert relaxed == want
+    assert got == want
 
 
 @pytest.mark.parametrize("month_cap", [1, 60, 150, 10_000])
