@@ -220,9 +220,7 @@ def usage_append(spark, sf_dir):
     folder = sinks.shared_folder(spark, "usage-log")
     for half in (0, 1):
         sinks.append_log(d.usage.where(F.col("usage_id") % 2 == half), folder, "created_at")
-    log = spark.read.parquet(folder)
-    return log.groupBy(F.date_format("month", "yyyy-MM").alias("month") if dict(log.dtypes)["month"] == "date"
-                       else F.col("month").cast("string").alias("month"), "kind").agg(
+    return sinks.read_log(spark, folder, d.usage.schema).groupBy("month", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("tokens_in"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from curatorium.operators.facts import upsert_latest
 from curatorium.session import ensure_checkpoint_dir
@@ -26,6 +27,11 @@ def append_log(df: DataFrame, path: str, time_column: str) -> None:
     )
 
 
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The log with its month as text; a filter on `month` prunes folders."""
+    return spark.read.schema(StructType([*schema.fields, StructField("month", StringType())])).parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
