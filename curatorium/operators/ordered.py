@@ -51,20 +51,24 @@ def segments(df: DataFrame, keys: list[str], order: list[str], parts: int | None
     )
 
 
-def _edges(laid: DataFrame) -> DataFrame:
-    """First and last row of every segment: at most two per segment."""
+def _edges(laid: DataFrame, keys: list[str]) -> dict[int, list[tuple]]:
+    """Keys of the first and last row of every segment; one or two small rows per segment."""
     sizes = laid.groupBy(SEGMENT).agg(F.max(ROW).alias("_last"))
     edge = (F.col(ROW) == 0) | (F.col(ROW) == F.col("_last"))
-    return laid.join(F.broadcast(sizes), SEGMENT).where(edge)
+    out: dict[int, list[tuple]] = {}
+    for r in laid.join(F.broadcast(sizes), SEGMENT).where(edge).select(SEGMENT, ROW, *keys).orderBy(SEGMENT, ROW).collect():
+        out.setdefault(r[SEGMENT], []).append(tuple(r[k] for k in keys))
+    return out
 
 
-def _crossing(laid: DataFrame, keys: list[str]) -> DataFrame:
+def _crossing(edges: dict[int, list[tuple]]) -> set[tuple]:
     """(segment, key) pairs of keys that continue over a segment border: at most two per segment."""
-    if not keys:
-        return laid.select(SEGMENT).distinct()
-    both = _edges(laid).select(SEGMENT, *keys).distinct()
-    repeated = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    return both.join(repeated, keys, "left_semi").select(SEGMENT, *keys)
+    out = set()
+    order = sorted(edges)
+    for left, right in zip(order, order[1:]):
+        if edges[left][-1] == edges[right][0]:
+            out |= {(left, *edges[left][-1]), (right, *edges[right][0])}
+    return out
 
 
 def running(
@@ -73,8 +77,8 @@ def running(
     """Add running values up to and including each row; kinds are 'count', 'sum' and 'max'."""
     laid = segments(df, keys, order, parts)
     here = Window.partitionBy(SEGMENT, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local, totals, carried = {}, [], []
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    local, totals, carried = {}, [], []
     for name, (kind, value) in columns.items():
         if kind == "count":
             # without a key the row's place in its sorted segment is the position already
@@ -86,17 +90,25 @@ def running(
             local[name] = combine(value).over(here)
             totals.append(combine(value).alias(name))
         carried.append((F.max if kind == "max" else F.sum)(name).over(earlier).alias("_c_" + name))
-    crossing = _crossing(laid, keys)
-    # at most two rows per segment, so this side is bounded by the partition count
-    summary = laid.join(F.broadcast(crossing), [SEGMENT, *keys], "left_semi").groupBy(SEGMENT, *keys).agg(*totals)
-    carry = summary.select(SEGMENT, *keys, *carried)
-    out = laid.withColumns(local).join(F.broadcast(carry), [SEGMENT, *keys], "left")
-    for name, (kind, _) in columns.items():
-        before = F.col("_c_" + name)
-        if kind == "max":
-            out = out.withColumn(name, F.greatest(F.col(name), before))
-        else:
-            out = out.withColumn(name, F.col(name) + F.coalesce(before, F.lit(0)))
+    out = laid.withColumns(local)
+    pairs = _crossing(_edges(laid, keys))
+    if pairs:
+        # both small sides have at most two rows per segment, so the partition count bounds the broadcast
+        small = ["_k_" + c for c in (SEGMENT, *keys)]
+        crossing = laid.sparkSession.createDataFrame(list(pairs), laid.select(SEGMENT, *keys).schema).toDF(*small)
+        # null-safe, since a missing key is a group of its own
+        same = [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in (SEGMENT, *keys)]
+        summary = laid.join(F.broadcast(crossing), same, "left_semi").groupBy(SEGMENT, *keys).agg(*totals)
+        carry = cut_lineage(summary.select(SEGMENT, *keys, *carried)).withColumnsRenamed(dict(zip((SEGMENT, *keys), small)))
+        out = out.join(F.broadcast(carry), same, "left").drop(*small)
+        for name, (kind, _) in columns.items():
+            before = F.col("_c_" + name)
+            if kind == "max":
+                value = F.greatest(F.col(name), before)
+            else:
+                value = F.when(F.col(name).isNotNull() | before.isNotNull(),
+                               F.coalesce(F.col(name), F.lit(0)) + F.coalesce(before, F.lit(0)))
+            out = out.withColumn(name, value)
     return out.drop(SEGMENT, ROW, *["_c_" + name for name in columns])
 
 
@@ -119,7 +131,7 @@ def fold(
 ) -> DataFrame:
     """Replay each key's rows in order: step(state, inputs) -> (state, outputs).
 
-    The state is a small flat tuple of numbers and strings. Only the states at segment borders
+    The state is a small flat tuple of numbers and strings; keys must not be null. Only the states at segment borders
     pass through the driver, one per segment. Returns keys, order and the output columns.
     """
     given = {"_in_" + name: value for name, value in inputs.items()}
@@ -155,10 +167,8 @@ def fold(
         if last is not None:
             yield pd.DataFrame([(last[0], json.dumps(last[3]))], columns=["segment", "state"])
 
-    # one first and one last row per segment: which key runs over a border, and into which segment
-    edges: dict[int, list] = {}
-    for r in _edges(laid).select(SEGMENT, ROW, *keys).orderBy(SEGMENT, ROW).collect():
-        edges.setdefault(r[SEGMENT], []).append(tuple(r[k] for k in keys))
+    # which key runs over a border, and into which segment
+    edges = _edges(laid, keys)
     order_of = sorted(edges)
     into = {b: a for a, b in zip(order_of, order_of[1:]) if edges[a][-1] == edges[b][0]}
     whole = {s for s in order_of if edges[s][0] == edges[s][-1]}

@@ -41,6 +41,19 @@ def test_position_without_key(spark):
     assert got == list(range(1, len(rows) + 1))
 
 
+def test_missing_keys_form_a_group(spark):
+    df = spark.range(300).selectExpr("if(id % 3 = 0, null, 5) as k", "id as t", "if(id < 250, null, 1) as v")
+    got = {r.t: (r.k, r.n, r.s) for r in ordered.running(
+        df, ["k"], ["t"], {"n": ("count", None), "s": ("sum", F.col("v"))}, parts=8).collect()}
+    count, total = {None: 0, 5: 0}, {None: None, 5: None}
+    for t in range(300):
+        k = None if t % 3 == 0 else 5
+        count[k] += 1
+        if t >= 250:
+            total[k] = (total[k] or 0) + 1
+        assert got[t] == (k, count[k], total[k])
+
+
 def test_first_k_above_the_group_limit(spark):
     df = spark.range(3000).select((F.col("id") * 0).alias("k"), F.col("id").alias("t"))
     assert ordered.first_k(df, ["k"], ["t"], 1500).count() == 1500
