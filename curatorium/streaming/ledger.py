@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from curatorium.functions.dates import HOME_ZONE
+from curatorium.functions.dates import HOME_ZONE, local_day
 from curatorium.operators.ledger import DEFAULT_DAILY_LIMIT
 
 OUTPUT = "user_id long, event_id long, status string"
@@ -19,9 +18,6 @@ OUTPUT = "user_id long, event_id long, status string"
 class Admission(StatefulProcessor):
     """new, duplicate or limit per attempt; state is today's count and the owned items."""
 
-    def __init__(self, zone: str = HOME_ZONE):
-        self.zone = zone
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.today = handle.getValueState("today", StructType([StructField("day", StringType()), StructField("used", LongType())]))
         self.owned = handle.getMapState(
@@ -30,12 +26,9 @@ class Admission(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         # a micro-batch is bounded by the source's trigger options, so its rows of one person are too
         batch = pd.concat(rows).sort_values(["ts", "event_id"])
-        stamps = batch["ts"]
-        stamps = stamps.dt.tz_localize("UTC") if stamps.dt.tz is None else stamps
-        days = stamps.dt.tz_convert(ZoneInfo(self.zone)).dt.strftime("%Y-%m-%d")
         day, used = self.today.get() if self.today.exists() else ("", 0)
         out = []
-        for event, item, limit, now in zip(batch["event_id"], batch["item_id"], batch["daily_limit"], days):
+        for event, item, limit, now in zip(batch["event_id"], batch["item_id"], batch["daily_limit"], batch["day"]):
             if now != day:
                 day, used = now, 0
             if self.owned.containsKey((int(item),)):
@@ -53,9 +46,10 @@ class Admission(StatefulProcessor):
         pass
 
 
-def admission(attempts: DataFrame, limits: DataFrame) -> DataFrame:
+def admission(attempts: DataFrame, limits: DataFrame, zone: str = HOME_ZONE) -> DataFrame:
     """Streaming attempts (user_id, item_id, event_id, ts) joined with static limits."""
     limited = attempts.join(limits.select("user_id", "daily_limit"), "user_id", "left").select(
-        "user_id", "item_id", "event_id", "ts", F.coalesce("daily_limit", F.lit(DEFAULT_DAILY_LIMIT)).alias("daily_limit"))
+        "user_id", "item_id", "event_id", "ts", local_day(F.col("ts"), zone).cast("string").alias("day"),
+        F.coalesce("daily_limit", F.lit(DEFAULT_DAILY_LIMIT)).alias("daily_limit"))
     return limited.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=Admission(), outputStructType=OUTPUT, outputMode="append", timeMode="none")
