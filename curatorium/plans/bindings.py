@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF_YEAR = 2024
 AS_OF = "2024-01-31 00:00:00"   # the events end on 30 January 2024
-FACTS_AS_OF = "2001-08-02 00:00:00"
 
 
 class Dialect:

@@ -17,11 +17,6 @@ def daily_quota(spark, sf_dir):
     return ledger.daily_quota(log, d.users).select("event_id", "status")
 
 
-def _cards(d: Data):
-    return d.attempt.where("event_type in ('signup', 'view')").groupBy("user_id", "item_id").agg(
-        F.min_by(F.struct("ts", "event_id"), F.struct("ts", "event_id")).alias("f")).select("user_id", "item_id", "f.ts", "f.event_id")
-
-
 def _repeats(d: Data):
     return d.attempt.where("event_type in ('purchase', 'click', 'error')").withColumn("item_id", F.col("item_id") % 10).select(*_LOG)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curatorium.operators import geo, progress, social
 from curatorium.plans.bindings import Data, oracle
-from curatorium.plans.q_text import ICON_SQL, SLOTS_SQL
+from curatorium.plans.q_text import SLOTS_SQL
 from curatorium.sources import catalogue
 
 BASICS = ["ribbon", "star", "stamp"]

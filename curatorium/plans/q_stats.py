@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatorium.functions import dates
 from curatorium.functions.text import blank_to_null
-from curatorium.operators import facts as fact_ops, kpi, ledger, ranking
-from curatorium.plans.bindings import AS_OF, FACTS_AS_OF, Data, oracle
+from curatorium.operators import facts as fact_ops, kpi, ranking
+from curatorium.plans.bindings import AS_OF, Data, oracle
 
 
 def join_inner(spark, sf_dir):
