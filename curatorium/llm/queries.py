@@ -23,6 +23,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.grades(table(spark, sf_dir, "labels")))
+    return quality.judged(docs, model).drop("text")
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm import langid
+
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identified(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatorium.llm.bpe import encoded
 
@@ -38,5 +55,5 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_bpe, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op9_minhash)}
 CHECKS: dict[str, str] = {}
