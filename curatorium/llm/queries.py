@@ -48,6 +48,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.lines import without_boilerplate
+
+    found = without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"),
+                        F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.mixing import mixed
+
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.urls import judged
+
+    return judged(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatorium.llm.minhash import with_next
 
@@ -55,5 +76,5 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op7_lines, op8_mixing, op9_minhash, op10_urls)}
 CHECKS: dict[str, str] = {}
