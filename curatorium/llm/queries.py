@@ -48,6 +48,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm import warc
+    from curatorium.sources.sinks import shared_folder
+
+    folder = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.captures(warc.read(spark, folder))
+    return found.select(
+        F.col("metadata.page_id").cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest",
+        F.col("response.type").alias("record_type"), F.col("refers_to.page_id").cast("long").alias("refers_to"))
+
+
+def op6_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.voronoi import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatorium.llm.lines import without_boilerplate
 
@@ -76,5 +95,78 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op7_lines, op8_mixing, op9_minhash, op10_urls)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls)}
+_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+
+CHECKS = {
+    "op5_warc": """
+with d as (
+    select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x, strlen(coalesce(html, '')) as n from pages),
+f as (select *, min(page_id) over (partition by x, n) as first from d)
+select page_id, n as payload_bytes,
+    (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::int >> (15 - 5 * (i % 4))) & 31), 1), '' order by i) from range(32) r(i)) as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id <> first then first end as refers_to
+from f""",
+    "op6_voronoi": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
+    where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0),
+s as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op7_lines": """
+with l as (
+    select doc_id, source, i, ls[i] as line, trim(ls[i], ' ') as t
+    from (select doc_id, source, string_split(text, chr(10)) as ls from documents) d, unnest(range(1, len(ls) + 1)) u(i)),
+bad as (select t from l where t <> '' group by t having count(distinct coalesce('s' || source, 'none')) >= 8),
+k as (
+    select doc_id, string_agg(line, chr(10) order by i) filter (where bad.t is null) as rest, count(bad.t) as n
+    from l left join bad using (t) group by doc_id),
+c as (
+    select d.doc_id, d.text, coalesce(len(string_split(d.text, chr(10))), 0) as n_lines, coalesce(k.rest, '') as rest,
+        coalesce(k.n, 0) > 0 and length(coalesce(k.rest, '')) >= 0.5 * length(d.text) as cut, k.n
+    from documents d left join k using (doc_id))
+select doc_id, n_lines::int as n_lines, (case when cut then n else 0 end)::int as n_removed,
+    length(case when cut then rest else text end) as n_chars_kept, sha256(case when cut then rest else text end) as text_sha256
+from c""",
+    "op8_mixing": f"""
+with d as (select doc_id, source, {_WORDS} as size from documents),
+s as (
+    select source, sum(size)::bigint as source_size,
+        [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from d group by source),
+o as (select *, 3.0::double * source_size / weight as full_at from s),
+p as (
+    select *, coalesce(sum(3 * source_size) over w, 0) as before, sum(weight) over (order by full_at desc, source desc
+        rows between unbounded preceding and current row) as rest, sum(source_size) over () as total
+    from o window w as (order by full_at, source rows between unbounded preceding and 1 preceding)),
+level as (select min((total - before)::double / rest) as share from p where (total - before)::double / rest < full_at),
+t as (
+    select source, source_size, case when weight * share >= 3 * source_size then (3 * source_size)::double else weight * share end as target
+    from s, level),
+q as (
+    select d.*, t.source_size, t.target, md5('0|' || coalesce(doc_id::varchar, '')) as deal, sum(size) over (
+        partition by d.source order by md5('0|' || coalesce(doc_id::varchar, '')), doc_id rows unbounded preceding) as upto
+    from d join t on d.source is not distinct from t.source),
+c as (select *, (upto + source_size * k)::double / target as finish from q, range(3) r(k) where size > 0),
+m as (select *, sum(size) over (order by finish, source nulls last, deal, doc_id rows unbounded preceding) as upto_all from c)
+select q.doc_id, q.size, q.source_size, q.target, q.size * count(m.k) as taken
+from q left join m on m.doc_id = q.doc_id and m.upto_all <= (select sum(size) from d)
+group by q.doc_id, q.size, q.source_size, q.target""",
+    # no page of the given tables names a canonical address or a refresh, so no component has more than one address
+    "op10_urls": """
+with u as (
+    select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+p as (
+    select page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) as path from u),
+rules(h, b, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best as (
+    select page_id, arg_max(h || b, length(h || b)) as rule, arg_max(v, length(h || b)) as verdict
+    from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, b) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join best using (page_id)""",
+}
