@@ -143,7 +143,7 @@ p as (
     select *, coalesce(sum(3 * source_size) over w, 0) as before, sum(weight) over (order by full_at desc, source desc
         rows between unbounded preceding and current row) as rest, sum(source_size) over () as total
     from o window w as (order by full_at, source rows between unbounded preceding and 1 preceding)),
-level as (select min((total - before)::double / rest) as share from p where (total - before)::double / rest < full_at),
+level as (select arg_min((total - before)::double / rest, before) as share from p where (total - before)::double / rest < full_at),
 t as (
     select source, source_size, case when weight * share >= 3 * source_size then (3 * source_size)::double else weight * share end as target
     from s, level),
