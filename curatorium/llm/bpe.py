@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 LONG = 50_000  # characters; longer texts are cut
 # a cut lies between a character and white space: letters, digits and signs end there, and white space looks only ahead
@@ -56,14 +57,13 @@ def encode(tokens: tiktoken.Encoding, text: str, size: int = LONG) -> list[int]:
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """All columns of `docs` and n_tokens; with `ids` the ids and whether their decoded bytes are the text's; with `digests` the
     SHA-256 of the ids in decimal, joined by one space, and of the decoded bytes. Columns of those names are replaced."""
-    added = {"n_tokens": "long"}
+    added = {"n_tokens": LongType()}
     if ids:
-        added |= {"ids": "array<int>", "round_trip": "boolean"}
+        added |= {"ids": ArrayType(IntegerType()), "round_trip": BooleanType()}
     if digests:
-        added |= {"ids_sha256": "string", "decoded_sha256": "string"}
+        added |= {"ids_sha256": StringType(), "decoded_sha256": StringType()}
     docs = docs.drop(*added)
-    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    schema = ", ".join([*fields, *[f"{name} {kind}" for name, kind in added.items()]])
+    schema = StructType([*docs.schema.fields, *[StructField(name, kind) for name, kind in added.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, decimal = encoding(path, pattern), _decimals(path, pattern)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from curatorium.llm import words
+from curatorium.llm.store import packed, unpacked
 from curatorium.operators.bounded import small_or_shuffled
 
 BUCKETS, LONGEST = 1 << 14, 3
@@ -107,7 +108,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
-        return docs.select("*", nothing.alias("_found")).select(*docs.columns, "_found.*")
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
 
     @F.pandas_udf(kind)
     def run(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -118,7 +119,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": np.where(given, 0.0, score)})
 
     # a text without letters is not sent to Python
-    found = docs.withColumn("_letters", has_letter(F.col("text"))).withColumn(
-        "_found", run(F.when(F.col("_letters"), F.col("text"))))
+    found = packed(docs).withColumn("_letters", has_letter(F.col("_row.text"))).withColumn(
+        "_found", run(F.when(F.col("_letters"), F.col("_row.text"))))
     found = found.withColumn("_found", F.when(F.col("_letters"), F.col("_found")).otherwise(nothing))
-    return found.select(*docs.columns, "_found.lang_pred", "_found.score")
+    return found.select(*unpacked(docs), "_found.lang_pred", "_found.score")

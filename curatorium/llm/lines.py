@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from curatorium.llm.store import keep
+from curatorium.llm.store import keep, packed, unpacked
 
 MIN_SITES, MOST = 8, 0.5
 LOG_REGISTERS = 10  # standard error about 3 %; sketches of a few sites are exact
@@ -26,7 +26,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), F.trim)
+    return F.transform(F.split(text, "\n"), lambda line: F.trim(line))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
@@ -55,13 +55,14 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float
     placed = docs.select(F.col(key).alias("_key"), same.alias("_same"), F.posexplode(_lines(F.col(text))).alias("_at", "_line")).select(
         "_key", "_same", "_at", _line_hash(F.col("_line")).alias("_x")).select("_key", "_same", "_at", "_x.*")
     hits = placed.join(bad, ["h", "g"], "left_semi").groupBy("_key", "_same").agg(F.collect_set("_at").alias("_bad"))
-    joined = docs.withColumn("_of", same).join(
-        hits, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_same")), "left")
-    parts = F.split(F.col(text), "\n")
+    body = F.col(f"_row.`{text}`")
+    joined = packed(docs).withColumn("_of", F.xxhash64(body)).join(
+        hits, F.col(f"_row.`{key}`").eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_same")), "left")
+    parts = F.split(body, "\n")
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_bad", i)), "\n")
     cleaned = joined.withColumn("_rest", F.when(F.col("_bad").isNotNull(), rest)).withColumn(
-        "_cut", F.col("_rest").isNotNull() & (F.length("_rest") >= F.length(text) * (1 - most)))
+        "_cut", F.col("_rest").isNotNull() & (F.length("_rest") >= F.length(body) * (1 - most)))
     return cleaned.select(
-        *[F.when(F.col("_cut"), F.col("_rest")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
+        *unpacked(docs, {text: F.when(F.col("_cut"), F.col("_rest")).otherwise(body)}),
+        F.when(body.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
         F.when(F.col("_cut"), F.size("_bad")).otherwise(0).alias("n_removed"))

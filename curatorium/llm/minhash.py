@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import BinaryType
 
 from curatorium.llm import words
 from curatorium.llm.store import keep, parts_for

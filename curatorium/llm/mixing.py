@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from curatorium.llm.store import keep, parts_for
+from curatorium.llm.store import keep, packed, parts_for, unpacked
 from curatorium.operators.ordered import position, running
 
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, none that isn't."""
     found = mixed(docs, **options).where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
-    sized = docs.withColumn("_own", word_count(F.col("text")))
-    joined = sized.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-                        & (F.col("_own") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    row = packed(docs).withColumn("_own", word_count(F.col("_row.text")))
+    joined = row.join(found, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source"))
+                      & (F.col("_own") == F.col("_size")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*unpacked(docs))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from curatorium.llm import words
-from curatorium.llm.store import keep
+from curatorium.llm.store import keep, packed, unpacked
 
 BITS, GRADES = 22, 3
 SAMPLE, MAX_FEATURES, MIN_TEXTS = 12_000, 8192, 8
@@ -223,6 +223,5 @@ def judged(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFram
             out[a:b] = np.stack([tails.sum(1), tails[:, -1]], 1)
         return pd.DataFrame(out, columns=["expected_grade", "p_clean"])
 
-    found = docs.withColumn("_judged", run(F.col("text")))
-    return found.select(*docs.columns, "_judged.expected_grade", "_judged.p_clean").withColumn(
-        "accepted", F.col("p_clean") >= least)
+    found = packed(docs).withColumn("_judged", run(F.col("_row.text")))
+    return found.select(*unpacked(docs), "_judged.expected_grade", "_judged.p_clean", (F.col("_judged.p_clean") >= least).alias("accepted"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from curatorium.sources.sinks import shared_folder
 
@@ -17,3 +17,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def parts_for(df: DataFrame, rows: int, rows_per_part: int = 200_000) -> int:
     """Partitions by the number of rows, and at least as many as the session shuffles into."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_part))
+
+
+def packed(df: DataFrame, row: str = "_row") -> DataFrame:
+    """All columns as one struct, so that columns added for the work can't clash with them; `unpacked` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
+
+
+def unpacked(like: DataFrame, replaced: dict | None = None, row: str = "_row") -> list:
+    """The columns of `like` out of the struct, some of them replaced."""
+    return [(replaced or {}).get(c, F.col(f"{row}.`{c}`")).alias(c) for c in like.columns]

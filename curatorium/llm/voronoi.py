@@ -12,7 +12,7 @@ products; the best k of all blocks are merged. No bound is a guess: every row th
 
 Vectors that are null or empty, or hold null, NaN or infinite components, and rows without vec_id take no part; only vectors of the same number of components are
 compared. Each component x becomes floor(scale * x) as an integer; scores are exact as long as they fit in 63 bits. Ties go to the
-smaller vec_id; repeated ids are rows of their own, and a query never meets a row of its own id.
+smaller vec_id; repeated ids are rows and queries of their own, and a query never meets a row of its own id.
 """
 
 from __future__ import annotations
@@ -96,13 +96,13 @@ def _search(data: DataFrame, queries: DataFrame, dim: int, k: int, pivots: int,
                 sure = np.concatenate([sure, np.full((len(rows), 1), np.inf)], 1)
                 # the k-th besides the rows of the query's own id
                 limit = sure[np.arange(len(rows)), np.minimum(k - 1 + rows["same"], sure.shape[1] - 1)] + slip
-                yield pd.DataFrame({"vec_id": rows["vec_id"], "v": rows["v"], "near": to.argmin(1).astype(np.int32),
+                yield pd.DataFrame({"q": rows["q"], "vec_id": rows["vec_id"], "v": rows["v"], "near": to.argmin(1).astype(np.int32),
                                     "low": list(np.maximum(to - limit[:, None] - slip, 0)), "high": list(to + limit[:, None] + slip)})
 
     repeated = data.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same")).where("same > 1")
-    asked = queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("same", F.lit(1)).alias("same"))
+    asked = queries.join(repeated, "vec_id", "left").select("q", "vec_id", "v", F.coalesce("same", F.lit(1)).alias("same"))
     asked = keep(asked.mapInPandas(
-        bound, "vec_id long, v binary, near int, low array<double>, high array<double>"), "bounds")
+        bound, "q long, vec_id long, v binary, near int, low array<double>, high array<double>"), "bounds")
     sizes = {r["near"]: r["count"] for r in asked.groupBy("near").count().collect()}
     group_of = _groups(sizes, _distances(marks, mark_extra, marks, mark_extra), group_queries)
     groups = spark.createDataFrame([(int(c), int(g)) for c, g in group_of.items()], "near int, group int")
@@ -119,33 +119,33 @@ def _search(data: DataFrame, queries: DataFrame, dim: int, k: int, pivots: int,
     deal = lambda c: F.pmod(F.xxhash64("vec_id", "v"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     right = needs.join(F.broadcast(shape), "group").select("group", every("slices").alias("slice"), deal("blocks").alias("block"),
-                                                           F.lit(1).alias("kind"), "vec_id", "v")
-    left = asked.join(F.broadcast(shape), "group").select("group", deal("slices").alias("slice"), every("blocks").alias("block"),
-                                                          F.lit(0).alias("kind"), "vec_id", "v")
+                                                           F.lit(None).cast("long").alias("q"), "vec_id", "v")
+    left = asked.join(F.broadcast(shape), "group").select("group", F.pmod(F.xxhash64("q"), "slices").cast("int").alias("slice"),
+                                                          every("blocks").alias("block"), "q", "vec_id", "v")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
-        ask, have = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+        ask, have = rows[rows["q"].notna()], rows[rows["q"].isna()]
         out = []
         if len(ask) and len(have):
             ids, data_v, own = have["vec_id"].to_numpy(), _stack(have["v"]), ask["vec_id"].to_numpy()
-            ask_v = _stack(ask["v"])
+            ask_v, row = _stack(ask["v"]), ask["q"].to_numpy(np.int64)
             for at in range(0, len(ask), 256):
                 score = _products(ask_v[at : at + 256], data_v)
                 other = ids[None, :] != own[at : at + 256, None]
-                for query, values, mine in zip(own[at : at + 256], score, other):
+                for q, query, values, mine in zip(row[at : at + 256], own[at : at + 256], score, other):
                     allowed = np.flatnonzero(mine)
                     if len(allowed) > k:
                         least = -np.partition(-values[allowed], k - 1)[k - 1]
                         allowed = allowed[values[allowed] >= least]
                     # rows are in order of their ids, so a stable sort breaks ties as wanted
                     best = allowed[np.argsort(-values[allowed], kind="stable")][:k]
-                    out.append((np.full(len(best), query), ids[best], values[best]))
+                    out.append((np.full(len(best), q), np.full(len(best), query), ids[best], values[best]))
         if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+            return pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        return pd.DataFrame(dict(zip(("q", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
-    return left.union(right).groupBy("group", "slice", "block").applyInPandas(solve, "query_id long, vec_id long, score long")
+    return left.union(right).groupBy("group", "slice", "block").applyInPandas(solve, "q long, query_id long, vec_id long, score long")
 
 
 def _groups(sizes: dict[int, int], apart: np.ndarray, most: int) -> dict[int, int]:
@@ -165,13 +165,14 @@ def _groups(sizes: dict[int, int], apart: np.ndarray, most: int) -> dict[int, in
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, pivots: int = PIVOTS,
           group_queries: int = GROUP_QUERIES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k best rows of `vectors`, both with vec_id and embedding."""
-    data, asked = keep(integers(vectors, scale), "vectors"), keep(integers(queries, scale), "queries")
+    data, asked = keep(integers(vectors, scale), "vectors"), keep(
+        integers(queries, scale).withColumn("q", F.monotonically_increasing_id()), "queries")
     # one search per number of components that queries have
     dims = [r["dim"] for r in asked.select("dim").distinct().join(data.select("dim").distinct(), "dim").orderBy("dim").collect()]
     parts = [_search(data.where(F.col("dim") == d), asked.where(F.col("dim") == d), d, k, pivots, group_queries, block) for d in dims]
-    none = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    none = vectors.sparkSession.createDataFrame([], "q long, query_id long, vec_id long, score long")
     found = none
     for part in parts:
         found = found.union(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

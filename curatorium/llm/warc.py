@@ -7,8 +7,8 @@ null URL leaves out the target. Rows that repeat page_id, URL and payload are ca
 them can be the response. Null page_ids come last among equal payloads.
 
 Archives are Spark text output whose line separator is the blank line that ends a record, in gzip files, so tasks can be repeated
-and any file system serves. They are read record by record, at the next record's first line; a payload that holds just
-that line is sent chunked, cut inside it. A record that was split anyway, in an archive from elsewhere, is an error, not a loss.
+and any file system serves. They are read record by record, at the next record's version line; a payload that holds
+such a line is sent chunked, cut inside it. A record that was split anyway, in an archive from elsewhere, is an error, not a loss.
 """
 
 from __future__ import annotations
@@ -77,11 +77,10 @@ def _header(name: str, value: Column) -> Column:
 
 
 def _chunked(payload: Column) -> Column:
-    """The payload in HTTP chunks that end inside every line that could be taken for a record's first."""
-    a, b = _NEXT[:7], _NEXT[7:]
-    parts = F.split(payload, F.lit("\\Q" + _NEXT + "\\E"))
+    """The payload in HTTP chunks, none of which holds a whole version line."""
+    parts = F.split(payload, F.lit("\\Q" + _VERSION + "\\E"))
     whole = F.transform(parts, lambda p, i: F.concat(
-        F.when(i > 0, b).otherwise(""), p, F.when(i < F.size(parts) - 1, a).otherwise("")))
+        F.when(i > 0, _VERSION[4:]).otherwise(""), p, F.when(i < F.size(parts) - 1, _VERSION[:4]).otherwise("")))
     chunks = F.filter(whole, lambda p: p != "")
     return F.concat(F.array_join(F.transform(chunks, lambda p: F.concat(
         F.lower(F.hex(F.octet_length(p))), F.lit("\r\n"), p, F.lit("\r\n"))), ""), F.lit("0\r\n\r\n"))
@@ -100,7 +99,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_rows: int = 30
         "revisit": ~(F.col("is_first") & ((F.col("copy") == 1) | (F.col("length") < min_bytes))),
         "target": _header("WARC-Target-URI", _one_line(F.col("url"))),
         "digest": F.concat(F.lit("WARC-Payload-Digest: sha1:"), _base32(F.col("sha")), F.lit("\r\n")),
-        "nested": F.contains("html", F.lit(_NEXT)),
+        "nested": F.contains("html", F.lit(_VERSION)),
     })
     ids = {n: _uuid(F.lit(n), text("page_id"), text("url"), F.col("sha"), F.col("copy").cast("string"))
            for n in ("request", "response", "metadata")}
@@ -112,7 +111,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_rows: int = 30
     rows = rows.withColumns({
         "answer": F.when(F.col("revisit"), status).when(F.col("nested"), F.concat(status, _chunked(F.col("html")))).otherwise(
             F.concat(status, F.col("html"))),
-        "ask": F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")), F.lit(_END)),
+        "ask": F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), F.coalesce(_one_line(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit("")), F.lit(_END)),
         "about": F.concat(F.lit("page-id: "), text("page_id"), F.lit("\r\n")),
     })
     to = _header("WARC-Concurrent-To", F.col("response_id"))
