@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _VERSION, _END = "WARC/1.1\r\n", "\r\n\r\n"
-_NEXT = _END + _VERSION
 DATE = "2024-01-01T00:00:00Z"
 _ID_HEADER = "WARC-Record-ID"
 
@@ -142,7 +141,7 @@ def _unchunked(body: bytes) -> bytes:
 
 
 def parse(record: bytes) -> dict:
-    """Fields of one record, from its first line on; it may end with the blank line that separates records."""
+    """Fields of one record without its version line; it may end with the blank line that separates records."""
     head, _, rest = record.partition(b"\r\n\r\n")
     headers = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in head.decode("utf-8", "replace").split("\r\n"))}
     size = int(headers.get("content-length", -1))
@@ -180,10 +179,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             ("payload", pa.binary()), ("digest_holds", pa.bool_())])
         for whole in batches:
             for part in slices(whole, "value"):
-                yield pa.RecordBatch.from_pylist([parse(r.removeprefix(_VERSION.encode())) for r in part.column(0).to_pylist()], schema)
+                yield pa.RecordBatch.from_pylist([parse(r) for r in part.column(0).to_pylist()], schema)
 
-    lines = spark.read.option("lineSep", _NEXT).text(folder).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(run, _FLAT)
+    # a separator whose first byte it holds only once: readers may miss one that overlaps itself at the end of a buffer
+    records = spark.read.option("lineSep", _VERSION).text(folder).where("value <> ''").select(F.col("value").cast("binary").alias("value"))
+    return records.mapInArrow(run, _FLAT)
 
 
 def captures(records: DataFrame) -> DataFrame:
