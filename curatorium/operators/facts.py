@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curatorium.operators.bounded import small_or_shuffled
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key, the last by `order`. max_by combines map-side, so no key is ever gathered."""
@@ -17,7 +19,12 @@ def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFra
 
 
 def upsert_latest(base: DataFrame, delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return latest(base.unionByName(delta), keys, order)
+    """The base, one row per key, after the delta's last writes. Only keys of the delta are grouped; the rest of the base is
+    passed on, and isn't shuffled either while the delta's keys are few enough to be broadcast. Keys aren't null."""
+    touched = small_or_shuffled(delta.select(*keys).distinct())
+    old = base.join(touched, keys, "left_semi")
+    rest = base.join(touched, keys, "left_anti").select(*base.columns)
+    return rest.unionByName(latest(old.select(*base.columns).unionByName(delta), keys, order))
 
 
 def upsert_counter(base: DataFrame, delta: DataFrame, keys: list[str], counter: str) -> DataFrame:

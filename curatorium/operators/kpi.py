@@ -132,5 +132,8 @@ def rolling_active(events: DataFrame, days: int, name: str) -> DataFrame:
     change = stretch.select(F.explode(F.array(
         F.struct(F.col("day").alias("day"), F.lit(1).alias("d")), F.struct(F.col("end").alias("day"), F.lit(-1).alias("d"))
     )).alias("c")).groupBy("c.day").agg(F.sum("c.d").alias("d"))
-    # one row per calendar day from here on
-    return change.select("day", F.sum("d").over(Window.orderBy("day")).alias(name))
+    # one row per calendar day from here on, from the log's first day to its last
+    ends = events.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b")).where("a is not null")
+    spine = ends.select(F.explode(F.sequence("a", "b")).alias("day"))
+    running = F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("day"))
+    return spine.join(change, "day", "left").select("day", running.alias(name))

@@ -15,7 +15,6 @@ from curatorium.session import cut_lineage
 
 # ---- fixed values: limits ----
 DEFAULT_DAILY_LIMIT = 3
-MAX_DAILY_LIMIT = 500
 DAY_CAP, MONTH_CAP = 15, 20_000
 CAP_PER_LIMIT = 5
 ULTRA_AFTER, SUPERRARE_AFTER = 99, 24
@@ -35,11 +34,16 @@ def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
         "daily_limit", F.coalesce("daily_limit", F.lit(DEFAULT_DAILY_LIMIT)))
 
 
+def _widest(limits: DataFrame) -> int:
+    """The highest limit given: more rows of a person and day than that can't matter."""
+    return max(limits.agg(F.max("daily_limit")).first()[0] or 0, DEFAULT_DAILY_LIMIT)
+
+
 def daily_quota(actions: DataFrame, limits: DataFrame, zone: str = dates.HOME_ZONE) -> DataFrame:
     """ok for the first n actions of a person and local day, limit after that."""
     rows = actions.withColumn("day", dates.local_day(F.col("ts"), zone))
-    # limits are at most 500, so each task keeps at most 500 rows per person-day before the shuffle
-    head = first_k(rows.select("user_id", "day", *WHEN), ["user_id", "day"], WHEN, MAX_DAILY_LIMIT)
+    # each task keeps at most as many rows per person-day as the highest limit before the shuffle
+    head = first_k(rows.select("user_id", "day", *WHEN), ["user_id", "day"], WHEN, _widest(limits))
     cut = _with_limit(head, limits).where("position <= daily_limit").groupBy("user_id", "day").agg(F.max(_at()).alias("cut"))
     return rows.join(cut, ["user_id", "day"], "left").withColumn(
         "status", F.when(_at() <= F.col("cut"), "ok").otherwise("limit")).drop("cut")
@@ -81,13 +85,13 @@ def admission(attempts: DataFrame, limits: DataFrame, owned: DataFrame | None =
     had = None if owned is None else owned.select(*key).distinct()
     fresh = rows if had is None else rows.join(had, key, "left_anti")
     candidates = cut_lineage(_with_limit(fresh.groupBy(*key, "day").agg(F.min(_at()).alias("first")), limits))
-    admitted = None
+    admitted, widest = None, _widest(limits)
     while True:
         open_rows = candidates
         if admitted is not None:
             open_rows = candidates.join(admitted.select(*key, F.col("day").alias("since")), key, "left").where(
                 F.col("since").isNull() | (F.col("day") <= F.col("since"))).drop("since")
-        ranked = first_k(open_rows, ["user_id", "day"], ["first"], MAX_DAILY_LIMIT).where("position <= daily_limit")
+        ranked = first_k(open_rows, ["user_id", "day"], ["first"], widest).where("position <= daily_limit")
         now = cut_lineage(ranked.groupBy(*key).agg(F.min(F.struct("day", "first")).alias("a")).select(*key, "a.day", "a.first"))
         if admitted is not None:
             # same size and no row of the one missing from the other: nothing moved in this round
@@ -115,7 +119,7 @@ def repeats(actions: DataFrame, cards: DataFrame, limits: DataFrame, zone: str =
     owned = cards.withColumn("day", dates.local_day(F.col("ts"), zone))
     candidates = checked.where(F.col("owned") & F.col("owned_before_today") & (_at() == F.col("first")))
     merged = candidates.select("user_id", "day", *WHEN).unionByName(owned.select("user_id", "day", *WHEN))
-    head = first_k(merged, ["user_id", "day"], WHEN, MAX_DAILY_LIMIT)
+    head = first_k(merged, ["user_id", "day"], WHEN, _widest(limits))
     cut = _with_limit(head, limits).where("position <= daily_limit").groupBy("user_id", "day").agg(F.max(_at()).alias("cut"))
     # a refused first repeat does not start the cooldown: the quota is still what stops later ones
     accepted = F.coalesce(F.col("first") <= F.col("cut"), F.lit(False))
@@ -134,8 +138,7 @@ def capped(calls: DataFrame, limits: DataFrame, month_cap: int = MONTH_CAP, day_
     month is full at the month_cap-th such call; from there on everything is refused.
     """
     rows = calls.withColumns({"day": dates.local_day(F.col("ts"), zone), "month": dates.local_month(F.col("ts"), zone)})
-    highest = limits.agg(F.max("daily_limit")).first()[0] or DEFAULT_DAILY_LIMIT
-    widest = max(day_cap, CAP_PER_LIMIT * highest)
+    widest = max(day_cap, CAP_PER_LIMIT * _widest(limits))
     head = _with_limit(first_k(rows.select("user_id", "day", "month", *WHEN), ["user_id", "day"], WHEN, widest), limits)
     fine = head.where(F.col("position") <= F.greatest(F.lit(day_cap), F.col("daily_limit") * CAP_PER_LIMIT))
     day_cut = fine.groupBy("user_id", "day").agg(F.max(_at()).alias("day_cut"))
@@ -151,8 +154,10 @@ def capped(calls: DataFrame, limits: DataFrame, month_cap: int = MONTH_CAP, day_
 
 def _guarantee_step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
     since_ultra, since_superrare = state
-    drawn = values[0]
-    if since_ultra >= ULTRA_AFTER:
+    drawn, icon = values
+    if icon:
+        drawn = "icon"
+    elif since_ultra >= ULTRA_AFTER:
         drawn = "ultra"
     elif since_superrare >= SUPERRARE_AFTER:
         drawn = "superrare"
@@ -162,9 +167,11 @@ def _guarantee_step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
 
 
 def guarantee(draws: DataFrame, chance_key: Column, parts: int | None = None) -> DataFrame:
-    """Random draws with a guaranteed ultra after 99 misses and superrare after 24."""
+    """Random draws with a guaranteed ultra after 99 misses and superrare after 24. An icon item (`is_icon`, if there is such
+    a column) is always drawn as icon; the counters go on."""
+    icon = F.coalesce("is_icon", F.lit(False)) if "is_icon" in draws.columns else F.lit(False)
     return fold(
-        draws, ["user_id"], WHEN, {"drawn": chance.draw_tier(chance_key)}, (0, 0), _guarantee_step,
+        draws, ["user_id"], WHEN, {"drawn": chance.draw_tier(chance_key), "icon": icon}, (0, 0), _guarantee_step,
         "tier string, since_ultra bigint, since_superrare bigint", parts)
 
 

@@ -29,14 +29,19 @@ SEGMENT = "_segment"
 ROW = "_row"
 # the planner limits groups before the shuffle up to this k (spark.sql.optimizer.windowGroupLimitThreshold)
 GROUP_LIMIT = 1000
+DEAL, DEALS = "_deal", 64
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[str | Column], k: int, name: str = "position") -> DataFrame:
-    """The first k rows of every key with their position, 1..k."""
-    if k > GROUP_LIMIT:
-        plain = [c for c in order if isinstance(c, str)]
-        return position(df, keys, plain, name).where(F.col(name) <= k)
+    """The first k rows of every key with their position, 1..k.
+
+    The planner cuts a key to k rows before the shuffle only up to GROUP_LIMIT; beyond it rows are dealt out by a hash first,
+    so that a key's rows are cut in many tasks and k from each of them meet."""
     window = Window.partitionBy(*keys).orderBy(*order)
+    if k > GROUP_LIMIT:
+        dealt = df.withColumn(DEAL, F.pmod(F.xxhash64(*df.columns), F.lit(DEALS)))
+        part = Window.partitionBy(*keys, DEAL).orderBy(*order)
+        df = dealt.withColumn(name, F.row_number().over(part)).where(F.col(name) <= k).select(*df.columns)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 

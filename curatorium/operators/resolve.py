@@ -120,7 +120,8 @@ def merge_survivors(items: DataFrame) -> DataFrame:
         F.min_by("name", name_order).alias("new_name"),
         F.max(F.when(own, F.col("name"))).alias("old_name"),
         F.max(F.when(own, F.col("maker"))).alias("maker"),
-        first_known("tier"), first_known("tier_reason"), first_known("first_user"), first_known("year"),
+        first_known("tier"), first_known("tier_reason"), first_known("first_user"), first_known("year"), first_known("signals"),
+        F.min_by("signals", F.when(own, age)).alias("own_signals"),
         F.max(F.when(own, F.col("tier"))).alias("own_tier"),
         F.max(F.when(own, F.col("tier_reason"))).alias("own_reason"),
         F.max(F.when(own, F.col("first_user"))).alias("own_user"),
@@ -151,6 +152,7 @@ def merge_survivors(items: DataFrame) -> DataFrame:
         F.col("leader_id").alias("item_id"), unless_taken("new_name", "old_name").alias("name"),
         unless_taken("tier", "own_tier").alias("tier"), unless_taken("tier_reason", "own_reason").alias("tier_reason"),
         unless_taken("first_user", "own_user").alias("first_user"), unless_taken("year", "own_year").alias("year"),
+        unless_taken("signals", "own_signals").alias("signals"),
         unless_taken("is_icon", "own_icon").alias("is_icon"), label.alias("label_style"), "key_taken",
         (F.col("rows") - 1).alias("absorbed"),
     )
@@ -160,26 +162,27 @@ def merge_facts(facts: DataFrame, pairs: DataFrame, given_tier: DataFrame | None
     """Re-key facts to the leader and combine those one person had twice.
 
     `given_tier` (item_id, given) is the tier the merged item prescribes; without one the
-    highest tier wins. Fields that do not merge stay those of the leader's own fact.
+    highest tier wins. All other columns stay those of the leader's own fact, or of the oldest moved one without it.
     """
     leaders_too = pairs.select("keep_id", F.col("keep_id").alias("drop_id")).distinct()
     target = pairs.unionByName(leaders_too).select(F.col("drop_id").alias("item_id"), F.col("keep_id").alias("target_id"))
     joined = facts.join(target, "item_id", "left")
-    columns = ["user_id", "item_id", "fact_id", "bottles", "tier", "full_art", "memo", "created_at"]
+    columns = facts.columns
+    kept = [c for c in columns if c not in ("user_id", "item_id", "fact_id", "bottles", "tier", "full_art", "memo", "created_at")]
     # facts of items outside any merge, nearly all of them, are passed on without a shuffle
     untouched = joined.where(F.col("target_id").isNull()).withColumn("bottles", F.coalesce("bottles", F.lit(1))).select(*columns)
     dropped = F.col("item_id") != F.col("target_id")
     moved = joined.where(F.col("target_id").isNotNull()).withColumns(
         {"dropped": dropped, "turn": F.struct(dropped.alias("d"), "created_at", "fact_id")})
     out = moved.groupBy("user_id", "target_id").agg(
-        F.min_by("fact_id", "turn").alias("fact_id"),
+        F.min_by(F.struct("fact_id", *kept), "turn").alias("_own"),
         F.sum(F.coalesce("bottles", F.lit(1))).alias("bottles"),
         F.max(tier_rank(F.col("tier"))).alias("rank"),
         F.bool_or("full_art").alias("full_art"),
         F.min_by("memo", F.when(F.col("memo").isNotNull(), F.col("turn"))).alias("memo"),
         F.min("created_at").alias("created_at"),
         F.bool_or("dropped").alias("touched"),
-    ).withColumnRenamed("target_id", "item_id")
+    ).withColumnRenamed("target_id", "item_id").select("*", "_own.*").drop("_own")
     tier = tier_name(F.col("rank"))
     if given_tier is not None:
         out = out.join(given_tier, "item_id", "left")

@@ -15,13 +15,14 @@ DEFAULT_COVER = "bordeaux"
 
 
 def shared_items(edges: DataFrame, facts: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b, shared): different items both own, equal by natural key.
+    """(a, b, shared): different items both own, equal by natural key, or by id where a name is missing.
 
     Only the smaller of the two collections is expanded per edge and probed in the other, so a
     person with a huge album costs nothing per small friend.
     """
     # equal keys share one number, so the big shuffles below carry two longs instead of text
-    keys = items.select("item_id", natural_key(F.col("maker"), F.col("name")).alias("key"))
+    keys = items.select("item_id", F.coalesce(
+        natural_key(F.col("maker"), F.col("name")), F.concat(F.lit("#"), "item_id")).alias("key"))
     keyed = keys.join(keys.groupBy("key").agg(F.min("item_id").alias("same")), "key").select("item_id", "same")
     owned = facts.select("user_id", "item_id").join(keyed, "item_id").select("user_id", "same").distinct()
     sizes = owned.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))

@@ -140,6 +140,7 @@ def _catalog(d: Dialect) -> str:
       case when {k} % 6 <> 0 then 'label ' || cast({k} as varchar(20)) end as label_style,
       cast(case when {k} % 2 = 0 then 2 else 1 end as int) as label_version,
       {k} % 29 = 0 and {k} % 6 <> 0 as label_locked,
+      case when {k} % 4 <> 1 then 'measured ' || cast({k} as varchar(20)) end as signals,
       {d.ts_plus_minutes('2023-01-01 00:00:00', f'({k} * 7) % 500')} as created_at
     from {{part}}
     """

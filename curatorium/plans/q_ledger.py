@@ -46,7 +46,7 @@ def admission_ledger(spark, sf_dir):
 
 def guarantee_ledger(spark, sf_dir):
     d = Data(spark, sf_dir)
-    draws = d.attempt.select((F.col("user_id") % 20).alias("user_id"), "ts", "event_id")
+    draws = d.attempt.select((F.col("user_id") % 20).alias("user_id"), "ts", "event_id", (F.col("item_id") % 37 == 0).alias("is_icon"))
     return ledger.guarantee(draws, F.concat(F.lit("g-"), F.col("event_id").cast("string"))).drop("ts")
 
 
@@ -128,11 +128,11 @@ CHECKS = {
       select a.event_id, case when o.event_id = a.event_id then 'new' when (a.ts, a.event_id) > (o.ts, o.event_id) then 'duplicate' else 'limit' end as status
       from att a left join own o on o.user_id = a.user_id and o.item_id = a.item_id""", "users", "attempt"),
     "guarantee_ledger": """with recursive d as (select event_id, user_id % 20 as user_id, row_number() over (partition by user_id % 20 order by ts, event_id) as n,
-        ('0x' || substr(md5('g-' || event_id), 1, 8))::bigint / 4294967296.0 as u from events),
-      s as (select user_id, n, event_id, u, 0::bigint as su, 0::bigint as ss, case when u < 0.01 then 'ultra' when u < 0.06 then 'superrare' when u < 0.24 then 'rare' else 'common' end as tier from d where n = 1
+        ('0x' || substr(md5('g-' || event_id), 1, 8))::bigint / 4294967296.0 as u, coalesce(json_extract_string(props, '$.k')::bigint % 37 = 0, false) as icon from events),
+      s as (select user_id, n, event_id, u, 0::bigint as su, 0::bigint as ss, case when icon then 'icon' when u < 0.01 then 'ultra' when u < 0.06 then 'superrare' when u < 0.24 then 'rare' else 'common' end as tier from d where n = 1
         union all
         select d.user_id, d.n, d.event_id, d.u, case when s.tier = 'ultra' then 0 else s.su + 1 end, case when s.tier in ('ultra', 'superrare') then 0 else s.ss + 1 end,
-          case when (case when s.tier = 'ultra' then 0 else s.su + 1 end) >= 99 then 'ultra'
+          case when d.icon then 'icon' when (case when s.tier = 'ultra' then 0 else s.su + 1 end) >= 99 then 'ultra'
             when (case when s.tier in ('ultra', 'superrare') then 0 else s.ss + 1 end) >= 24 then 'superrare'
             when d.u < 0.01 then 'ultra' when d.u < 0.06 then 'superrare' when d.u < 0.24 then 'rare' else 'common' end
         from s join d on d.user_id = s.user_id and d.n = s.n + 1)

@@ -33,7 +33,7 @@ def lookup_two_stage(spark, sf_dir):
         .otherwise(F.lit("")).alias("color"))
     # the same label text is looked up once, however often it was scanned
     distinct = attempts.groupBy("name", "maker", "color").agg(F.count(F.lit(1)).alias("scans"))
-    return resolve.lookup_two_stage(distinct, d.catalog.where("item_id % 2 = 0")).select(
+    return resolve.lookup_two_stage(distinct, d.catalog).select(
         "name", "maker", "color", "scans", "item_id", "stage")
 
 
@@ -47,7 +47,8 @@ def merge_facts(spark, sf_dir):
     # the decision is stored once and then applied; recomputing it per use would repeat the matching
     pairs = cut_lineage(resolve.duplicate_pairs(d.catalog))
     return resolve.merge_facts(d.fact, pairs, resolve.given_tiers(d.catalog, pairs)).withColumn(
-        "created_at", F.date_format("created_at", "yyyy-MM-dd"))
+        "created_at", F.date_format("created_at", "yyyy-MM-dd")).withColumn("top_at", F.date_format("top_at", "yyyy-MM-dd")).withColumn(
+        "fav_rank", F.col("fav_rank").cast("long"))
 
 
 def merge_audit(spark, sf_dir):
@@ -85,15 +86,15 @@ CHECKS = {
     "dup_blocks": oracle(f"""with {_BLOCK}, cnt as (select n, m, count(*) as items from ok group by n, m having count(*) > 1),
       pr as (select x.n, x.m, count(*) as pairs from cmp join ok x on x.item_id = a group by x.n, x.m)
       select n as norm_name, m as norm_maker, items, coalesce(pairs, 0) as pairs from cnt left join pr using (n, m)""", "catalog"),
-    "lookup_two_stage": oracle(f"""with {_BLOCK}, even as (select * from blk where item_id % 2 = 0),
+    "lookup_two_stage": oracle(f"""with {_BLOCK},
       att as (select case when l_linenumber % 2 = 0 then 'The ' || p_name else p_name end as name,
         case when l_linenumber % 5 = 0 then '' else p_brand end as maker,
         case l_linenumber % 3 when 0 then 'WIT' when 1 then 'rood' else '' end as color, count(*) as scans
         from lineitem join part on l_partkey = p_partkey group by all),
       keyed as (select *, {norm_sql('name')} as n, {norm_sql('maker')} as m from att),
       e as (select k.name, k.maker, k.color, arg_min(i.item_id, (i.created_at, i.item_id)) as id from keyed k
-        join even i on lower(trim(i.maker)) || '|' || lower(trim(i.name)) = lower(trim(k.maker)) || '|' || lower(trim(k.name)) group by all),
-      f as (select k.name, k.maker, k.color, arg_min(i.item_id, (i.created_at, i.item_id)) as id from keyed k join even i on i.n = k.n and i.m = k.m
+        join blk i on lower(trim(i.maker)) || '|' || lower(trim(i.name)) = lower(trim(k.maker)) || '|' || lower(trim(k.name)) group by all),
+      f as (select k.name, k.maker, k.color, arg_min(i.item_id, (i.created_at, i.item_id)) as id from keyed k join blk i on i.n = k.n and i.m = k.m
         and length(k.n) >= 3 and k.m <> '' and (k.color = '' or i.c = '' or i.c = lower(k.color)) group by all)
       select k.name, k.maker, k.color, k.scans, coalesce(e.id, f.id) as item_id,
         case when e.id is not null then 'exact' when f.id is not null then 'norm' else 'new' end as stage
@@ -103,18 +104,18 @@ CHECKS = {
       r0 as (select catalog.*, al.leader_id from catalog join al using (item_id)),
       g as (select leader_id, count(*) - 1 as absorbed,
         arg_min(r.name, (case when is_icon then 0 else 1 end, case when is_icon then 0 else -length(r.name) end, {_TURN})) as new_name,
-        {_first('tier')}, {_first('tier_reason')}, {_first('first_user')}, {_first('year')}, bool_or(is_icon) as is_icon,
+        {_first('tier')}, {_first('tier_reason')}, {_first('first_user')}, {_first('year')}, {_first('signals')}, bool_or(is_icon) as is_icon,
         (list(r.label_style order by r.created_at, r.item_id) filter (r.item_id <> leader_id and r.label_style is not null and label_locked))[1] as locked_label,
         (list(r.label_style order by r.created_at desc, r.item_id desc) filter (r.item_id <> leader_id and r.label_style is not null and label_version = 2))[1] as drawn_label,
         (list(r.label_style order by r.created_at, r.item_id) filter (r.item_id <> leader_id and r.label_style is not null))[1] as other_label
         from r0 r group by leader_id having count(*) > 1),
       live as (select *, lower(trim(maker)) || '|' || lower(trim(name)) as k from catalog where item_id not in (select item_id from gone)),
-      t as (select g.*, l.name as old_name, l.maker, l.tier as t0, l.tier_reason as r0, l.first_user as u0, l.year as y0, l.is_icon as i0, l.label_style as l0, l.label_locked as k0,
+      t as (select g.*, l.name as old_name, l.maker, l.tier as t0, l.tier_reason as r0, l.first_user as u0, l.year as y0, l.signals as s0, l.is_icon as i0, l.label_style as l0, l.label_locked as k0,
         exists (select 1 from live x where x.item_id <> g.leader_id and x.k = lower(trim(l.maker)) || '|' || lower(trim(g.new_name))) as key_taken
         from g join catalog l on l.item_id = g.leader_id)
       select leader_id as item_id, case when key_taken then old_name else new_name end as name, case when key_taken then t0 else tier end as tier,
         case when key_taken then r0 else tier_reason end as tier_reason, cast(case when key_taken then u0 else first_user end as bigint) as first_user,
-        cast(case when key_taken then y0 else year end as bigint) as year, case when key_taken then i0 else is_icon end as is_icon,
+        cast(case when key_taken then y0 else year end as bigint) as year, case when key_taken then s0 else signals end as signals, case when key_taken then i0 else is_icon end as is_icon,
         case when k0 then l0 else coalesce(locked_label, drawn_label, l0, other_label) end as label_style, key_taken, absorbed from t""", "catalog"),
     "merge_facts": oracle(f"""with {_BLOCK},
       rk as (select unnest(['common','rare','superrare','ultra','icon']) as tier, unnest([1,2,3,4,5]) as rank),
@@ -123,11 +124,13 @@ CHECKS = {
         from (select catalog.*, al.leader_id from catalog join al using (item_id)) r group by leader_id having count(*) > 1),
       mv as (select fact.*, coalesce(leader_id, fact.item_id) as target, leader_id is not null as moved, rank
         from fact left join led on led.item_id = fact.item_id join rk on rk.tier = fact.tier),
-      ag as (select user_id, target, arg_min(fact_id, (moved, created_at, fact_id)) as fact_id, cast(sum(bottles) as bigint) as bottles, max(rank) as rank,
+      ag as (select user_id, target, arg_min(fact_id, (moved, created_at, fact_id)) as fact_id,
+        (list(fav_rank order by moved, created_at, fact_id))[1] as fav_rank, (list(top_at order by moved, created_at, fact_id))[1] as top_at, cast(sum(bottles) as bigint) as bottles, max(rank) as rank,
         bool_or(full_art) as full_art, (list(memo order by moved, created_at, fact_id) filter (memo is not null))[1] as memo, min(created_at) as created_at, bool_or(moved) as touched
         from mv group by user_id, target)
       select user_id, target as item_id, fact_id, bottles, case when touched then coalesce(given, rk.tier) else rk.tier end as tier, full_art, memo,
-        strftime(created_at, '%Y-%m-%d') as created_at from ag join rk using (rank) left join gv on gv.item_id = target""", "catalog", "fact"),
+        strftime(created_at, '%Y-%m-%d') as created_at,
+      cast(fav_rank as bigint) as fav_rank, strftime(top_at, '%Y-%m-%d') as top_at from ag join rk using (rank) left join gv on gv.item_id = target""", "catalog", "fact"),
     "merge_audit": oracle(f"""with {_BLOCK} select leader_id as keep_id, led.item_id as drop_id, k.name || ' + ' || d.name as names,
       (select count(*) from fact where fact.item_id = led.item_id) as cards_moved
       from led join catalog k on k.item_id = leader_id join catalog d on d.item_id = led.item_id""", "catalog", "fact"),

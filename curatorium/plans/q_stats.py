@@ -26,12 +26,12 @@ def join_left(spark, sf_dir):
 
 def owned_items(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return d.item.select("item_id", "name").join(d.fact.where("tier = 'ultra'").select("item_id"), "item_id", "left_semi")
+    return d.item.select("item_id", "name").join(d.fact.select("item_id"), "item_id", "left_semi")
 
 
 def unowned_items(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return d.item.select("item_id", "name").join(d.fact.where("tier = 'ultra'").select("item_id"), "item_id", "left_anti")
+    return d.item.select("item_id", "name").join(d.fact.select("item_id"), "item_id", "left_anti")
 
 
 def daily_spine(spark, sf_dir):
@@ -52,9 +52,10 @@ def kpi_row(spark, sf_dir):
 
 
 def active_approx(spark, sf_dir):
-    """Sketched distinct counts, for when exactness is not worth a shuffle of everybody."""
+    """Sketched distinct counts, for when exactness is not worth a shuffle of everybody, held against the exact ones."""
     a = Data(spark, sf_dir).attempt
-    return a.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    both = a.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("users"))
+    return both.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.06 * F.col("users")).alias("close"))
 
 
 def tier_map(spark, sf_dir):
@@ -94,9 +95,7 @@ def country_heat(spark, sf_dir):
 def rolling_active(spark, sf_dir):
     a = Data(spark, sf_dir).attempt
     week, month = (kpi.rolling_active(a, n, f"active{n}") for n in kpi.ACTIVE_WINDOWS)
-    last = F.lit("2024-01-31").cast("date")
-    both = week.where(F.col("day") < last).join(month.where(F.col("day") < last), "day")
-    return both.select(F.col("day").cast("string").alias("day"), "active7", "active30")
+    return week.join(month, "day").select(F.col("day").cast("string").alias("day"), "active7", "active30")
 
 
 def compact_ranks(spark, sf_dir):
@@ -144,8 +143,8 @@ CHECKS = {
     "join_inner": oracle("select fact_id, name, country, tier from fact join item using (item_id)", "item", "fact"),
     "join_left": oracle("""select conv_id, turn, coalesce(nullif(trim(display_name), ''), split_part(mail, '@', 1)) as who
       from conversations left join users on user_id = conv_id * 3""", "users"),
-    "owned_items": oracle("select item_id, name from item where exists (select 1 from fact where fact.item_id = item.item_id and tier = 'ultra')", "item", "fact"),
-    "unowned_items": oracle("select item_id, name from item where not exists (select 1 from fact where fact.item_id = item.item_id and tier = 'ultra')", "item", "fact"),
+    "owned_items": oracle("select item_id, name from item where exists (select 1 from fact where fact.item_id = item.item_id)", "item", "fact"),
+    "unowned_items": oracle("select item_id, name from item where not exists (select 1 from fact where fact.item_id = item.item_id)", "item", "fact"),
     "daily_spine": oracle(f"""select cast(d::date as varchar) as day,
       (select count(*) from attempt where event_type = 'click' and ts::date = d::date) as scans,
       (select count(*) from attempt where event_type = 'signup' and ts::date = d::date) as cards
@@ -180,9 +179,10 @@ CHECKS = {
       select group_id, cast(case when bool_or(chain) then 10 else nullif(count(distinct case when host like '%.net' then host end), 0) end as bigint) as shops from c group by 1""",
     "country_heat": oracle("""with c as (select country, count(*) as n from fact join item using (item_id) group by 1)
       select country, n, round(0.6::double + 0.4::double * least(1.0::double, n / greatest(4, (select max(n) from c))), 6) as opacity from c""", "item", "fact"),
-    "rolling_active": oracle("""with d as (select distinct ts::date as day from attempt), ud as (select distinct user_id, ts::date as day from attempt)
+    "active_approx": oracle("select event_type, count(distinct user_id) as users, true as close from attempt group by 1", "attempt"),
+    "rolling_active": oracle("""with d as (select d::date as day from (select min(ts)::date as lo, max(ts)::date as hi from attempt), generate_series(lo, hi, interval 1 day) g(d)), ud as (select distinct user_id, ts::date as day from attempt)
       select cast(d.day as varchar) as day, count(distinct case when ud.day > d.day - 7 then user_id end) as active7, count(distinct user_id) as active30
-      from d join ud on ud.day <= d.day and ud.day > d.day - 30 group by 1""", "attempt"),
+      from d left join ud on ud.day <= d.day and ud.day > d.day - 30 group by 1""", "attempt"),
     "compact_ranks": oracle("""select fact_id, case when r <= 10 then r end as new_rank from (select fact_id, row_number() over (partition by user_id order by fav_rank, fact_id) as r
       from fact where fav_rank is not null)""", "fact"),
     "stack_top": oracle("""select user_id, country, fact_id as top_fact, stack_size from (select *, count(*) over (partition by user_id, country) as stack_size,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatorium.plans.bindings import Data, oracle
-from curatorium.plans import q_ledger
-from curatorium.sources.sinks import shared_folder
+from curatorium.plans import q_ledger, q_text
+from curatorium.sources.sinks import read_upserted, shared_folder, upsert_batch
 from curatorium.streaming import ledger as stream_ledger, queries
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -24,7 +24,12 @@ def stream_daily(spark, sf_dir):
 
 def stream_active(spark, sf_dir):
     out = queries.run_to_table(queries.rolling_active(_events(spark, sf_dir)), shared_folder(spark, "stream-active"))
-    return out.select(F.date_format("until", "yyyy-MM-dd").alias("until"), "users")
+    # next to it the exact number, from the same windows in batch
+    exact = Data(spark, sf_dir).attempt.groupBy(F.window(F.col("ts").cast("timestamp"), "7 days", "1 day").alias("w")).agg(
+        F.countDistinct("user_id").alias("exact")).select(F.col("w.end").alias("until"), "exact")
+    return out.join(exact, "until").select(
+        F.date_format("until", "yyyy-MM-dd").alias("until"), F.col("exact").alias("users"),
+        (F.abs(F.col("users") - F.col("exact")) <= 0.06 * F.col("exact")).alias("close"))
 
 
 def stream_confirm(spark, sf_dir):
@@ -46,7 +51,22 @@ def stream_admission(spark, sf_dir):
     return out.select("event_id", "status")
 
 
-QUERIES = {f.__name__: f for f in (stream_daily, stream_active, stream_confirm, stream_admission)}
+def stream_upsert(spark, sf_dir):
+    """The last event per person and item, upserted from four micro-batches whose rows overlap in time."""
+    cols = ["user_id", "item_id", "event_type", "ts", "event_id"]
+    folder = shared_folder(spark, "stream-upsert")
+    for part in range(4):
+        Data(spark, sf_dir).attempt.where(F.col("event_id") % 4 == part).select(*cols).write.parquet(f"{folder}/in/part={part}")
+    schema = Data(spark, sf_dir).attempt.select(*cols).schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = stream.writeStream.foreachBatch(upsert_batch(f"{folder}/out")).option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read_upserted(spark, f"{folder}/out", schema, ["user_id", "item_id"], ["ts", "event_id"]).select(
+        "user_id", "item_id", "event_type", "event_id")
+
+
+QUERIES = {f.__name__: f for f in (stream_daily, stream_active, stream_confirm, stream_admission, stream_upsert)}
 
 CHECKS = {
     "stream_daily": """select cast(ts::date as varchar) as day, count(*) as n from events
@@ -54,5 +74,10 @@ CHECKS = {
     "stream_confirm": oracle("""select p.user_id, p.event_id as check_id, c.event_id from attempt p join attempt c
       on c.user_id = p.user_id and c.item_id % 10 = p.item_id % 10 and c.ts between p.ts and p.ts + interval 720 minutes
       where p.event_type = 'view' and c.event_type = 'click'""", "attempt"),
+    "stream_upsert": q_text.CHECKS["upsert_latest"],
+    "stream_active": """with d as (select distinct ts::date as day from events),
+      u as (select distinct day + n::int as until from d, range(1, 8) r(n))
+      select cast(until::date as varchar) as until, count(distinct user_id) as users, true as close from u join events on ts::date >= until - 7 and ts::date < until
+      where until <= (select max(ts) - interval 1 hour from events) group by 1""",
     "stream_admission": q_ledger.CHECKS["admission_ledger"],
 }

@@ -189,17 +189,19 @@ def ingest_payload(spark, sf_dir):
         F.when(k % 13 == 0, F.lit("NV")).otherwise(F.col("year").cast("string")).alias("jaar"),
         F.when(k % 2 == 0, F.lit("  ")).otherwise(F.col("grape")).alias("druif"),
         F.when(k % 10 != 0, F.concat(F.initcap("country"), F.lit("  "), F.col("region"))).alias("regio"),
-        F.col("country").alias("land"), F.col("style").alias("style"), F.col("color").alias("color"),
+        F.col("country").alias("land"), F.when(k % 14 != 0, F.col("style")).alias("style"), F.col("color").alias("color"),
         F.when(k % 4 != 0, F.array(F.upper("tag"), F.lit("Nieuw"))).alias("tags"),
         F.struct(F.when(k % 5 == 0, F.lit(0)).otherwise(F.col("price_eur_low").cast("int")).alias("price_eur_low"),
                  F.col("price_eur_high").cast("int").alias("price_eur_high"),
-                 F.when(k % 3 == 0, F.col("iconic")).alias("iconic")).alias("signals"),
+                 "classification", "producer_fame", "production", "rarity_nl", F.when(k % 2 == 0, F.col("vintage_quality")).alias("vintage_quality"),
+                 "large_format", F.when(k % 3 == 0, F.col("iconic")).alias("iconic")).alias("signals"),
     )
     parsed = payload.ingest(i.select("item_id", F.to_json(raw).alias("doc")), "doc")
     return parsed.select(
         "item_id", "item_key", "name", "maker", F.col("year").cast("long").alias("year"), "grapes", "region", "country", "style",
         "color", F.array_join("tags", ",").alias("tags"), F.col("price_eur_low").cast("long").alias("low"),
-        F.col("price_eur_high").cast("long").alias("high"), "iconic", "vintage_quality",
+        F.col("price_eur_high").cast("long").alias("high"), "classification", "producer_fame", "production", "rarity_nl", "large_format",
+        "iconic", "vintage_quality",
     )
 
 
@@ -227,8 +229,9 @@ def usage_append(spark, sf_dir):
 def upsert_latest(spark, sf_dir):
     e = Data(spark, sf_dir).attempt
     cols = ["user_id", "item_id", "event_type", "ts", "event_id"]
-    base, delta = e.where("event_type = 'signup'").select(cols), e.where("event_type <> 'signup'").select(cols)
-    return fact_ops.upsert_latest(base, delta, ["user_id", "item_id"], ["ts", "event_id"]).select(
+    keys, order = ["user_id", "item_id"], ["ts", "event_id"]
+    base = fact_ops.latest(e.where("event_type = 'signup'").select(cols), keys, order)
+    return fact_ops.upsert_latest(base, e.where("event_type <> 'signup'").select(cols), keys, order).select(
         "user_id", "item_id", "event_type", "event_id")
 
 
@@ -253,8 +256,9 @@ def replace_or_delete(spark, sf_dir):
         "user_id", (F.col("item_id") % 20).alias("page"), "ts", "event_id",
         F.when(F.col("event_type") == "error", F.array().cast("array<bigint>")).otherwise(
             F.sequence(F.lit(1).cast("bigint"), F.col("item_id") % 5 + 1)).alias("items"))
-    saved = fact_ops.replace_or_delete(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "page"],
-                                       ["ts", "event_id"], "items")
+    keys, order = ["user_id", "page"], ["ts", "event_id"]
+    base = fact_ops.latest(e.where("event_id % 2 = 0"), keys, order)
+    saved = fact_ops.replace_or_delete(base, e.where("event_id % 2 = 1"), keys, order, "items")
     return saved.select("user_id", "page", "event_id", F.size("items").cast("long").alias("n"))
 
 
@@ -322,8 +326,11 @@ def entity_regex(spark, sf_dir):
 
 def pattern_override(spark, sf_dir):
     d = Data(spark, sf_dir)
-    fixed = matching.override(d.item, "ROD", "hot", "tier_override", "superrare").select("item_id", F.col("tier_override").alias("tier"))
-    return fact_ops.follow_item_tier(d.fact, fixed).select("fact_id", "tier", "changed")
+    fixed = matching.override(d.item, "ROD", "hot", "tier_override", "superrare", maker="brand#1").select(
+        "item_id", F.col("tier_override").alias("tier"), "hit")
+    # facts follow the item's tier; a corrected item's art flag is taken back
+    followed = fact_ops.follow_item_tier(d.fact, fixed).join(fixed.select("item_id", "hit"), "item_id", "left")
+    return followed.select("fact_id", "tier", (F.col("full_art") & ~F.coalesce("hit", F.lit(False))).alias("full_art"), "changed")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -438,9 +445,10 @@ CHECKS = {
       case when item_id % 11 = 0 then '' else trim(maker) end as maker, case when item_id % 13 = 0 then null else cast(year as bigint) end as year,
       case when item_id % 2 = 0 then null else grape end as grapes,
       case when item_id % 10 = 0 then 'overig' else regexp_replace(lower(country), '\\s+', '-', 'g') || '-' || lower(region) end as region,
-      country, style, nullif(color, '') as color, case when item_id % 4 = 0 then '' else tag || ',nieuw' end as tags,
+      country, case when item_id % 14 = 0 then 'stil' else style end as style, nullif(color, '') as color, case when item_id % 4 = 0 then '' else tag || ',nieuw' end as tags,
       case when item_id % 5 = 0 then null else cast(price_eur_low as bigint) end as low, cast(price_eur_high as bigint) as high,
-      item_id % 3 = 0 and iconic as iconic, 'onbekend' as vintage_quality from n""", "item"),
+      classification, producer_fame, production, rarity_nl, large_format, item_id % 3 = 0 and iconic as iconic,
+      case when item_id % 2 = 0 and vintage_quality is not null then vintage_quality else 'onbekend' end as vintage_quality from n""", "item"),
     "catalogue_slots": oracle(f"""with {SLOTS_SQL} select set_id, cast(position as bigint) as position, slot, cast(difficulty as bigint) as difficulty,
       unlock, secret, always, cast(len(r_app) as bigint) as apps, (select count(*) from item where country = set_country) as items from slots""", "item"),
     "usage_append": oracle("""select strftime(created_at, '%Y-%m') as month, kind, count(*) as n, cast(sum(input_tokens) as bigint) as tokens_in from usage group by all""", "usage"),
@@ -472,6 +480,7 @@ CHECKS = {
     "search_owned": oracle("""select item_id, name, maker from item where item_id in (select item_id from fact)
       order by created_at desc, item_id desc limit 60""", "item", "fact"),
     "entity_regex": oracle(f"select item_id, rule from (select item_id, cast({ICON_SQL} as bigint) as rule from item) where rule is not null", "item"),
-    "pattern_override": oracle("""with n as (select item_id, case when name ilike '%rod%' and name not ilike '%hot%' then 'superrare' else tier_override end as new_tier from item)
-      select fact_id, coalesce(new_tier, tier) as tier, coalesce(new_tier, tier) is distinct from tier as changed from fact left join n using (item_id)""", "item", "fact"),
+    "pattern_override": oracle("""with n as (select item_id, case when name ilike '%rod%' and name not ilike '%hot%' and maker ilike '%brand#1%' then 'superrare' else tier_override end as new_tier,
+        name ilike '%rod%' and name not ilike '%hot%' and maker ilike '%brand#1%' as hit from item)
+      select fact_id, coalesce(new_tier, tier) as tier, full_art and not coalesce(hit, false) as full_art, coalesce(new_tier, tier) is distinct from tier as changed from fact left join n using (item_id)""", "item", "fact"),
 }

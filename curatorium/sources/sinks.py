@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from curatorium.operators.facts import upsert_latest
+from curatorium.operators.facts import latest
 from curatorium.session import ensure_checkpoint_dir
 
 
@@ -17,12 +17,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def append_log(df: DataFrame, path: str, time_column: str) -> None:
+def append_log(df: DataFrame, path: str, time_column: str, rows_per_task: int = 1_000_000) -> None:
     """Append to a log partitioned by month, so month filters prune folders."""
+    rows = df.withColumn("month", F.date_format(time_column, "yyyy-MM"))
+    # as many write tasks per month as its rows need; one row per month is broadcast
+    tasks = rows.groupBy("month").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("_tasks"))
+    dealt = rows.join(F.broadcast(tasks), rows["month"].eqNullSafe(tasks["month"])).drop(tasks["month"])
     (
-        df.withColumn("month", F.date_format(time_column, "yyyy-MM"))
-        # one writer group per month and hash slice: few files, and no month in a single task
-        .repartition("month", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        dealt.repartition("month", F.pmod(F.xxhash64(*df.columns), F.col("_tasks"))).drop("_tasks")
         .write.mode("append").partitionBy("month").parquet(path)
     )
 
@@ -32,15 +34,16 @@ def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(StructType([*schema.fields, StructField("month", StringType())])).parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def upsert_batch(base_path: str, next_path: str, keys: list[str], order: list[str]):
-    """A foreachBatch body: the new snapshot is the base plus the last write per key."""
+def upsert_batch(folder: str):
+    """A foreachBatch body: the batch becomes the delta of its id. A replayed batch replaces its own delta, so it changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        base = batch.sparkSession.read.parquet(base_path)
-        write_snapshot(upsert_latest(base, batch.select(*base.columns), keys, order), f"{next_path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return run
+
+
+def read_upserted(spark: SparkSession, folder: str, schema: StructType, keys: list[str], order: list[str]) -> DataFrame:
+    """The last write per key of all deltas; the id of its batch decides between equal `order`."""
+    deltas = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(folder)
+    return latest(deltas, keys, [*order, "batch"]).drop("batch")
