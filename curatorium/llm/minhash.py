@@ -4,6 +4,8 @@ Whole texts (null: empty), words are runs without ASCII white space, shingles of
 text without words has none and the all-ones fingerprint). 128 universal hash functions (multiply, add, high half of 64
 bits) permute the shingles' hashes; of each minimum the fingerprint keeps the lowest 8 bits. Two fingerprints of likeness J
 agree in about J + (1 - J) / 256 of the bytes; `likeness` corrects for that. Equal texts have equal fingerprints.
+
+`near_duplicates` joins bands of five bytes and verifies the Jaccard likeness of what they bring together.
 """
 
 from __future__ import annotations
@@ -12,12 +14,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from curatorium.llm import words
+from curatorium.llm.components import components
 from curatorium.llm.store import keep, parts_for
+from curatorium.operators.bounded import small_or_shuffled
 
 SHINGLE, HASHES, SEED = 5, 128, 20_240_229
 _STEP = 1 << 14  # shingles hashed at a time; fits the processor's cache
@@ -146,3 +152,105 @@ def with_next(docs: DataFrame) -> DataFrame:
     ends = made.where("kind = 'last'").select("doc_id", "text", F.col("part").alias("before")).join(after, "before")
     joints = ends.select("doc_id", "text", "next_text").mapInArrow(_joints, _RESULT)
     return made.where("kind = 'done'").select(*joints.columns).union(joints)
+
+
+BANDS, ROWS = 25, 5  # a pair of likeness 0.8 misses all bands with a chance of 5 in 100,000
+CROWD, CELL = 64, 256
+_HASHED = StructType([StructField("content", BinaryType()), StructField("signature", BinaryType())])
+_SET = StructType([StructField("content", BinaryType()), StructField("shingles", BinaryType())])
+
+
+def _shingle_sets(texts: pd.Series) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Of every text its sorted different shingle hashes, and a digest of them."""
+    data, starts = words.raw(pa.array(texts, pa.large_string()))
+    for a, b in words.blocks(starts):
+        hashed, first = words.word_hashes(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+        values, begins = words.shingle_hashes(hashed, first, SHINGLE)
+        for i in range(b - a):
+            own = np.unique(values[begins[i] : begins[i + 1]])
+            yield hashlib.md5(own.tobytes()).digest(), own
+
+
+@F.pandas_udf(_HASHED)
+def _hashed(texts: pd.Series) -> pd.DataFrame:
+    content = [c for c, _ in _shingle_sets(texts)]
+    prints = signatures(pa.array(texts, pa.large_string()))
+    return pd.DataFrame({"content": content, "signature": [p.tobytes() for p in prints]})
+
+
+@F.pandas_udf(_SET)
+def _sets(texts: pd.Series) -> pd.DataFrame:
+    rows = [(c, own.tobytes()) for c, own in _shingle_sets(texts)]
+    return pd.DataFrame(rows, columns=["content", "shingles"])
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, class_id) for every row: class_id is the smallest doc_id reachable over links of Jaccard likeness `similarity` or
+    more between the texts' shingle sets; null where the whole class has none.
+
+    Texts of equal shingle sets are one node. Signature bands join nodes that may be alike; the likeness of each such pair is
+    verified on the sets themselves, which are made again for those nodes only. Bands that many different nodes share are
+    cut into cells of bounded size, which return a spanning forest of their verified links instead of all of them."""
+    text = F.coalesce("text", F.lit(""))
+    rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(text).alias("x")).select(
+        "doc_id", "row_hash", "x.*"), "hashed-texts")
+    nodes = rows.groupBy("content").agg(F.min("signature").alias("signature"))
+    keys = F.array(*[F.substring("signature", 1 + ROWS * i, ROWS) for i in range(BANDS)])
+    shared = Window.partitionBy("band", "key")
+    banded = keep(nodes.select("content", F.posexplode(keys).alias("band", "key")).withColumn(
+        "many", F.count(F.lit(1)).over(shared)).where("many > 1"), "bands")
+    plain = banded.where(F.col("many") <= CROWD).select("band", "key", "content")
+    pairs = plain.withColumnRenamed("content", "a").join(plain.withColumnRenamed("content", "b"), ["band", "key"]).where(
+        "a < b").select("a", "b").distinct()
+    # the sets of the nodes that met another one, each from one of its rows
+    met = banded.select("content").distinct()
+    rows_of = rows.join(met, "content", "left_semi").groupBy("content").agg(F.min("row_hash").alias("_row")).select("_row").distinct()
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("_own"))
+    found = texts.join(small_or_shuffled(rows_of), F.col("_own") == F.col("_row"), "left_semi")
+    # copies meet before their text is hashed again
+    sets = found.groupBy("_own", F.xxhash64(F.lit("second"), "text").alias("_other")).agg(F.min("text").alias("text")).select(
+        _sets("text").alias("x")).select("x.*").dropDuplicates(["content"])
+    sets = keep(sets, "shingle-sets")
+
+    @F.pandas_udf(DoubleType())
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype=float)
+
+    one, other = (sets.select(F.col("content").alias(c), F.col("shingles").alias(c + "_set")) for c in ("a", "b"))
+    links = pairs.join(one, "a").join(other, "b").where(alike("a_set", "b_set") >= similarity).select("a", "b")
+
+    def forest(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates("content")
+        names, values, out = cell["content"].tolist(), cell["shingles"].tolist(), []
+        open_ = list(range(len(names)))
+        while open_:
+            front = [open_.pop(0)]
+            while front and open_:
+                at = front.pop()
+                near = [i for i in open_ if jaccard(values[at], values[i]) >= similarity]
+                out += [(names[at], names[i]) for i in near]
+                open_ = [i for i in open_ if i not in set(near)]
+                front += near
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    slices = F.ceil(F.col("many") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("content"), F.col("slices")).cast("int")
+    cells = (
+        banded.where(F.col("many") > CROWD).withColumn("slices", slices).withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}))
+    crowded = cells.join(sets, "content").groupBy("band", "key", "i", "j").applyInPandas(forest, "a binary, b binary")
+    groups = components(keep(links.union(crowded), "minhash-links")).select(F.col("node").alias("content"), "component")
+    firsts = rows.groupBy("content").agg(F.min("doc_id").alias("_first")).join(groups, "content", "left").withColumn(
+        "component", F.coalesce("component", "content"))
+    smallest = firsts.groupBy("component").agg(F.min("_first").alias("class_id"))
+    named = firsts.join(smallest, "component").select("content", "class_id")
+    return rows.join(named, "content").select("doc_id", "class_id")

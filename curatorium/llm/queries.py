@@ -95,7 +95,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls)}
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate classes of the fingerprints of op9: bands joined, likeness verified."""
+    from curatorium.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, minhash_groups)}
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
 CHECKS = {

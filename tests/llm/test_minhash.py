@@ -78,3 +78,42 @@ def test_one_row_follows_itself_and_none_gives_none(spark):
     one = minhash.with_next(spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert minhash.with_next(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def classes(rows, least=0.8):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if (not x and not y) or (x | y and len(x & y) / len(x | y) >= least):
+                root[find(i)] = find(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            smallest[find(i)] = min(smallest.get(find(i), d), d)
+    return sorted(((d is None, d or 0), smallest.get(find(i))) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_groups_against_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    monkeypatch.setattr(minhash, "CELL", 4)
+    rows = [(i, prose(150, i)) for i in range(12)]
+    for i in range(6):
+        w = rows[i][1].split()
+        for k in range(1, 8):  # ever further from the first, so chains matter
+            w = [*w[: k * 3], f"new{i}.{k}", *w[k * 3 + 1 :]]
+            rows.append((100 + i * 10 + k, " ".join(w)))
+    rows += [(200, None), (201, ""), (202, "  "), (203, "a b"), (204, "a b"), (None, rows[0][1]), (205, rows[0][1].replace(" ", "  ")), (206, "only"), (5, rows[3][1])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as content", "2 as band"))
+    assert sorted(((r[0] is None, r[0] or 0), r[1]) for r in got.collect()) == classes(rows)
+
+
+def test_groups_of_nothing(spark):
+    assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
