@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 # beyond SQL; tests/llm holds them against brute force, here every document must come back
-PER_DOCUMENT = {"op1_simhash", "op2_quality", "op3_langid", "op4_bpe", "op9_minhash"}
+PER_DOCUMENT = {"minhash_groups", "op1_simhash", "op2_quality", "op3_langid", "op4_bpe", "op9_minhash"}
 
 
 @pytest.fixture(scope="module")
