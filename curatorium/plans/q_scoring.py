@@ -77,151 +77,155 @@ QUERIES = {
     "draw_variant": draw_variant,
 }
 
-_MID = """mid as (select *, (coalesce(price_eur_low, price_eur_high) + coalesce(price_eur_high, price_eur_low)) / 2 as p,
-  coalesce(vintage_quality, 'onbekend') as vq, coalesce(nl_shops, 0) < 4 as few,
-  2024 - year as age, case when color = 'wit' then 10 else 15 end as old_from from item)"""
-
-_BASE2 = """case when p is null or p < 12 then 0.0 when p < 20 then 0.5 when p < 35 then 1.0 when p < 60 then 1.5
-  when p < 100 then 2.0 when p < 200 then 2.5 when p < 400 then 3.0 else 3.5 end"""
-_BONUS2 = """(case classification when 'top' then 0.25 when 'premium' then 0.10 else 0.00 end
-  + case producer_fame when 'wereldberoemd' then 0.25 when 'gerenommeerd' then 0.10 else 0.00 end
-  + case production when 'zeer klein' then 0.25 when 'klein' then 0.10 else 0.00 end
-  + case vq when 'top' then 0.25 when 'goed' then 0.10 else 0.00 end
-  + case when large_format then 0.25 else 0.00 end"""
-_RARITY = "case rarity_nl when 'zeldzaam' then 0.40 when 'ongewoon' then 0.15 else 0.00 end"
-_NEW_BONUS = """ + case when critic_max >= 95 then 0.25 when critic_max >= 92 then 0.10 else 0.00 end
-  + case when iconic then 0.25 else 0.00 end + case when was_old then 0.25 else 0.00 end"""
-_MALUS2 = """case when producer_fame = 'merk' then 0.25 else 0.00 end + case when production = 'massa' then 0.25 else 0.00 end
-  + case when vq = 'slecht' then 0.25 else 0.00 end"""
-_CROWD = " + case when vivino_count >= 25000 then 0.10 else 0.00 end"
-_FAME = "case producer_fame when 'wereldberoemd' then 'wereldberoemd huis' when 'gerenommeerd' then 'gerenommeerde maker' end"
-_CRITIC = "case when critic_max >= 95 then 'topscores van critici' when critic_max >= 92 then 'hoge critici-scores' end"
-_SMALL = "case when production in ('klein','zeer klein') then 'kleine oplage' end"
-_AGED = "coalesce(age >= old_from and not past_peak and coalesce(ageworthy, true), false)"
-_CUTS2 = "when total >= 3 then 'ultra' when total >= 2 then 'superrare' when total >= 1 then 'rare' else 'common' end"
-
-
-def _year_word(good, bad, fine=None):
-    fine = f" when 'goed' then '{fine}' || coalesce(' ' || year, '')" if fine else ""
-    return f"case vq when 'top' then '{good}' || coalesce(' ' || year, ''){fine} when 'slecht' then '{bad}' || coalesce(' ' || year, '') end"
-
-
-def _price_word(words):
-    a, b, c, e, f = words
-    return f"case when p is null then null when p < 12 then '{a}' when p < 25 then '{b}' when p < 60 then '{c}' when p < 200 then '{e}' else '{f}' end"
-
-
-def _reason(*parts, keep=4):
-    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x is not null)[1:{keep}], ' · ')"
-
-
-def _score_check(base, bonus, cap, malus, old_rule, tier, reasons, tail=None, old_cols=""):
-    reason = _reason(*reasons, keep=3 if tail else 4)
-    if tail:
-        reason = f"concat_ws(' · ', nullif({reason}, ''), {tail})"
+# The checks keep every rule as rows of a table and join them to the items' signals, one row per signal and value.
+# ---- fixed values: price steps, points and words per signal ----
+_PRICE = ((0, 0), (12, "0.5"), (20, 1), (35, "1.5"), (60, 2), (100, "2.5"), (200, 3), (400, "3.5"))
+_PRICE_1 = ((0, 0), (10, "0.5"), (15, 1), (25, "1.25"), (45, "1.5"), (80, 2), (150, "2.5"), (300, 3))
+_QUALITY = (
+    ("classification", "top", "0.25"), ("classification", "premium", "0.10"), ("fame", "wereldberoemd", "0.25"), ("fame", "gerenommeerd", "0.10"),
+    ("production", "zeer klein", "0.25"), ("production", "klein", "0.10"), ("year", "top", "0.25"), ("year", "goed", "0.10"), ("large", "true", "0.25"))
+_RARE = (("rarity", "zeldzaam", "0.40"), ("rarity", "ongewoon", "0.15"))
+_SCARCE = (("few_rarity", "zeldzaam", "0.40"), ("few_rarity", "ongewoon", "0.15"))
+_SHOPS = (("shops", "none", "0.40"), ("shops", "3", "0.25"), ("shops", "10", "0.10"), ("guess", "zeldzaam", "0.40"), ("guess", "ongewoon", "0.15"))
+_LATER = (("critic", "95", "0.25"), ("critic", "92", "0.10"), ("iconic", "true", "0.25"), ("old", "true", "0.25"))
+_MINUS = (("fame", "merk", "0.25"), ("production", "massa", "0.25"), ("year", "slecht", "0.25"))
+_CROWD = (("crowd", "true", "0.10"),)
+_PLUS_1 = (
+    ("classification", "top", "0.75"), ("classification", "premium", "0.50"), ("classification", "kwaliteit", "0.25"), ("fame", "wereldberoemd", "0.40"),
+    ("fame", "gerenommeerd", "0.25"), ("fame", "merk", "-0.25"), ("production", "zeer klein", "0.50"), ("production", "klein", "0.25"),
+    ("production", "massa", "-0.25"), ("rarity", "zeldzaam", "0.75"), ("rarity", "ongewoon", "0.50"))
+_FLEX_1 = (("year", "top", "0.50"), ("year", "goed", "0.25"), ("year", "slecht", "-0.25"), ("old", "true", "0.25"), ("large", "true", "0.25"))
+_STEPS = ((3, "ultra"), (2, "superrare"), (1, "rare"), (-99, "common"))
+_STEPS_1 = (("3.25", "ultra"), (2, "superrare"), (1, "rare"), (-99, "common"))
+_FAME = (("fame", "wereldberoemd", "wereldberoemd huis"), ("fame", "gerenommeerd", "gerenommeerde maker"))
+_CLASS_OLD = (("classification", "top", "topclassificatie"), ("classification", "premium", "cru/reserva-niveau"))
+_CLASS_7 = (("classification", "top", "hoogste classificatie"), ("classification", "premium", "een reserva of cru"))
+_RARE_WORDS = tuple(("rarity", v, v + " in Nederland") for v in ("zeldzaam", "ongewoon"))
+_RARE_5 = tuple(("few_rarity", v, v + " in Nederland") for v in ("zeldzaam", "ongewoon"))
+_RARE_4 = (("shops", "none", "nauwelijks te koop in Nederland"), ("shops", "3", "zeldzaam in Nederland"), ("guess", "zeldzaam", "zeldzaam in Nederland"),
+           ("guess", "ongewoon", "ongewoon in Nederland"))
+_RARE_7 = (("few_rarity", "zeldzaam", "amper in Nederlandse winkels"), ("few_rarity", "ongewoon", "weinig in Nederlandse winkels"))
+_SMALL = tuple(("production", v, "kleine oplage") for v in ("klein", "zeer klein"))
+_CRITIC = (("critic", "95", "topscores van critici"), ("critic", "92", "hoge critici-scores"))
+_ICONIC = (("iconic", "true", "iconische wijn"),)
+
+
+def _one(signal, text):
+    return ((signal, "true", text),)
+
+
+def _year_words(*words):
+    return tuple(("year", v, w) for v, w in zip(("top", "slecht", "goed"), words))
+
+
+def _price_words(*words):
+    return tuple(("price", str(i), w) for i, w in enumerate(words))
+
+
+_AMOUNT = (("amount", None, None),)
+_P3 = _price_words("betaalbaar", "toegankelijk geprijsd", "middenklasse", "hogere prijsklasse", "topprijsklasse")
+_P6 = _price_words("voor elke dag", "voor een goed diner", "voor een bijzonder moment", "voor grote gelegenheden", "een fles voor het leven")
+_P7 = _price_words("makkelijk te vinden", "een goede ontdekking", "lastig op te sporen", "een echte vondst", "een zeldzame vondst")
+_OLD_TAIL = (_SMALL, _one("old", "oude fles"), _one("large", "grootformaat"), _one("plain_brand", "bekend merk, ruim verkrijgbaar"))
+_KEPT_TAIL = (_SMALL, _one("old", "bewaarwijn op leeftijd"), _one("large", "grootformaat"))
+_SHARED_7 = (_ICONIC, _FAME, _CRITIC, _CLASS_7, _RARE_7, _year_words("topjaar", "moeilijk wijnjaar"), _SMALL, _one("old", "bewaarwijn op leeftijd"),
+             _one("large", "magnum of groter"), _one("plain_brand", "bekende naam"))
+_TODAY = dict(price=_PRICE, plus=_QUALITY + _SCARCE + _LATER, cap="1.00", minus=_MINUS + _CROWD, aged=True)
+_CHECKED = {
+    1: dict(price=_PRICE_1, unknown="0.25", plus=_PLUS_1, cap="99", flex=_FLEX_1, minus=(), dear=True, steps=_STEPS_1,
+            words=(_AMOUNT, _FAME, _CLASS_OLD, _RARE_WORDS, _year_words("topjaar", "zwak jaar", "goed jaar"), *_OLD_TAIL)),
+    2: dict(price=_PRICE, plus=_QUALITY + _RARE + (("old", "true", "0.25"),), cap="0.75", minus=_MINUS, dear=True,
+            words=(_AMOUNT, _FAME, _CLASS_OLD, _RARE_WORDS, _year_words("topjaar", "zwak jaar"), *_OLD_TAIL)),
+    3: dict(price=_PRICE, plus=_QUALITY + _RARE + (("old", "true", "0.25"),), cap="0.75", minus=_MINUS,
+            words=(_P3, _FAME, _CLASS_OLD, _RARE_WORDS, _year_words("topjaar", "zwak jaar"), *_OLD_TAIL)),
+    4: dict(_TODAY, plus=_QUALITY + _SHOPS + _LATER, words=(
+        _P3, _ICONIC, _FAME, _CRITIC, _CLASS_OLD, _RARE_4, _year_words("topjaar", "zwak jaar"), *_KEPT_TAIL, _OLD_TAIL[-1])),
+    5: dict(_TODAY, words=(
+        _P3, _ICONIC, _FAME, _CRITIC, _CLASS_OLD, _RARE_5, _year_words("topjaar", "zwak jaar"), *_KEPT_TAIL, _OLD_TAIL[-1])),
+    6: dict(_TODAY, words=(_P6, _ICONIC, _FAME, _CRITIC, _CLASS_OLD, _RARE_5, _year_words("topjaar", "lastig wijnjaar"), *_KEPT_TAIL,
+                           _one("plain_brand", "bekende naam, overal te vinden"))),
+    7: dict(_TODAY, words=(_P7, *_SHARED_7)),
+    8: dict(_TODAY, words=_SHARED_7, keep=3, euro=True),
+}
+# ---- end of fixed values ----
+
+
+def _values(rows):
+    def text(v):
+        return "null" if v is None else f"'{v}'" if isinstance(v, str) and not v.replace(".", "").replace("-", "").isdigit() else str(v)
+
+    return "(values " + ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows) + ")"
+
+
+def _quoted(rows):
+    return "(values " + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in r) + ")" for r in rows) + ")"
+
+
+def _tiers(tag, rules):
+    """Common table expressions <tag>_item (signals of every item), <tag>_tier (item_id, total, tier)."""
+    old = ("coalesce(age >= old_from and not past_peak and coalesce(ageworthy, true), false)" if rules.get("aged")
+           else "coalesce(age >= old_from, false)")
+    points = [(side, *row) for side in ("plus", "flex", "minus") for row in rules.get(side, ())]
+    dear = " or (iconic and coalesce(p, 0) >= 300)" if rules.get("dear") else ""
+    return f"""{tag}_item as (select *, {old} as was_old from (select *,
+        (coalesce(price_eur_low, price_eur_high) + coalesce(price_eur_high, price_eur_low)) / 2 as p, coalesce(vintage_quality, 'onbekend') as vq,
+        coalesce(nl_shops, 0) < 4 as few, {AS_OF_YEAR} - year as age, if(color = 'wit', 10, 15) as old_from from item)),
+      {tag}_signal as (select item_id, s.signal, s.value from (select item_id, unnest([
+        {{'signal': 'classification', 'value': classification}}, {{'signal': 'fame', 'value': producer_fame}}, {{'signal': 'production', 'value': production}},
+        {{'signal': 'year', 'value': vq}}, {{'signal': 'large', 'value': large_format::varchar}}, {{'signal': 'iconic', 'value': iconic::varchar}},
+        {{'signal': 'old', 'value': was_old::varchar}}, {{'signal': 'rarity', 'value': rarity_nl}}, {{'signal': 'few_rarity', 'value': if(few, rarity_nl, null)}},
+        {{'signal': 'guess', 'value': if(nl_shops is null, rarity_nl, null)}}, {{'signal': 'crowd', 'value': (vivino_count >= 25000)::varchar}},
+        {{'signal': 'shops', 'value': (select arg_min(v, n) from (values (0, 'none'), (3, '3'), (10, '10')) k(n, v) where nl_shops <= n)}},
+        {{'signal': 'critic', 'value': (select max(v) from (values ('92'), ('95')) k(v) where critic_max >= v::int)}},
+        {{'signal': 'price', 'value': (select count(*)::varchar from (values (12), (25), (60), (200)) k(v) where p >= v and p is not null) }}
+        ]) as s from {tag}_item)),
+      {tag}_sum as (select item_id, coalesce(sum(points) filter (side = 'plus'), 0) as plus, coalesce(sum(points) filter (side = 'flex'), 0) as flex,
+        coalesce(sum(points) filter (side = 'minus'), 0) as minus
+        from {tag}_signal left join (select side, signal, value, points::decimal(6, 2) as points from {_quoted(points)} k(side, signal, value, points))
+        using (signal, value) group by item_id),
+      {tag}_total as (select i.*, coalesce((select arg_max(x::decimal(6, 2), lo) from {_values(rules['price'])} k(lo, x) where p >= lo), {rules.get('unknown', 0)})
+        + least(plus, {rules['cap']}) + greatest(-0.50, least(0.75, flex)) - least(minus, 0.50) as total from {tag}_item i join {tag}_sum using (item_id)),
+      {tag}_tier as (select *, if(is_icon{dear}, 'icon', (select arg_max(t, lo) from {_values(rules.get('steps', _STEPS))} k(lo, t) where total >= lo)) as tier
+        from {tag}_total)"""
+
+
+def _score_check(rules):
+    words = [(i, *row) for i, group in enumerate(rules["words"]) for row in group if row[1] is not None]
+    reason = "(select string_agg(w, ' · ' order by pos) from v_word x where x.item_id = t.item_id and n <= {})".format(rules.get("keep", 4))
+    if rules.get("euro"):
+        reason = f"concat_ws(' · ', {reason}, nullif(repeat('€', (select count(*) from (values (0), (12), (25), (60), (200)) k(lo) where p >= lo)), ''))"
+    else:
+        reason = f"coalesce({reason}, '')"
+    amount = """union all select item_id, -1, '±€' || cast(cast(if(p < 100, round(p), round(p / 10) * 10) as bigint) as varchar)
+        from v_tier where p is not null""" if _AMOUNT in rules["words"] else ""
     return oracle(f"""
-    with {_MID}, aged as (select *, {old_rule} as was_old from mid),
-    pts as (select *, {base} + {bonus if cap is None else f'least({bonus}, {cap})'} - {malus} as total from aged),
-    tiered as (select *, {tier} as tier from pts)
-    select item_id, tier, {reason} as reason, cast(round(total, 2) as double) as score from tiered""", "item")
-
-
-_AMOUNT = "case when p is not null then '±€' || cast(cast(case when p < 100 then round(p) else round(p / 10) * 10 end as bigint) as varchar) end"
-_CLASS_OLD = "case classification when 'top' then 'topclassificatie' when 'premium' then 'cru/reserva-niveau' end"
-_RARE_OLD = "case rarity_nl when 'zeldzaam' then 'zeldzaam in Nederland' when 'ongewoon' then 'ongewoon in Nederland' end"
-_LARGE_OLD = "case when large_format then 'grootformaat' end"
-_BRAND_OLD = "case when producer_fame = 'merk' and tier = 'common' then 'bekend merk, ruim verkrijgbaar' end"
-_ANY_OLD = "coalesce(age >= old_from, false)"
-_OLD_WORD = "case when was_old then 'oude fles' end"
-_KEPT_WORD = "case when was_old then 'bewaarwijn op leeftijd' end"
-_ICONIC = "case when iconic then 'iconische wijn' end"
-_DEAR = f"case when is_icon or (iconic and coalesce(p, 0) >= 300) then 'icon' {_CUTS2}"
-_LISTED = f"case when is_icon then 'icon' {_CUTS2}"
-_B2 = f"{_BONUS2} + {_RARITY} + case when was_old then 0.25 else 0.00 end)"
-_M2 = f"least({_MALUS2}, 0.50)"
-_M4 = f"least({_MALUS2}{_CROWD}, 0.50)"
-_B5 = f"{_BONUS2} + case when few then {_RARITY} else 0.00 end{_NEW_BONUS})"
-_MEASURED = f"""case when nl_shops is not null then case when nl_shops = 0 then 0.40 when nl_shops <= 3 then 0.25
-  when nl_shops <= 10 then 0.10 else 0.00 end else {_RARITY} end"""
-_B4 = f"{_BONUS2} + {_MEASURED}{_NEW_BONUS})"
-_RARE_4 = """case when nl_shops = 0 then 'nauwelijks te koop in Nederland' when nl_shops <= 3 then 'zeldzaam in Nederland'
-  when nl_shops is null and rarity_nl = 'zeldzaam' then 'zeldzaam in Nederland'
-  when nl_shops is null and rarity_nl = 'ongewoon' then 'ongewoon in Nederland' end"""
-_RARE_5 = f"case when few then {_RARE_OLD} end"
-_RARE_7 = "case when few and rarity_nl = 'zeldzaam' then 'amper in Nederlandse winkels' when few and rarity_nl = 'ongewoon' then 'weinig in Nederlandse winkels' end"
-_CLASS_7 = "case classification when 'top' then 'hoogste classificatie' when 'premium' then 'een reserva of cru' end"
-_LARGE_7 = "case when large_format then 'magnum of groter' end"
-_P3 = _price_word(("betaalbaar", "toegankelijk geprijsd", "middenklasse", "hogere prijsklasse", "topprijsklasse"))
-_P6 = _price_word(("voor elke dag", "voor een goed diner", "voor een bijzonder moment", "voor grote gelegenheden", "een fles voor het leven"))
-_P7 = _price_word(("makkelijk te vinden", "een goede ontdekking", "lastig op te sporen", "een echte vondst", "een zeldzame vondst"))
-_EURO = "repeat('€', case when p < 12 then 1 when p < 25 then 2 when p < 60 then 3 when p < 200 then 4 when p >= 200 then 5 end)"
-
-
-def _brand(text):
-    return f"case when producer_fame = 'merk' and tier = 'common' then '{text}' end"
-
-
-_SHARED_7 = (_ICONIC, _FAME, _CRITIC, _CLASS_7, _RARE_7, _year_word("topjaar", "moeilijk wijnjaar"), _SMALL, _KEPT_WORD,
-             _LARGE_7, _brand("bekende naam"))
-_V1_TOTAL = """case when p is null then 0.25 when p < 10 then 0.0 when p < 15 then 0.5 when p < 25 then 1.0 when p < 45 then 1.25
-    when p < 80 then 1.5 when p < 150 then 2.0 when p < 300 then 2.5 else 3.0 end"""
-_V1_BONUS = """(case classification when 'top' then 0.75 when 'premium' then 0.50 when 'kwaliteit' then 0.25 else 0.00 end
-  + case producer_fame when 'wereldberoemd' then 0.40 when 'gerenommeerd' then 0.25 when 'merk' then -0.25 else 0.00 end
-  + case production when 'zeer klein' then 0.50 when 'klein' then 0.25 when 'massa' then -0.25 else 0.00 end
-  + case rarity_nl when 'zeldzaam' then 0.75 when 'ongewoon' then 0.50 else 0.00 end
-  + greatest(-0.50, least(0.75, case vq when 'top' then 0.50 when 'goed' then 0.25 when 'slecht' then -0.25 else 0.00 end
-    + case when was_old then 0.25 else 0.00 end + case when large_format then 0.25 else 0.00 end)))"""
-_V1_TIER = """case when is_icon or (iconic and coalesce(p, 0) >= 300) then 'icon'
-  when total >= 3.25 then 'ultra' when total >= 2 then 'superrare' when total >= 1 then 'rare' else 'common' end"""
-
-_SHIFT_V1 = f"({_V1_TOTAL}) + {_V1_BONUS}"
+    with {_tiers('v', rules)},
+      v_all as (select item_id, signal, value from v_signal union all
+        select item_id, 'plain_brand', 'true' from v_tier where producer_fame = 'merk' and tier = 'common'),
+      v_said as (select item_id, pos::int as pos, word || if(signal = 'year', coalesce(' ' || year, ''), '') as w
+        from v_all join {_quoted(words)} k(pos, signal, value, word) using (signal, value) join v_tier using (item_id)
+        where not (signal = 'price' and p is null) {amount}),
+      v_word as (select *, row_number() over (partition by item_id order by pos) as n from v_said)
+    select item_id, tier, {reason} as reason, cast(round(total, 2) as double) as score from v_tier t""", "item")
+
 
 CHECKS = {
-    "score_tier": _score_check(_BASE2, _B5, "1.00", _M4, _AGED, _LISTED, _SHARED_7, tail=_EURO),
-    "score_v1": _score_check(_V1_TOTAL, _V1_BONUS, None, "0.00", _ANY_OLD, _V1_TIER,
-                             (_AMOUNT, _FAME, _CLASS_OLD, _RARE_OLD, _year_word("topjaar", "zwak jaar", "goed jaar"), _SMALL,
-                              _OLD_WORD, _LARGE_OLD, _BRAND_OLD)),
-    "score_v2": _score_check(_BASE2, _B2, "0.75", _M2, _ANY_OLD, _DEAR,
-                             (_AMOUNT, _FAME, _CLASS_OLD, _RARE_OLD, _year_word("topjaar", "zwak jaar"), _SMALL, _OLD_WORD,
-                              _LARGE_OLD, _BRAND_OLD)),
-    "score_v3": _score_check(_BASE2, _B2, "0.75", _M2, _ANY_OLD, _LISTED,
-                             (_P3, _FAME, _CLASS_OLD, _RARE_OLD, _year_word("topjaar", "zwak jaar"), _SMALL, _OLD_WORD,
-                              _LARGE_OLD, _BRAND_OLD)),
-    "score_v4": _score_check(_BASE2, _B4, "1.00", _M4, _AGED, _LISTED,
-                             (_P3, _ICONIC, _FAME, _CRITIC, _CLASS_OLD, _RARE_4, _year_word("topjaar", "zwak jaar"), _SMALL,
-                              _KEPT_WORD, _LARGE_OLD, _BRAND_OLD)),
-    "score_v5": _score_check(_BASE2, _B5, "1.00", _M4, _AGED, _LISTED,
-                             (_P3, _ICONIC, _FAME, _CRITIC, _CLASS_OLD, _RARE_5, _year_word("topjaar", "zwak jaar"), _SMALL,
-                              _KEPT_WORD, _LARGE_OLD, _BRAND_OLD)),
-    "score_v6": _score_check(_BASE2, _B5, "1.00", _M4, _AGED, _LISTED,
-                             (_P6, _ICONIC, _FAME, _CRITIC, _CLASS_OLD, _RARE_5, _year_word("topjaar", "lastig wijnjaar"),
-                              _SMALL, _KEPT_WORD, _LARGE_OLD, _brand("bekende naam, overal te vinden"))),
-    "score_v7": _score_check(_BASE2, _B5, "1.00", _M4, _AGED, _LISTED, (_P7, *_SHARED_7)),
+    "score_tier": _score_check(_CHECKED[8]),
+    **{f"score_v{n}": _score_check(_CHECKED[n]) for n in range(1, 8)},
     "tier_shift": oracle(f"""
-    with {_MID}, a as (select *, {_ANY_OLD} as was_old from mid),
-    one as (select item_id, is_icon, iconic, p, {_SHIFT_V1} as total from a),
-    old as (select item_id, {_V1_TIER} as old_tier from one),
-    b as (select *, {_AGED} as was_old from mid),
-    two as (select item_id, is_icon, {_BASE2} + least({_B5}, 1.00) - {_M4} as total from b),
-    new as (select item_id, {_LISTED} as new_tier from two)
-    select old_tier, new_tier, count(*) as items from old join new using (item_id) where old_tier <> new_tier group by all
+    with {_tiers('a', _CHECKED[1])}, {_tiers('b', _CHECKED[8])}
+    select a.tier as old_tier, b.tier as new_tier, count(*) as items from a_tier a join b_tier b using (item_id) where a.tier <> b.tier group by all
     """, "item"),
     "propagate_tier": oracle(f"""
-    with {_MID}, b as (select *, {_AGED} as was_old from mid),
-    two as (select item_id, is_icon, tier_override, {_BASE2} + least({_B5}, 1.00) - {_M4} as total from b),
-    new as (select item_id, case when is_icon then 'icon' else coalesce(tier_override, {_LISTED}) end as new_tier from two)
+    with {_tiers('b', _CHECKED[8])},
+    new as (select item_id, if(is_icon, 'icon', coalesce(tier_override, tier)) as new_tier from b_tier)
     select fact_id, coalesce(new_tier, tier) as tier, coalesce(new_tier, tier) is distinct from tier as changed
     from fact left join new using (item_id)""", "item", "fact"),
     "review_queue": oracle(f"""
-    with {_MID}, a as (select *, {_ANY_OLD} as was_old from mid),
-    one as (select item_id, is_icon, iconic, p, {_BASE2} + least({_B2}, 0.75) - {_M2} as total from a),
-    old as (select item_id, {_DEAR} as old_tier from one),
-    b as (select *, {_AGED} as was_old from mid),
-    two as (select item_id, is_icon, {_BASE2} + least({_B5}, 1.00) - {_M4} as total from b),
-    new as (select item_id, {_LISTED} as new_tier from two)
-    select i.item_id, old_tier, new_tier from item i join old on old.item_id = i.item_id join new on new.item_id = i.item_id
-    where old_tier <> new_tier and not exists (select 1 from attempt a where a.event_type = 'click' and a.item_id = i.item_id
-      and a.ts >= i.created_at)""", "item", "attempt"),
+    with {_tiers('a', _CHECKED[2])}, {_tiers('b', _CHECKED[8])}
+    select i.item_id, a.tier as old_tier, b.tier as new_tier from item i join a_tier a on a.item_id = i.item_id join b_tier b on b.item_id = i.item_id
+    where a.tier <> b.tier and not exists (select 1 from attempt x where x.event_type = 'click' and x.item_id = i.item_id
+      and x.ts >= i.created_at)""", "item", "attempt"),
     "draw_tier": """
     select case when u < 0.01 then 'ultra' when u < 0.06 then 'superrare' when u < 0.24 then 'rare' else 'common' end as tier,
       count(*) as n, min(event_id) as first_id, max(event_id) as last_id
