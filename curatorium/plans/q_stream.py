@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatorium.plans.bindings import Data, oracle
+from curatorium.plans.bindings import Data
 from curatorium.plans import q_ledger, q_text
 from curatorium.sources.sinks import read_upserted, shared_folder, upsert_batch
-from curatorium.streaming import ledger as stream_ledger, queries
+from curatorium.streaming import ledger as stream_ledger, queries, replay
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,23 +32,53 @@ def stream_active(spark, sf_dir):
         (F.abs(F.col("users") - F.col("exact")) <= 0.06 * F.col("exact")).alias("close"))
 
 
-def stream_confirm(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("check_key", F.col("item_id") % 10)
-    pairs = queries.confirmations(e.where("event_type = 'view'"), e.where("event_type = 'click'"), minutes=720)
-    return queries.run_to_table(pairs, shared_folder(spark, "stream-confirm"))
-
-
-def stream_admission(spark, sf_dir):
-    """The same ledger as admission_ledger, one micro-batch at a time."""
+def _arriving(spark, rows, folder):
+    """The log as a stream of five files; a row may arrive up to an hour after later ones. A last row moves the watermark on."""
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(3600))
+    ends = rows.agg(F.min(second).alias("_a"), (F.max(second) + 3601).alias("_b"))
+    part = F.floor(4 * (second + jitter - F.col("_a")) / (F.col("_b") - F.col("_a")))
+    placed = rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_a", "_b")
+    for n in range(4):
+        # one file a trigger keeps a person's rows of a batch few
+        placed.where(F.least("_part", F.lit(3)) == n).drop("_part").repartition(1).write.parquet(f"{folder}/in/part={n}")
+    closing = rows.limit(1).select(*[
+        (F.lit(-1).cast("long") if c in ("user_id", "event_id") else F.col(c) + F.expr("INTERVAL 900 DAYS") if c == "ts" else F.col(c)).alias(c)
+        for c in rows.columns])
+    closing.write.parquet(f"{folder}/in/part=4")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _with_state(spark, stream, folder):
+    """Run with the state store that keyed state machines need."""
     before = spark.conf.get(_STATE_STORE, None)
     spark.conf.set(_STATE_STORE, _ROCKSDB)
     try:
-        limits = Data(spark, sf_dir).users.withColumn("daily_limit", F.when(F.col("daily_limit") > 2, 2).otherwise(1))
-        attempts = _events(spark, sf_dir).withColumn("item_id", F.col("item_id") % 25)
-        out = queries.run_to_table(stream_ledger.admission(attempts, limits), shared_folder(spark, "stream-admission"))
+        return queries.run_to_table(stream, folder)
     finally:
         spark.conf.unset(_STATE_STORE) if before is None else spark.conf.set(_STATE_STORE, before)
-    return out.select("event_id", "status")
+
+
+def stream_confirm(spark, sf_dir):
+    """The same statuses as confirm_within, one micro-batch at a time and out of order."""
+    a, folder = Data(spark, sf_dir).attempt, shared_folder(spark, "stream-confirm")
+    rows = a.where("event_type in ('view', 'click', 'purchase')").select(
+        "user_id", "event_id", "ts", (F.col("event_type") == "view").alias("is_check"),
+        F.when(F.col("item_id") % 5 != 0, 1990 + F.col("item_id") % 2).alias("year"))
+    out = _with_state(spark, stream_ledger.confirmations(_arriving(spark, rows, folder), minutes=720), folder)
+    log = a.where("event_type in ('click', 'purchase')").select("event_id")
+    checks = out.select("event_id", F.col("detail").alias("check_id"))
+    return replay.with_late(log, out).join(checks, "event_id", "left").select("event_id", "check_id", "status")
+
+
+def stream_admission(spark, sf_dir):
+    """The same ledger as admission_ledger, one micro-batch at a time and out of order."""
+    d, folder = Data(spark, sf_dir), shared_folder(spark, "stream-admission")
+    limits = d.users.withColumn("daily_limit", F.when(F.col("daily_limit") > 2, 2).otherwise(1))
+    rows = d.attempt.select("user_id", "event_id", "ts", (F.col("item_id") % 25).alias("item_id"))
+    out = _with_state(spark, stream_ledger.admission(_arriving(spark, rows, folder), limits), folder)
+    return replay.with_late(rows.select("event_id"), out).select("event_id", "status")
 
 
 def stream_upsert(spark, sf_dir):
@@ -71,9 +101,7 @@ QUERIES = {f.__name__: f for f in (stream_daily, stream_active, stream_confirm,
 CHECKS = {
     "stream_daily": """select cast(ts::date as varchar) as day, count(*) as n from events
       where ts::date + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1""",
-    "stream_confirm": oracle("""select p.user_id, p.event_id as check_id, c.event_id from attempt p join attempt c
-      on c.user_id = p.user_id and c.item_id % 10 = p.item_id % 10 and c.ts between p.ts and p.ts + interval 720 minutes
-      where p.event_type = 'view' and c.event_type = 'click'""", "attempt"),
+    "stream_confirm": q_ledger.CHECKS["confirm_within"],
     "stream_upsert": q_text.CHECKS["upsert_latest"],
     "stream_active": """with d as (select distinct ts::date as day from events),
       u as (select distinct day + n::int as until from d, range(1, 8) r(n))

@@ -1,55 +1,72 @@
-"""The admission ledger as a keyed stateful stream: one small state per person."""
+"""The admission ledger and the confirmations as keyed stateful streams, in event time order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from curatorium.functions.dates import HOME_ZONE, local_day
-from curatorium.operators.ledger import DEFAULT_DAILY_LIMIT
+from curatorium.operators.ledger import CONFIRM_MINUTES, DEFAULT_DAILY_LIMIT
+from curatorium.streaming.replay import OrderedReplay, replayed
 
-OUTPUT = "user_id long, event_id long, status string"
+DELAY = "2 hours"
 
 
-class Admission(StatefulProcessor):
-    """new, duplicate or limit per attempt; state is today's count and the owned items."""
+class Admission(OrderedReplay):
+    """new, duplicate or limit per attempt; keeps the day's count and the owned items."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.today = handle.getValueState("today", StructType([StructField("day", StringType()), StructField("used", LongType())]))
         self.owned = handle.getMapState(
             "owned", StructType([StructField("item", LongType())]), StructType([StructField("event", LongType())]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        # a micro-batch is bounded by the source's trigger options, so its rows of one person are too
-        batch = pd.concat(rows).sort_values(["ts", "event_id"])
+    def step(self, at: int, event: int, row: dict) -> tuple[str, int | None]:
+        item = (int(row["item_id"]),)
+        if self.owned.containsKey(item):
+            return "duplicate", None
         day, used = self.today.get() if self.today.exists() else ("", 0)
-        out = []
-        for event, item, limit, now in zip(batch["event_id"], batch["item_id"], batch["daily_limit"], batch["day"]):
-            if now != day:
-                day, used = now, 0
-            if self.owned.containsKey((int(item),)):
-                status = "duplicate"
-            elif used >= limit:
-                status = "limit"
-            else:
-                self.owned.updateValue((int(item),), (int(event),))
-                used, status = used + 1, "new"
-            out.append((int(key[0]), int(event), status))
-        self.today.update((day, int(used)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "status"])
-
-    def close(self) -> None:
-        pass
-
-
-def admission(attempts: DataFrame, limits: DataFrame, zone: str = HOME_ZONE) -> DataFrame:
+        used = used if day == row["day"] else 0
+        if used >= row["daily_limit"]:
+            return "limit", None
+        self.owned.updateValue(item, (event,))
+        self.today.update((row["day"], int(used) + 1))
+        return "new", None
+
+
+def admission(attempts: DataFrame, limits: DataFrame, zone: str = HOME_ZONE, delay: str = DELAY) -> DataFrame:
     """Streaming attempts (user_id, item_id, event_id, ts) joined with static limits."""
-    limited = attempts.join(limits.select("user_id", "daily_limit"), "user_id", "left").select(
-        "user_id", "item_id", "event_id", "ts", local_day(F.col("ts"), zone).cast("string").alias("day"),
-        F.coalesce("daily_limit", F.lit(DEFAULT_DAILY_LIMIT)).alias("daily_limit"))
-    return limited.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Admission(), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+    limited = attempts.where("item_id is not null").join(limits.select("user_id", "daily_limit"), "user_id", "left").withColumns({
+        "day": local_day(F.col("ts"), zone).cast("string"), "daily_limit": F.coalesce("daily_limit", F.lit(DEFAULT_DAILY_LIMIT))})
+    return replayed(limited, Admission(), ["item_id", "day", "daily_limit"], delay)
+
+
+class Confirmation(OrderedReplay):
+    """ok, back_failed or back_expired per confirmation of the person's latest check; keeps that check and whether it is used up."""
+
+    def __init__(self, minutes: int) -> None:
+        self.open_ms = minutes * 60_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.check = handle.getValueState("check", StructType([
+            StructField("at", LongType()), StructField("event", LongType()), StructField("year", LongType()), StructField("used", LongType())]))
+
+    def step(self, at: int, event: int, row: dict) -> tuple[str, int | None] | None:
+        year = row.get("year")
+        if row["is_check"]:
+            self.check.update((at, event, -1 if year is None else int(year), 0))
+            return None
+        if not self.check.exists():
+            return "back_expired", None
+        asked, check, known, used = self.check.get()
+        if at > asked + self.open_ms or used:
+            return "back_expired", int(check)
+        if year is not None and known >= 0 and int(year) != known:
+            return "back_failed", int(check)
+        self.check.update((asked, check, known, 1))
+        return "ok", int(check)
+
+
+def confirmations(events: DataFrame, minutes: int = CONFIRM_MINUTES, delay: str = DELAY) -> DataFrame:
+    """Streaming checks and confirmations (user_id, event_id, ts, is_check, year); one row per confirmation, `detail` its check."""
+    return replayed(events, Confirmation(minutes), ["is_check", "year"], delay)

@@ -1,4 +1,4 @@
-"""The time-based reports and the confirmation as Structured Streaming.
+"""The time-based reports as Structured Streaming.
 
 Event time is `ts`; rows later than the watermark are dropped by the engine.
 """
@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from curatorium.operators.ledger import CONFIRM_MINUTES
-
 WATERMARK = "1 hour"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -38,19 +36,6 @@ def rolling_active(events: DataFrame, days: int = 7) -> DataFrame:
     )
 
 
-def confirmations(pending: DataFrame, confirms: DataFrame, minutes: int = CONFIRM_MINUTES) -> DataFrame:
-    """Each confirmation with the check it names, if that is still open; both sides keep state only
-    for the time a check lives. Streams carry user_id, check_key, event_id and ts."""
-    p = pending.withWatermark("ts", WATERMARK).select(
-        F.col("user_id").alias("p_user"), F.col("check_key").alias("p_key"), F.col("event_id").alias("check_id"), F.col("ts").alias("asked_at"))
-    c = confirms.withWatermark("ts", WATERMARK).select("user_id", "check_key", "event_id", "ts")
-    return p.join(
-        c,
-        (F.col("p_user") == F.col("user_id")) & (F.col("p_key") == F.col("check_key")) & (F.col("ts") >= F.col("asked_at"))
-        & (F.col("ts") <= F.col("asked_at") + F.expr(f"INTERVAL {minutes} MINUTES")),
-    ).select("user_id", "check_id", "event_id")
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process everything there is now, into files with their own checkpoint, and return the result."""
     query = (
