@@ -59,14 +59,17 @@ def point_in_polygon(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(point columns, id) for every shape a point lies in.
 
     Polygons are spread over the grid cells their box touches and joined on the cell, an equi join
-    that is broadcast when the shapes are counted to be few; the exact test follows in the same stage.
+    that is broadcast when cells are counted to be few. A cell row carries the box only; the edges of a polygon come by its
+    number to the points that lie in its box, and the exact test follows.
     """
     polygons = polygon_edges(shapes)
     cells = polygons.select("*", F.explode(F.sequence(_cell(F.col("x_min")), _cell(F.col("x_max")))).alias("cx")).select(
         "*", F.explode(F.sequence(_cell(F.col("y_min")), _cell(F.col("y_max")))).alias("cy"))
     near = points.withColumns({"cx": _cell(F.col("lon")), "cy": _cell(F.col("lat"))}).join(
-        small_or_shuffled(cells.select("id", "edges", "cx", "cy")), ["cx", "cy"])
-    return near.where(_inside(F.col("edges"), F.col("lon"), F.col("lat"))).select(*points.columns, "id")
+        small_or_shuffled(cells.select("id", "polygon", "x_min", "x_max", "y_min", "y_max", "cx", "cy")), ["cx", "cy"]).where(
+        "lon between x_min and x_max and lat between y_min and y_max")
+    rings = small_or_shuffled(polygons.select("id", "polygon", "edges"))
+    return near.join(rings, ["id", "polygon"]).where(_inside(F.col("edges"), F.col("lon"), F.col("lat"))).select(*points.columns, "id")
 
 
 def angular_distance(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:

@@ -10,20 +10,31 @@ from curatorium.operators import geo, progress, social
 from curatorium.plans.bindings import Data, oracle
 from curatorium.plans.q_text import SLOTS_SQL
 from curatorium.sources import catalogue
+from curatorium.sources.sinks import stored
 
 BASICS = ["ribbon", "star", "stamp"]
 
 
 class _Album:
-    """The frames most progress queries share, built when first asked for."""
+    """The frames most progress queries share, built when first asked for. With `keep`, those that a query uses several times are
+    stored, so the big tables are read once."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, keep=False):
         self.spark, self.d = spark, Data(spark, sf_dir)
-        self.facts = self.d.fact
+        self.store = stored if keep else lambda df, name: df
         self.items = self.d.item.select(
             "item_id", "name", "maker", "region", "country", "appellation", "grape", "style", F.nullif("color", F.lit("")).alias("color"),
             F.array("tag").alias("tags"))
 
+    @cached_property
+    def facts(self):
+        columns = ["user_id", "item_id", "fact_id", "created_at", "tier", "full_art", "memo", "fav_rank"]
+        return self.store(self.d.fact.select(*columns), "facts")
+
+    @cached_property
+    def edge(self):
+        return self.store(self.d.edge, "edges")
+
     @cached_property
     def slots(self):
         return catalogue.slots(catalogue.sets_frame(self.spark, catalogue.packaged("sets")))
@@ -34,7 +45,7 @@ class _Album:
 
     @cached_property
     def filled(self):
-        return progress.filled_slots(self.facts, self.fills)
+        return self.store(progress.filled_slots(self.facts, self.fills), "filled")
 
     @cached_property
     def progress(self):
@@ -42,15 +53,15 @@ class _Album:
 
     @cached_property
     def visible(self):
-        return progress.visible_sets(self.progress, self.d.users, self.slots)
+        return self.store(progress.visible_sets(self.progress, self.d.users, self.slots), "visible")
 
     @cached_property
     def shared(self):
-        return social.shared_items(self.d.edge, self.facts, self.items)
+        return social.shared_items(self.edge, self.facts, self.items)
 
     @cached_property
     def metrics(self):
-        return progress.reward_metrics(self.d.users, self.facts, self.items, self.d.edge, self.visible, self.shared)
+        return progress.reward_metrics(self.d.users, self.facts, self.items, self.edge, self.visible, self.shared)
 
     @cached_property
     def rewards(self):
@@ -82,7 +93,7 @@ def set_visible(spark, sf_dir):
 
 
 def gap_guide(spark, sf_dir):
-    a = _Album(spark, sf_dir)
+    a = _Album(spark, sf_dir, keep=True)
     return _long(progress.gap_guide(a.visible, a.filled, a.slots), "position", "difficulty")
 
 
@@ -98,21 +109,21 @@ def chapters(spark, sf_dir):
 
 
 def reward_metrics(spark, sf_dir):
-    return _Album(spark, sf_dir).metrics
+    return _Album(spark, sf_dir, keep=True).metrics
 
 
 def reward_progress(spark, sf_dir):
-    a = _Album(spark, sf_dir)
+    a = _Album(spark, sf_dir, keep=True)
     return progress.reward_progress(a.metrics, a.rewards)
 
 
 def due_rewards(spark, sf_dir):
-    a = _Album(spark, sf_dir)
+    a = _Album(spark, sf_dir, keep=True)
     return progress.due_rewards(progress.reward_progress(a.metrics, a.rewards), a.opened)
 
 
 def earned_badges(spark, sf_dir):
-    a = _Album(spark, sf_dir)
+    a = _Album(spark, sf_dir, keep=True)
     return progress.earned_badges(a.d.users, a.facts, a.items, a.visible, a.opened, a.rewards, BASICS)
 
 
@@ -122,18 +133,18 @@ def icon_coverage(spark, sf_dir):
 
 
 def shared_items(spark, sf_dir):
-    return _Album(spark, sf_dir).shared
+    return _Album(spark, sf_dir, keep=True).shared
 
 
 def cosine_counts(spark, sf_dir):
-    a = _Album(spark, sf_dir)
-    out = social.cosine_counts(a.d.edge, social.profiles(a.facts, a.items))
+    a = _Album(spark, sf_dir, keep=True)
+    out = social.cosine_counts(a.edge, social.profiles(a.facts, a.items))
     return out.withColumns({c: F.round(c, 9) for c in ("region_cos", "color_cos")})
 
 
 def taste_match(spark, sf_dir):
-    a = _Album(spark, sf_dir)
-    return social.taste_match(social.cosine_counts(a.d.edge, social.profiles(a.facts, a.items)), a.shared)
+    a = _Album(spark, sf_dir, keep=True)
+    return social.taste_match(social.cosine_counts(a.edge, social.profiles(a.facts, a.items)), a.shared)
 
 
 def friend_list(spark, sf_dir):

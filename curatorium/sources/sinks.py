@@ -17,6 +17,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once and read back, for frames that a query uses several times: compact, typed, and with sizes the planner knows."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def append_log(df: DataFrame, path: str, time_column: str, rows_per_task: int = 1_000_000) -> None:
     """Append to a log partitioned by month, so month filters prune folders."""
     rows = df.withColumn("month", F.date_format(time_column, "yyyy-MM"))
