@@ -185,14 +185,15 @@ def earned_badges(
 
 
 def icon_coverage(facts: DataFrame, items: DataFrame, rules: list[dict]) -> DataFrame:
-    """Per person and discovered country: how many of the country's icons they own."""
-    local = [r for r in rules if not r["legend"]]
+    """(user_id, country, icon, legend, owned) for every icon, legends too, of each country a person has discovered. An icon is owned
+    with any item whose maker and name fit it, wherever that comes from."""
     text = F.concat_ws(" ", "maker", "name")
-    hits = F.filter(F.array(*[F.when(text.rlike("(?i)" + r["pattern"]), F.lit(r["country"] + _SEP + r["name"])) for r in local]),
+    hits = F.filter(F.array(*[F.when(text.rlike("(?i)" + r["pattern"]), F.lit(r["country"] + _SEP + r["name"])) for r in rules]),
                     lambda x: x.isNotNull())
-    matched = items.select("item_id", F.explode(hits).alias("icon"))
-    owned = facts.join(matched, "item_id").groupBy("user_id", "icon").agg(F.count(F.lit(1)).alias("n"))
-    per_country = owned.groupBy("user_id", F.split_part("icon", F.lit(_SEP), F.lit(1)).alias("country")).agg(
-        F.count(F.lit(1)).alias("icons_owned"))
+    matched = items.select("item_id", F.explode(hits).alias("key"))
+    owned = facts.join(matched, "item_id").select("user_id", "key").distinct().withColumn("owned", F.lit(True))
     known = chapters(facts.join(items.select("item_id", "country"), "item_id")).select("user_id", "country")
-    return known.join(per_country, ["user_id", "country"], "left").withColumn("icons_owned", F.coalesce("icons_owned", F.lit(0)))
+    icons = items.sparkSession.createDataFrame(
+        [(r["country"], r["name"], bool(r["legend"])) for r in rules], "country string, icon string, legend boolean")
+    each = known.join(small_or_shuffled(icons), "country").withColumn("key", F.concat("country", F.lit(_SEP), "icon"))
+    return each.join(owned, ["user_id", "key"], "left").select("user_id", "country", "icon", "legend", F.coalesce("owned", F.lit(False)).alias("owned"))

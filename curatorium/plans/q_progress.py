@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from curatorium.operators import geo, progress, social
+from curatorium.operators import geo, progress, ranking, social
 from curatorium.plans.bindings import Data, oracle
 from curatorium.plans.q_text import SLOTS_SQL
 from curatorium.sources import catalogue
@@ -161,6 +161,14 @@ def friend_album(spark, sf_dir):
     return out.drop("viewer_id", "owner_id").withColumn("stickers", F.to_json("stickers"))
 
 
+def viewer_album(spark, sf_dir):
+    """What each viewer sees: the album pages of all friends, without notes."""
+    d = Data(spark, sf_dir)
+    card = F.struct(F.col("item_id").alias("id"), F.col("tier").alias("tier"))
+    pages = ranking.album_pages(d.fact.select("user_id", "item_id", "tier", "created_at", "fact_id"), card)
+    return social.visible_albums(d.edge, pages).select("viewer_id", "user_id", "page", F.to_json("cards").alias("cards"))
+
+
 def canonical_edges(spark, sf_dir):
     d = Data(spark, sf_dir)
     code = F.upper(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8))
@@ -217,7 +225,7 @@ def pin_lookup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     slot_fill, set_progress, set_visible, gap_guide, leftovers, chapters, reward_metrics, reward_progress, due_rewards, earned_badges,
-    icon_coverage, shared_items, cosine_counts, taste_match, friend_list, friend_album, canonical_edges, point_in_polygon, within_radius,
+    icon_coverage, shared_items, cosine_counts, taste_match, friend_list, friend_album, viewer_album, canonical_edges, point_in_polygon, within_radius,
     bbox_overlap, project_box, thin_sequence, pin_lookup)}
 
 _FILL = f"""{SLOTS_SQL},
@@ -274,8 +282,9 @@ _EDGE_ROWS = ", ".join(
 _BOXES = ", ".join(f"('{b['name']}', {b['lon_min']}, {b['lat_min']}, {b['lon_max']}, {b['lat_max']})" for b in catalogue.packaged("boxes"))
 _B0 = catalogue.packaged("boxes")[0]
 _PINS = catalogue.packaged("pins")
-_ICONS = [r for r in catalogue.packaged("icon_rules") if not r["legend"]]
-_ICON_ROWS = ", ".join("('{}', '{}', '(?i){}')".format(r["country"], r["name"].replace("'", "''"), r["pattern"].replace("'", "''")) for r in _ICONS)
+_ICONS = catalogue.packaged("icon_rules")
+_ICON_ROWS = ", ".join("('{}', '{}', '(?i){}', {})".format(
+    r["country"], r["name"].replace("'", "''"), r["pattern"].replace("'", "''"), str(bool(r["legend"])).lower()) for r in _ICONS)
 
 CHECKS = {
     "slot_fill": oracle(f"with {_FILL} select item_id, set_id, cast(position as bigint) as position from fill", "item", "fact", "users"),
@@ -295,10 +304,14 @@ CHECKS = {
       select user_id, 'e:' || set_id from vis where complete union
       select user_id, 'h:' || region from fi where full_art union
       select user_id, 'p:' || unnest(badges) from opened""", "item", "fact", "users"),
-    "icon_coverage": oracle(f"""with ic(country, name, pattern) as (values {_ICON_ROWS}),
-      own as materialized (select distinct user_id, ic.country, ic.name from fact join item using (item_id) join ic on regexp_matches(concat_ws(' ', item.maker, item.name), pattern)),
+    "icon_coverage": oracle(f"""with ic(country, icon, pattern, legend) as (values {_ICON_ROWS}),
+      own as materialized (select distinct user_id, ic.country, ic.icon, true as had from fact join item using (item_id) join ic on regexp_matches(concat_ws(' ', item.maker, item.name), pattern)),
       ch as (select distinct user_id, country from fact join item using (item_id))
-      select user_id, country, count(own.name) as icons_owned from ch left join own using (user_id, country) group by all""", "item", "fact"),
+      select user_id, country, icon, legend, coalesce(had, false) as owned from ch join ic using (country) left join own using (user_id, country, icon)""", "item", "fact"),
+    "viewer_album": oracle("""with n as (select *, row_number() over (partition by user_id order by created_at, fact_id) - 1 as i from fact),
+      p as (select user_id, cast(floor(i / 9) as bigint) as page, '[' || string_agg('{"id":' || item_id || ',"tier":"' || tier || '"}', ',' order by i) || ']' as cards from n group by all),
+      f as (select a as viewer_id, b as user_id from edge union all select b, a from edge)
+      select viewer_id, user_id, page, cards from f join p using (user_id)""", "fact", "edge"),
     "shared_items": oracle(f"with {_KEYED} select a, b, shared from shr", "item", "fact", "edge"),
     "cosine_counts": oracle(f"with {_COSINE} select a, b, round(region_cos, 9) as region_cos, round(color_cos, 9) as color_cos, size_a, size_b from cosn", "item", "fact", "edge"),
     "taste_match": oracle(f"""with {_KEYED}, {_COSINE} select a, b, shared, cast(case when size_a > 0 and size_b > 0 then
