@@ -5,7 +5,8 @@ null last, weigh 5, 2, 1, repeating, and share the whole size of all documents b
 its source's size, and the excess is shared again among the others, until none is above.
 
 Each source deals its documents in the order of a hash, pass after pass, `most` passes in all. A copy's virtual finish time is
-the number of its source's words dealt up to its end, divided by the source's target. All copies are range-sorted by finish time,
+the number of its source's words dealt up to its middle word, divided by the source's target; with the middle rather than the end,
+sources end above their targets as often as below, by half a document at most. All copies are range-sorted by finish time,
 and the mix takes them from the start until the next one would exceed the total. Ties go by source, hash and id, so reruns agree;
 rows equal in id, source and size are taken or left together. Documents without words are taken 0 times.
 """
@@ -56,7 +57,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     summed = running(dealt, ["source"], ["deal", "doc_id", "size"], {"upto": ("sum", F.col("size"))}, parts)
     joined = summed.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     queue = keep(joined, "queue")
-    nth = [F.when(F.col("target") > 0, (F.col("upto") + F.col("source_size") * k) / F.col("target")) for k in range(most)]
+    nth = [F.when(F.col("target") > 0, (2 * F.col("upto") - F.col("size") + 2 * k * F.col("source_size")) / (2 * F.col("target"))) for k in range(most)]
     tie = [F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("deal"), F.coalesce("doc_id", F.lit(-1 << 63))]
     names = ["finish", "t1", "t2", "t3", "t4"]
 

@@ -158,7 +158,7 @@ q as (
     select d.*, t.source_size, t.target, md5('0|' || coalesce(doc_id::varchar, '')) as deal, sum(size) over (
         partition by d.source order by md5('0|' || coalesce(doc_id::varchar, '')), doc_id rows unbounded preceding) as upto
     from d join t on d.source is not distinct from t.source),
-c as (select *, (upto + source_size * k)::double / target as finish from q, range(3) r(k) where size > 0),
+c as (select *, (2 * upto - size + 2 * k * source_size)::double / (2 * target) as finish from q, range(3) r(k) where size > 0),
 m as (select *, sum(size) over (order by finish, source nulls last, deal, doc_id rows unbounded preceding) as upto_all from c)
 select q.doc_id, q.size, q.source_size, q.target, q.size * count(m.k) as taken
 from q left join m on m.doc_id = q.doc_id and m.upto_all <= (select sum(size) from d)

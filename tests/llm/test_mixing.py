@@ -38,7 +38,7 @@ def brute(rows):
         for deal, i, n in sorted(xs):
             upto += n
             if n:
-                queue += [((upto + whole * k) / goal[s], s is None, s or "", deal, i, n) for k in range(3)]
+                queue += [((2 * upto - n + 2 * k * whole) / (2 * goal[s]), s is None, s or "", deal, i, n) for k in range(3)]
     taken, used = {}, 0
     for x in sorted(queue):
         used += x[-1]
