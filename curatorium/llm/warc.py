@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from curatorium.llm.store import keep
+
 _VERSION, _END = "WARC/1.1\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 _ID_HEADER = "WARC-Record-ID"
@@ -89,10 +91,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_rows: int = 30
     """Three records per row of pages (page_id, url, html), in gzip archives of at most `file_rows` captures."""
     sha, length = _digest(F.coalesce("html", F.lit("")))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"sha": sha, "length": length})
-    given = roles(pages, min_bytes).withColumnsRenamed({c: "_" + c for c in ("page_id", "url", "sha", "length")})
-    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in ("page_id", "url", "sha", "length")]
-    keys = ["_page_id", "_url", "_sha", "_length"]
-    rows = own.join(given, same).withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("sha")))
+    # one key for join and numbering, so the payloads are shuffled once
+    key = F.md5(F.to_json(F.struct("page_id", "url", "sha", "length")))
+    given = roles(pages, min_bytes).select(key.alias("_key"), "is_first", "first", "first_url")
+    rows = own.withColumn("_key", key).join(given, "_key").withColumn(
+        "copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     rows = rows.withColumns({
         "revisit": ~(F.col("is_first") & ((F.col("copy") == 1) | (F.col("length") < min_bytes))),
@@ -186,12 +189,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return records.mapInArrow(run, _FLAT)
 
 
-def captures(records: DataFrame) -> DataFrame:
-    """One nested row per response or revisit: response, and request and metadata where records name it (null else), and the
+def captures(records: DataFrame, payload: bool = True) -> DataFrame:
+    """Records are read once and kept, without payloads if these aren't wanted. One nested row per response or revisit: response, and request and metadata where records name it (null else), and the
     response that a revisit refers to. Records that repeat an id count once."""
+    records = keep(records if payload else records.drop("payload"), "records")
     main = records.where("type in ('response', 'revisit')").dropDuplicates(["record_id"])
     out = main.select(F.col("record_id").alias("capture_id"), F.struct(
-        "type", "record_id", "target", "refers_to", "payload_digest", "payload_bytes", "digest_holds", "payload").alias("response"))
+        "type", "record_id", "target", "refers_to", "payload_digest", "payload_bytes", "digest_holds", *(["payload"] if payload else [])).alias("response"))
     for kind, fields in (("request", ["record_id", "target"]), ("metadata", ["record_id", "page_id"])):
         side = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull()).groupBy("concurrent_to").agg(
             F.min(F.struct(*fields)).alias(kind))
