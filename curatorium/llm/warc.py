@@ -190,8 +190,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def captures(records: DataFrame, payload: bool = True) -> DataFrame:
-    """Records are read once and kept, without payloads if these aren't wanted. One nested row per response or revisit: response, and request and metadata where records name it (null else), and the
-    response that a revisit refers to. Records that repeat an id count once."""
+    """One nested row per response or revisit: response, and request and metadata where records name it (null else), and the
+    response that a revisit refers to. Records that repeat an id count once. They are parsed once and kept, without payloads if those
+    aren't wanted."""
     records = keep(records if payload else records.drop("payload"), "records")
     main = records.where("type in ('response', 'revisit')").dropDuplicates(["record_id"])
     out = main.select(F.col("record_id").alias("capture_id"), F.struct(
