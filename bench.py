@@ -15,7 +15,8 @@ HEADLINE = (
     "score_tier tier_shift propagate_tier norm_name dup_leader lookup_two_stage merge_facts slot_fill set_progress set_visible "
     "gap_guide reward_progress earned_badges shared_items taste_match nested_album names_per_tier batch_pages stack_top milestones "
     "latest_value kpi_row rolling_active host_count upsert_latest daily_quota admission_ledger repeat_ledger guarantee_ledger "
-    "cap_ledger confirm_within ranked_insert sticky_first point_in_polygon entity_regex"
+    "cap_ledger confirm_within ranked_insert sticky_first point_in_polygon entity_regex "
+    "merge_survivor due_rewards reward_metrics friend_album viewer_album thin_sequence stream_daily stream_admission"
 ).split()
 
 
