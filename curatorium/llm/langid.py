@@ -28,6 +28,7 @@ BUCKETS, LONGEST = 1 << 14, 3
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 128, 1e-4
 _STEP = 1 << 18  # characters hashed at a time
 _ROWS = 64
+DEALS = 64
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -87,9 +88,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     """Fit on the texts and `lang` of docs. Only packed presence vectors, 2 KB each, reach the driver."""
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & has_letter(F.col("text"))).withColumn(
         "hash", F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    last = rows.select("lang", "hash").distinct().withColumn("place", place).where(F.col("place") <= per_language).groupBy(
-        "lang").agg(F.max("hash").alias("last"))
+    hashes, keys = rows.select("lang", "hash").distinct(), ["lang", F.pmod("hash", F.lit(DEALS))]
+    # the smallest hashes of each language, first of each deal of it, so that a common language isn't one task's work
+    for by in (keys, keys[:1]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+        hashes = hashes.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    last = hashes.groupBy("lang").agg(F.max("hash").alias("last"))
     few = rows.join(small_or_shuffled(last), "lang").where("hash <= last").groupBy("lang", "hash").agg(F.min("text").alias("text"))
     found = few.select("lang", "hash", _packed("text").alias("bits")).orderBy("lang", "hash").collect()
     if not found:

@@ -56,8 +56,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(table(spark, sf_dir, "pages"), folder)
     found = warc.captures(warc.read(spark, folder), payload=False)
     return found.select(
-        F.col("metadata.page_id").cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest",
-        F.col("response.type").alias("record_type"), F.col("refers_to.page_id").cast("long").alias("refers_to"))
+        F.col("metadata.page_id").try_cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest",
+        F.col("response.type").alias("record_type"), F.col("refers_to.page_id").try_cast("long").alias("refers_to"))
 
 
 def op6_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
