@@ -3,9 +3,10 @@
 Ratings 0 to 2 (0 poor, 1 readable but toxic, 2 clean) share one weight vector; ordered thresholds turn the score s into
 P(grade <= k) = sigmoid(threshold_k - s). The expected grade and the tail probability P(grade >= 2) follow from that.
 
-Features of a whole text: which words it has (letters and digits in lower case, hashed to 22 bits) and how often each shape of
-word occurs ("Aa,", "A!", and the same word twice in a row), as a share of its words. Only the `max_features` buckets that
-most of the labelled sample's texts have, at least `min_texts` each, carry weights.
+Features of a whole text: which words and which beginnings of longer words it has (letters and digits in lower case, hashed to 22
+bits; six bytes of a word are its beginning) and how often each shape of word occurs ("Aa,", "A!", and the same word twice in a row), as a share of its words. Only buckets that at least `min_texts` of the
+sample's texts have, and whose texts' grades differ from the sample's by chi-squared LEAST_CHI2 or more, carry weights, the
+`max_features` most different ones at most.
 
 The model is fitted on at most `sample` rated documents, those of the smallest hash of doc_id; every document is scored. Ratings
 of one document are averaged, null ratings are ignored. Without any rating no document is judged: null grades, all kept.
@@ -26,8 +27,9 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Str
 from curatorium.llm import words
 from curatorium.llm.store import keep, packed, unpacked
 
-BITS, GRADES = 22, 3
+BITS, GRADES, STEM = 22, 3, 6
 SAMPLE, MAX_FEATURES, MIN_TEXTS = 12_000, 8192, 8
+LEAST_CHI2 = 20.0  # with two degrees of freedom, one bucket in 20,000 gets there by chance
 _CHUNK = 1 << 20
 
 _WORD = np.arange(256, dtype=np.uint8)
@@ -45,12 +47,31 @@ def _only(data: np.ndarray, starts: np.ndarray, mask: np.ndarray) -> tuple[np.nd
     return data[mask], before[starts]
 
 
+def _stems(lowered: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """(text, bucket) keys of the first STEM bytes of every word that is longer."""
+    begin, end = words.spans(lowered, begins)
+    long = end - begin > STEM
+    begin, end = begin[long], end[long]
+    # bytes of a stem count +1 where it begins and -1 where it ends; a blank stands for what follows it
+    step = np.zeros(len(lowered) + 1, np.int64)
+    step[begin] += 1
+    step[begin + STEM] -= 1
+    inside = np.cumsum(step[:-1]) > 0
+    first = np.zeros(len(lowered) + 1, bool)
+    first[begin + STEM] = True
+    stems = np.where(first[:-1], np.uint8(32), lowered)
+    hashed, of = words.word_hashes(*_only(stems, begins, inside | first[:-1]))
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(of))
+    return (owner << BITS) | (words.mix(hashed + np.uint64(2)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, value) of every feature of every text, each once."""
     lowered, begins = _only(_WORD[data], starts, _IN_WORD[data])
     hashed, first = words.word_hashes(lowered, begins)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(first))
-    has = np.unique((text << BITS) | (hashed >> np.uint64(64 - BITS)).astype(np.int64))
+    has = np.unique(np.concatenate([
+        (text << BITS) | (hashed >> np.uint64(64 - BITS)).astype(np.int64), _stems(lowered, begins)]))
     shape = _SHAPE[data]
     new = np.ones(len(shape), bool)
     new[1:] = shape[1:] != shape[:-1]
@@ -139,7 +160,7 @@ def _lbfgs(loss, x: np.ndarray, rounds: int = 150, memory: int = 10) -> np.ndarr
     return x
 
 
-def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, ridge: float = 1e-3
+def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, ridge: float = 1e-4
         ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the penalised likelihood. Thresholds are a first one and the logs of the gaps after it."""
     n = len(grade)
@@ -177,8 +198,15 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, max_features:
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(
         "grade", _sparse("text").alias("x"))
     found = keep(found, "rated-features")
-    texts = found.select(F.explode("x.bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    used = texts.where(F.col("n") >= min_texts).orderBy(F.desc("n"), "bucket").limit(max_features)
+    counts = {r["grade"]: r["count"] for r in found.groupBy("grade").count().collect()}
+    total = sum(counts.values())
+    texts = found.select("grade", F.explode("x.bucket").alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in counts])
+    # how far a bucket's texts are from the sample's mix of grades
+    away = sum((F.pow(F.col(f"n{g}") - F.col("n") * F.lit(c / total), F.lit(2.0)) / (F.col("n") * F.lit(c / total)) for g, c in counts.items()),
+               F.lit(0.0))
+    used = texts.where(F.col("n") >= min_texts).withColumn("away", away).where(F.col("away") >= LEAST_CHI2).orderBy(
+        F.desc("away"), "bucket").limit(max_features)
     buckets = np.sort(np.array([r["bucket"] for r in used.collect()], np.int64))
     # each document brings the used buckets only: sample x max_features entries at most
     rows = found.mapInArrow(_narrowed(buckets), "grade int, at binary, value binary").collect()
