@@ -101,6 +101,8 @@ def merge_survivors(items: DataFrame) -> DataFrame:
     key, only the label is taken over.
     """
     pairs = leaders(items)
+    if "signals" not in items.columns:
+        items = items.withColumn("signals", F.lit(None).cast("string"))
     age = F.struct("created_at", "item_id")
     own = F.col("item_id") == F.col("leader_id")
     # the leader first, then the dropped by age
