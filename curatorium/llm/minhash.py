@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
@@ -160,9 +161,9 @@ _HASHED = StructType([StructField("content", BinaryType()), StructField("signatu
 _SET = StructType([StructField("content", BinaryType()), StructField("shingles", BinaryType())])
 
 
-def _shingle_sets(texts: pd.Series) -> Iterator[tuple[bytes, np.ndarray]]:
+def _shingle_sets(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
     """Of every text its sorted different shingle hashes, and a digest of them."""
-    data, starts = words.raw(pa.array(texts, pa.large_string()))
+    data, starts = words.raw(texts)
     for a, b in words.blocks(starts):
         hashed, first = words.word_hashes(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
         values, begins = words.shingle_hashes(hashed, first, SHINGLE)
@@ -171,17 +172,28 @@ def _shingle_sets(texts: pd.Series) -> Iterator[tuple[bytes, np.ndarray]]:
             yield hashlib.md5(own.tobytes()).digest(), own
 
 
-@F.pandas_udf(_HASHED)
-def _hashed(texts: pd.Series) -> pd.DataFrame:
-    content = [c for c, _ in _shingle_sets(texts)]
-    prints = signatures(pa.array(texts, pa.large_string()))
-    return pd.DataFrame({"content": content, "signature": [p.tobytes() for p in prints]})
+def _column(texts: pd.Series, fold: bool) -> pa.Array:
+    column = pa.array(texts, pa.large_string())
+    return pc.ascii_lower(column) if fold else column
+
+
+def _hashed(fold: bool):
+    @F.pandas_udf(_HASHED)
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        column = _column(texts, fold)
+        content = [c for c, _ in _shingle_sets(column)]
+        return pd.DataFrame({"content": content, "signature": [p.tobytes() for p in signatures(column)]})
+
+    return hashed
 
 
-@F.pandas_udf(_SET)
-def _sets(texts: pd.Series) -> pd.DataFrame:
-    rows = [(c, own.tobytes()) for c, own in _shingle_sets(texts)]
-    return pd.DataFrame(rows, columns=["content", "shingles"])
+def _sets(fold: bool):
+    @F.pandas_udf(_SET)
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        rows = [(c, own.tobytes()) for c, own in _shingle_sets(_column(texts, fold))]
+        return pd.DataFrame(rows, columns=["content", "shingles"])
+
+    return sets
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -192,15 +204,15 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, fold: bool = False) -> DataFrame:
     """(doc_id, class_id) for every row: class_id is the smallest doc_id reachable over links of Jaccard likeness `similarity` or
-    more between the texts' shingle sets; null where the whole class has none.
+    more between the texts' shingle sets; null where the whole class has none. `fold` takes ASCII letters in lower case.
 
     Texts of equal shingle sets are one node. Signature bands join nodes that may be alike; the likeness of each such pair is
     verified on the sets themselves, which are made again for those nodes only. Bands that many different nodes share are
     cut into cells of bounded size, which return a spanning forest of their verified links instead of all of them."""
     text = F.coalesce("text", F.lit(""))
-    rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(text).alias("x")).select(
+    rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(fold)(text).alias("x")).select(
         "doc_id", "row_hash", "x.*"), "hashed-texts")
     nodes = rows.groupBy("content").agg(F.min("signature").alias("signature"))
     keys = F.array(*[F.substring("signature", 1 + ROWS * i, ROWS) for i in range(BANDS)])
@@ -217,7 +229,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = texts.join(small_or_shuffled(rows_of), F.col("_own") == F.col("_row"), "left_semi")
     # copies meet before their text is hashed again
     sets = found.groupBy("_own", F.xxhash64(F.lit("second"), "text").alias("_other")).agg(F.min("text").alias("text")).select(
-        _sets("text").alias("x")).select("x.*").dropDuplicates(["content"])
+        _sets(fold)("text").alias("x")).select("x.*").dropDuplicates(["content"])
     sets = keep(sets, "shingle-sets")
 
     @F.pandas_udf(DoubleType())
@@ -254,3 +266,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     smallest = firsts.groupBy("component").agg(F.min("_first").alias("class_id"))
     named = firsts.join(smallest, "component").select("content", "class_id")
     return rows.join(named, "content").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Documents without those of verified likeness, over any chain of links, to a document of smaller id; ASCII letters in lower
+    case. Of rows that share the smallest id all stay; null ids stay only where their whole class has none."""
+    found = near_duplicates(docs, similarity, fold=True)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
