@@ -6,7 +6,8 @@ below they are not; those in between get exact distinct counts. A null site is o
 
 Boilerplate lines are removed wherever they stand, the rest of a text stays as it is, line feeds of kept lines included. A
 document that would lose more than `most` of its characters is a copy rather than a page with boilerplate: it stays whole, for
-near-dedup to judge. Null and empty texts stay.
+near-dedup to judge. With `copies_only` it stays whole only if it is one: if the same whole text stands under several keys,
+or if nothing but blanks would be left of it. Null and empty texts stay.
 
 Texts move once (joined to their own boilerplate positions); else only hashes do. Hashes take 128 bits.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatorium.llm.store import keep, packed, unpacked
+from curatorium.operators.bounded import small_or_shuffled
 
 MIN_SITES, MOST = 8, 0.5
 LOG_REGISTERS = 10  # standard error about 3 %; sketches of a few sites are exact
@@ -46,22 +48,33 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST, text: str = "text", site: str = "source",
-                        key: str = "doc_id") -> DataFrame:
+                        key: str = "doc_id", copies_only: bool = False) -> DataFrame:
     """All columns with the cleaned text, and n_lines, n_removed (lines found to be boilerplate and removed). Columns of those
-    names are replaced. Rows with equal key and text are cleaned alike; the key may be null."""
+    names are replaced. Rows with equal key and text are cleaned alike; the key may be null (all null keys count as one)."""
     docs = docs.drop("n_lines", "n_removed")
     bad = keep(boilerplate(docs, min_sites, text, site), "boilerplate")
-    same = F.xxhash64(F.col(text))
-    placed = docs.select(F.col(key).alias("_key"), same.alias("_same"), F.posexplode(_lines(F.col(text))).alias("_at", "_line")).select(
-        "_key", "_same", "_at", _line_hash(F.col("_line")).alias("_x")).select("_key", "_same", "_at", "_x.*")
-    hits = placed.join(bad, ["h", "g"], "left_semi").groupBy("_key", "_same").agg(F.collect_set("_at").alias("_bad"))
+    same, own = F.xxhash64(F.col(text)), [F.col("_key"), F.col("_same")]
+    if copies_only:
+        own.append(F.col("_twin"))
+    placed = docs.select(F.col(key).alias("_key"), same.alias("_same"), F.xxhash64(F.lit("second"), F.col(text)).alias("_twin"),
+                         F.posexplode(_lines(F.col(text))).alias("_at", "_line")).select(
+        *own, "_at", _line_hash(F.col("_line")).alias("_x")).select(*own, "_at", "_x.*")
+    hits = placed.join(bad, ["h", "g"], "left_semi").groupBy(*own).agg(F.collect_set("_at").alias("_bad"))
+    if copies_only:
+        # equal texts have equal hits, so the hits tell the copies; one row per key and text
+        hits = keep(hits, "hits")
+        copies = hits.groupBy("_same", "_twin").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+            "_same", "_twin", F.lit(True).alias("_copy"))
+        hits = hits.join(small_or_shuffled(copies), ["_same", "_twin"], "left")
     body = F.col(f"_row.`{text}`")
     joined = packed(docs).withColumn("_of", F.xxhash64(body)).join(
         hits, F.col(f"_row.`{key}`").eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_same")), "left")
     parts = F.split(body, "\n")
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_bad", i)), "\n")
-    cleaned = joined.withColumn("_rest", F.when(F.col("_bad").isNotNull(), rest)).withColumn(
-        "_cut", F.col("_rest").isNotNull() & (F.length("_rest") >= F.length(body) * (1 - most)))
+    fits = F.length("_rest") >= F.length(body) * (1 - most)
+    if copies_only:
+        fits = fits | (F.col("_copy").isNull() & F.col("_rest").rlike(r"[^ \n]"))
+    cleaned = joined.withColumn("_rest", F.when(F.col("_bad").isNotNull(), rest)).withColumn("_cut", F.col("_rest").isNotNull() & fits)
     return cleaned.select(
         *unpacked(docs, {text: F.when(F.col("_cut"), F.col("_rest")).otherwise(body)}),
         F.when(body.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
