@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
@@ -72,12 +73,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - 1 / 256) / (1 - 1 / 256), 0.0, 1.0)
 
 
+def _row_hashes(texts: list[str]) -> pa.Array:
+    """Spark's xxhash64 of the texts."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64), pa.int64())
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
 _RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
-           "near_edited double, near_next double")
+           "near_edited double, near_next double, content binary, row_hash long")
 
 
 def _compare(ids: list, texts: list[str], nexts: list[str], prints: np.ndarray, next_prints: np.ndarray) -> dict[str, pa.Array]:
@@ -90,6 +96,8 @@ def _compare(ids: list, texts: list[str], nexts: list[str], prints: np.ndarray,
         "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
         "fingerprint": _binary(prints), "edited_fingerprint": _binary(edited_prints),
         "near_edited": pa.array(likeness(prints, edited_prints)), "near_next": pa.array(likeness(prints, next_prints)),
+        "content": pa.array([c for c, _ in _shingle_sets(pa.array(texts, pa.large_string()))], pa.binary()),
+        "row_hash": _row_hashes(texts),
     }
 
 
@@ -99,7 +107,7 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     part = TaskContext.get().partitionId()
     empty = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(),
-             "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+             "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "content": pa.binary(), "row_hash": pa.int64()}
 
     def end(kind: str, doc_id, text: str) -> pa.RecordBatch:
         columns = {name: pa.nulls(1, t) for name, t in empty.items()} | {"doc_id": pa.array([doc_id], pa.int64())}
@@ -134,6 +142,11 @@ def _joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
+    """`_compared` without what only the classes need."""
+    return _compared(docs).drop("content", "row_hash")
+
+
+def _compared(docs: DataFrame) -> DataFrame:
     """Fingerprint of each text and of its edit, whose last half is replaced from the start of the next text by (doc_id, text),
     null ids first and the first text following the last; then the likeness to the edit and to the next text.
 
@@ -214,6 +227,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, fold: bool = False
     text = F.coalesce("text", F.lit(""))
     rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(fold)(text).alias("x")).select(
         "doc_id", "row_hash", "x.*"), "hashed-texts")
+    return rows.join(_named(docs, rows, similarity, fold), "content").select("doc_id", "class_id")
+
+
+def with_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """`with_next` and class_id, that of `near_duplicates`, from the same fingerprints."""
+    made = _compared(docs)
+    rows = made.select("doc_id", "row_hash", "content", F.col("fingerprint").alias("signature"))
+    named = _named(docs, rows, similarity, False)
+    return made.join(named, "content").drop("content", "row_hash")
+
+
+def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool) -> DataFrame:
+    """(content, class_id) for the contents of rows (doc_id, row_hash, content, signature) made of `docs`."""
+    text = F.coalesce("text", F.lit(""))
     nodes = rows.groupBy("content").agg(F.min("signature").alias("signature"))
     keys = F.array(*[F.substring("signature", 1 + ROWS * i, ROWS) for i in range(BANDS)])
     shared = Window.partitionBy("band", "key")
@@ -264,8 +291,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, fold: bool = False
     firsts = rows.groupBy("content").agg(F.min("doc_id").alias("_first")).join(groups, "content", "left").withColumn(
         "component", F.coalesce("component", "content"))
     smallest = firsts.groupBy("component").agg(F.min("_first").alias("class_id"))
-    named = firsts.join(smallest, "component").select("content", "class_id")
-    return rows.join(named, "content").select("doc_id", "class_id")
+    return firsts.join(smallest, "component").select("content", "class_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

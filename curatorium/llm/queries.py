@@ -89,9 +89,9 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from curatorium.llm.minhash import with_next
+    from curatorium.llm.minhash import with_classes
 
-    found = with_next(table(spark, sf_dir, "documents"))
+    found = with_classes(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
