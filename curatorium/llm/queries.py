@@ -102,7 +102,13 @@ def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, minhash_groups)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, op11_phrases, minhash_groups)}
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
 CHECKS = {
@@ -163,6 +169,29 @@ m as (select *, sum(size) over (order by finish, source nulls last, deal, doc_id
 select q.doc_id, q.size, q.source_size, q.target, q.size * count(m.k) as taken
 from q left join m on m.doc_id = q.doc_id and m.upto_all <= (select sum(size) from d)
 group by q.doc_id, q.size, q.source_size, q.target""",
+    "op11_phrases": r"""
+with t as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+p as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from t),
+g as (
+    select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k, count(*) as f
+    from p, unnest(range(1, 6)) a(k), unnest(range(1, len(w) - k + 2)) b(i) group by all),
+n as (select lang, sum(f)::bigint as n from g where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as w from g where k >= 2 and f >= 100),
+inner_ as (
+    select lang, array_to_string(w[i:i + j - 1], ' ') as phrase, max(f) as most
+    from c, unnest(range(2, k)) a(j), unnest(range(1, k - j + 2)) b(i) group by all),
+s as (
+    select c.lang, c.phrase, c.f as a, x.f as l, y.f as r, n.n, j,
+        ((1000::hugeint * c.f * n.n) // (x.f::hugeint * y.f))::bigint as score
+    from c join n using (lang), unnest(range(1, k)) u(j)
+        join g x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ')
+        join g y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1:], ' ')
+    where not exists (from inner_ i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.most >= 100 * c.f)),
+m as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from m qualify rank <= 2000""",
     # no page of the given tables names a canonical address or a refresh, so no component has more than one address
     "op10_urls": """
 with u as (
