@@ -108,7 +108,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, op11_phrases, minhash_groups)}
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, op11_phrases, op12_maxscore, minhash_groups)}
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
 CHECKS = {
@@ -192,6 +198,24 @@ s as (
 m as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
 from m qualify rank <= 2000""",
+    "op12_maxscore": r"""
+with t as (
+    select row_number() over () as row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+d as (select row, doc_id, w, len(w) as n from t where len(w) > 0),
+c as (select count(*) as docs, sum(n)::bigint as terms from d),
+p as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, n, unnest(w) as term from d) group by all),
+f as (select term, count(*) as df from p group by term),
+i as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+x as (
+    select row, doc_id, term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint
+        * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) as impact
+    from p join f using (term), c),
+s as (select item_id, row, doc_id, sum(impact)::bigint as score from i join x using (term) group by item_id, row, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50""",
     # no page of the given tables names a canonical address or a refresh, so no component has more than one address
     "op10_urls": """
 with u as (
