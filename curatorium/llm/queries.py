@@ -114,7 +114,13 @@ def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, op11_phrases, op12_maxscore, minhash_groups)}
+def op13_sigtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatorium.llm.sigtree import near_sets
+
+    return near_sets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_langid, op4_bpe, op5_warc, op6_voronoi, op7_lines, op8_mixing, op9_minhash, op10_urls, op11_phrases, op12_maxscore, op13_sigtree, minhash_groups)}
 _WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
 CHECKS = {
@@ -216,6 +222,22 @@ x as (
 s as (select item_id, row, doc_id, sum(impact)::bigint as score from i join x using (term) group by item_id, row, doc_id),
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
 select item_id, rank, doc_id, score from r where rank <= 50""",
+    "op13_sigtree": r"""
+with recursive t as (
+    select row_number() over () as row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+s as (
+    select row, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else
+        list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as g from t),
+e as (select doc_id, row, len(g)::bigint as n, unnest(g) as g from s),
+b as (
+    select x.row as a, y.row as b from e x join e y on x.g = y.g and x.row < y.row and 100 * x.n >= 90 * y.n and 100 * y.n >= 90 * x.n
+    group by x.row, y.row, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+r(row, seen) as (
+    select row, row from s
+    union select n.b, r.seen from r join (select a, b from b union all select b, a from b) n on n.a = r.row)
+select s.doc_id, len(s.g)::bigint as n_shingles, min(o.doc_id) as component_id
+from s join r on r.row = s.row join s o on o.row = r.seen group by s.row, s.doc_id, len(s.g)""",
     # no page of the given tables names a canonical address or a refresh, so no component has more than one address
     "op10_urls": """
 with u as (
