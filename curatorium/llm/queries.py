@@ -143,18 +143,21 @@ s as (
     from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20""",
-    "op7_lines": """
+    "op7_lines": r"""
 with l as (
     select doc_id, source, i, ls[i] as line, trim(ls[i], ' ') as t
     from (select doc_id, source, string_split(text, chr(10)) as ls from documents) d, unnest(range(1, len(ls) + 1)) u(i)),
-bad as (select t from l where t <> '' group by t having count(distinct coalesce('s' || source, 'none')) >= 8),
+bad as (
+    select t from l where t <> '' group by t having count(distinct coalesce('s' || source, 'none')) >=
+        case when len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) > 50 then 5 else 8 end),
+twin as (select text, count(distinct coalesce('k' || doc_id, 'none')) > 1 as copy from documents group by text),
 k as (
     select doc_id, string_agg(line, chr(10) order by i) filter (where bad.t is null) as rest, count(bad.t) as n
     from l left join bad using (t) group by doc_id),
 c as (
     select d.doc_id, d.text, coalesce(len(string_split(d.text, chr(10))), 0) as n_lines, coalesce(k.rest, '') as rest,
-        coalesce(k.n, 0) > 0 and length(coalesce(k.rest, '')) >= 0.5 * length(d.text) as cut, k.n
-    from documents d left join k using (doc_id))
+        coalesce(k.n, 0) > 0 and not twin.copy and regexp_matches(coalesce(k.rest, ''), '[^ \n]') as cut, k.n
+    from documents d left join k using (doc_id) left join twin on twin.text = d.text)
 select doc_id, n_lines::int as n_lines, (case when cut then n else 0 end)::int as n_removed,
     length(case when cut then rest else text end) as n_chars_kept, sha256(case when cut then rest else text end) as text_sha256
 from c""",

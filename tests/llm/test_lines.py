@@ -6,21 +6,18 @@ from pyspark.sql import functions as F
 from curatorium.llm import lines
 
 
-def brute(rows, min_sites, most=0.5):
-    sites = defaultdict(set)
-    for _, text, site in rows:
-        for line in (text or "").split("\n") if text is not None else []:
+def brute(rows, min_sites, long_sites=5):
+    sites, keys = defaultdict(set), defaultdict(set)
+    for i, text, site in rows:
+        keys[text].add(i)
+        for line in [] if text is None else text.split("\n"):
             sites[line.strip(" ")].add(site)
-    bad = {line for line, s in sites.items() if line and len(s) >= min_sites}
+    bad = {x for x, s in sites.items() if x and len(s) >= (min(long_sites, min_sites) if len(x.split()) > 50 else min_sites)}
     out = []
     for i, text, _ in rows:
-        if text is None:
-            out.append((i, None, 0, 0))
-            continue
-        all_ = text.split("\n")
-        rest = "\n".join(x for x in all_ if x.strip(" ") not in bad)
-        n = sum(x.strip(" ") in bad for x in all_)
-        cut = n and len(rest) >= len(text) * (1 - most)
+        all_ = [] if text is None else text.split("\n")
+        rest, n = "\n".join(x for x in all_ if x.strip(" ") not in bad), sum(x.strip(" ") in bad for x in all_)
+        cut = n and len(keys[text]) == 1 and rest.strip(" \n")
         out.append((i, rest if cut else text, len(all_), n if cut else 0))
     return out
 
@@ -54,6 +51,16 @@ def test_a_third_of_the_rows_are_one_copy(spark):
     assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(i, t) for i, t, _ in rows}
 
 
+def test_long_passages_go_from_fewer_sites(spark):
+    """A line of 60 words on 2 to 7 sites, and one of 50 words beside it."""
+    long, short = ({n: " ".join(f"{kind}{n}.{j}" for j in range(size)) for n in range(2, 9)} for kind, size in (("l", 60), ("s", 50)))
+    rows = [(100 * n + k, f"own {n} {k}\n{long[n]}\n{short[n]}", f"s{k}") for n in range(2, 9) for k in range(n)]
+    got = {r["doc_id"]: r["text"] for r in lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert sorted(got.items()) == sorted((i, t) for i, t, *_ in brute(rows, 8))
+    for i, text in got.items():
+        assert (long[i // 100] in text) == (i // 100 < 5) and (short[i // 100] in text) == (i // 100 < 8)
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a\nb", "s")], "doc_id long, text string, source string")
     plan = lines.without_boilerplate(docs)._jdf.queryExecution().executedPlan().toString()
