@@ -93,6 +93,20 @@ def test_repeated_rows_and_reruns(spark):
     assert mixing.mix(docs).count() == sum(per_row)
 
 
+def test_a_cut_among_repeated_rows(spark):
+    """Whatever the cut, equal rows have equal copies, and the mix has just as many."""
+    for n in range(3, 30, 4):
+        rows = [(1, "a b c", "x")] * 10 + [(i, "d " * (2 + i), "xy"[i % 2]) for i in range(2, n)] + [(None, "e f", None)] * 3
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mixed(docs).collect()
+        assert len(got) == len(rows) and len({r["copies"] for r in got if r["doc_id"] == 1}) == 1
+        want = {}
+        for r in got:
+            want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+        have = {r["doc_id"]: r["count"] for r in mixing.mix(docs).groupBy("doc_id").count().collect()}
+        assert have == {k: v for k, v in want.items() if v} and sum(r["taken"] for r in got) <= sum(size(t) for _, t, _ in rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixed(none).collect() == [] and mixing.mix(none).collect() == []
