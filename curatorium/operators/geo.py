@@ -1,7 +1,4 @@
-"""Points, polygons, boxes and rings on a flat longitude/latitude plane.
-
-Planar even-odd tests differ from spherical ones close to the poles and across the date line.
-"""
+"""Points and polygons on the sphere; map boxes, rings and their thinning on the longitude/latitude plane."""
 
 from __future__ import annotations
 
@@ -22,54 +19,97 @@ CELL = 10.0  # degrees; only speeds up, never decides
 
 
 def polygon_edges(shapes: DataFrame) -> DataFrame:
-    """Shapes with nested rings -> one row per polygon with its box and all edges of all rings."""
-    polygon = shapes.select("id", F.posexplode("p").alias("polygon", "rings"))
-    edges = F.flatten(F.transform("rings", lambda r: F.zip_with(
-        F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1),
-        lambda s, e: F.struct(s[0].alias("x1"), s[1].alias("y1"), e[0].alias("x2"), e[1].alias("y2")))))
-    with_edges = polygon.select("id", "polygon", edges.alias("edges"))
-    xs, ys = F.transform("edges", lambda e: e["x1"]), F.transform("edges", lambda e: e["y1"])
-    return with_edges.withColumns({
-        "x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)})
-
+    """Shapes with nested rings -> one row per polygon with the edges of all rings, whether the north pole is inside, the grid
+    columns it touches and its range of latitudes.
 
-def polygon_points(shapes: DataFrame) -> DataFrame:
-    """Every ring point with its place: shape, polygon, ring, ordinal."""
-    return (
-        shapes.select("id", F.posexplode("p").alias("polygon", "rings"))
-        .select("id", "polygon", F.posexplode("rings").alias("ring", "points"))
-        .select("id", "polygon", "ring", F.posexplode("points").alias("ordinal", "xy"))
-        .select("id", "polygon", "ring", "ordinal", F.col("xy")[0].alias("lon"), F.col("xy")[1].alias("lat"))
-    )
+    Edges are the shorter great-circle arcs between neighbouring points. Inside is the side away from the antipode of the
+    outer ring's mean direction (of the south pole, if the points cancel out), so a polygon must fit into some half of the sphere."""
+    def edge(s: Column, e: Column) -> Column:
+        ends = {"x1": s[0], "y1": s[1], "x2": e[0], "y2": e[1]}
+        turns = {f"{f.__name__}{n}": f(F.radians(p[1])) for n, p in ((1, s), (2, e)) for f in (F.sin, F.cos)}
+        return F.struct(*[c.cast("double").alias(n) for n, c in (ends | turns).items()])
 
-
-def _cell(c: Column) -> Column:
+    edges = F.flatten(F.transform("rings", lambda r: F.zip_with(
+        F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda s, e: edge(s, e))))
+    polygon = shapes.select("id", F.posexplode("p").alias("polygon", "rings")).select(
+        "id", "polygon", F.slice(F.col("rings")[0], 1, F.size(F.col("rings")[0]) - 1).alias("_outer"), edges.alias("edges"))
+    parts = {
+        "_x": lambda p: F.cos(F.radians(p[1])) * F.cos(F.radians(p[0])),
+        "_y": lambda p: F.cos(F.radians(p[1])) * F.sin(F.radians(p[0])), "_z": lambda p: F.sin(F.radians(p[1]))}
+    mean = polygon.withColumns({
+        n: F.aggregate(F.transform("_outer", f), F.lit(0.0), lambda total, v: total + v) for n, f in parts.items()})
+    size = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + F.col("_z") * F.col("_z"))
+    clear = size > 1e-9
+    outside = mean.withColumns({
+        "_lon": F.when(clear, F.degrees(F.atan2(-F.col("_y"), -F.col("_x")))).otherwise(0.0),
+        "_lat": F.when(clear, F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("_z") / size))))).otherwise(-90.0)})
+    poled = outside.withColumn("north", crossings(F.col("edges"), F.col("_lon"), F.col("_lat")) % 2)
+    south = (crossings(F.col("edges"), F.col("_lon"), F.lit(-90.0)) + F.col("north")) % 2
+
+    def span(e: Column) -> Column:
+        """Latitudes of an arc: those of its ends, or the great circle's turning point if that lies between them."""
+        turn = F.cos(F.radians(e["x1"] - e["x2"]))
+        along = e["sin1"] * e["sin2"] + e["cos1"] * e["cos2"] * turn
+        first, second = e["sin2"] - along * e["sin1"], e["sin1"] - along * e["sin2"]
+        normal = e["cos1"] * e["cos2"] * F.sin(F.radians(e["x2"] - e["x1"]))
+        top = F.degrees(F.acos(F.least(F.lit(1.0), F.abs(normal) / F.sqrt(F.greatest(F.lit(1e-300), 1 - along * along)))))
+        return F.struct(
+            F.when((first < 0) & (second < 0), -top).otherwise(F.least(e["y1"], e["y2"])).alias("low"),
+            F.when((first > 0) & (second > 0), top).otherwise(F.greatest(e["y1"], e["y2"])).alias("high"))
+
+    def columns(e: Column) -> Column:
+        begin, turn = F.pmod(e["x1"] + 180, F.lit(360.0)), F.pmod(e["x2"] - e["x1"] + 180, F.lit(360.0)) - 180
+        return F.transform(F.sequence(_row(F.least(begin, begin + turn)), _row(F.greatest(begin, begin + turn))),
+                           lambda c: F.pmod(c, F.lit(_COLUMNS)).cast("int"))
+
+    spans = F.transform("edges", span)
+    # going north or south from an inner point one meets an edge, so the edges' columns are all there are
+    return poled.select(
+        "id", "polygon", "edges", "north", F.array_distinct(F.flatten(F.transform("edges", columns))).alias("columns"),
+        F.when(south == 1, -90.0).otherwise(F.array_min(F.transform(spans, lambda s: s["low"]))).alias("y_min"),
+        F.when(F.col("north") == 1, 90.0).otherwise(F.array_max(F.transform(spans, lambda s: s["high"]))).alias("y_max"))
+
+
+_COLUMNS = int(360 / CELL)
+
+
+def _row(c: Column) -> Column:
     return F.floor(c / CELL).cast("int")
 
 
-def _inside(edges: Column, lon: Column, lat: Column) -> Column:
+def crossings(edges: Column, lon: Column, lat: Column) -> Column:
+    """How many edges the meridian crosses between a point and the north pole.
+
+    With s the distance of an end from the meridian's plane, an edge crosses the plane where the signs differ, at
+    A |sB| + B |sA|; that counts if it lies on the point's side of the earth's axis and north of the point."""
     def crosses(e: Column) -> Column:
-        spans = (e["y1"] > lat) != (e["y2"] > lat)
-        return F.when(spans, F.when(lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"], 1).otherwise(0)).otherwise(0)
+        to1, to2 = F.radians(e["x1"] - lon), F.radians(e["x2"] - lon)
+        s1, s2 = e["cos1"] * F.sin(to1), e["cos2"] * F.sin(to2)
+        ahead = F.abs(s2) * e["cos1"] * F.cos(to1) + F.abs(s1) * e["cos2"] * F.cos(to2)
+        up = F.abs(s2) * e["sin1"] + F.abs(s1) * e["sin2"]
+        north = (ahead > 0) & (up * F.cos(F.radians(lat)) > ahead * F.sin(F.radians(lat)))
+        return F.when(((s1 > 0) != (s2 > 0)) & north, 1).otherwise(0)
 
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
+    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e))
 
 
 def point_in_polygon(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(point columns, id) for every shape a point lies in.
+    """(point columns, id) for every shape a point lies in, on the sphere; a point in several polygons of a shape comes several times.
 
-    Polygons are spread over the grid cells their box touches and joined on the cell, an equi join
-    that is broadcast when cells are counted to be few. A cell row carries the box only; the edges of a polygon come by its
-    number to the points that lie in its box, and the exact test follows.
+    A point is inside if the meridian to the north pole crosses an odd number of edges, or an even one where the pole itself is
+    inside: right over the poles and across the date line. Polygons are spread over the grid cells they can touch and joined on
+    the cell, an equi join; a cell row carries the latitudes only. The edges of a polygon come by its number to
+    the points that are left.
     """
     polygons = polygon_edges(shapes)
-    cells = polygons.select("*", F.explode(F.sequence(_cell(F.col("x_min")), _cell(F.col("x_max")))).alias("cx")).select(
-        "*", F.explode(F.sequence(_cell(F.col("y_min")), _cell(F.col("y_max")))).alias("cy"))
-    near = points.withColumns({"cx": _cell(F.col("lon")), "cy": _cell(F.col("lat"))}).join(
-        small_or_shuffled(cells.select("id", "polygon", "x_min", "x_max", "y_min", "y_max", "cx", "cy")), ["cx", "cy"]).where(
-        "lon between x_min and x_max and lat between y_min and y_max")
-    rings = small_or_shuffled(polygons.select("id", "polygon", "edges"))
-    return near.join(rings, ["id", "polygon"]).where(_inside(F.col("edges"), F.col("lon"), F.col("lat"))).select(*points.columns, "id")
+    cells = polygons.select("id", "polygon", "y_min", "y_max", F.explode("columns").alias("cx")).select(
+        "*", F.explode(F.sequence(_row(F.col("y_min")), _row(F.col("y_max")))).alias("cy"))
+    near = points.withColumns({
+        "cx": F.pmod(_row(F.pmod(F.col("lon") + 180, F.lit(360.0))), F.lit(_COLUMNS)).cast("int"), "cy": _row(F.col("lat"))}).join(
+        small_or_shuffled(cells), ["cx", "cy"]).where("lat between y_min - 1e-9 and y_max + 1e-9")
+    rings = small_or_shuffled(polygons.select("id", "polygon", "edges", "north"))
+    found = near.join(rings, ["id", "polygon"])
+    return found.where((crossings(F.col("edges"), F.col("lon"), F.col("lat")) + F.col("north")) % 2 == 1).select(*points.columns, "id")
 
 
 def angular_distance(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:

@@ -190,7 +190,9 @@ def _points(d: Data):
 def point_in_polygon(spark, sf_dir):
     d = Data(spark, sf_dir)
     shapes = catalogue.literal_frame(spark, catalogue.packaged("polygons"), "id string, p array<array<array<array<double>>>>")
-    return geo.point_in_polygon(_points(d).select("user_id", "lon", "lat"), shapes).select("user_id", "id")
+    k = F.col("c_custkey")
+    everywhere = d.customer.select(k.alias("user_id"), ((k * 7919) % 36000 / F.lit(100.0) - 180).alias("lon"), ((k * 104729) % 18000 / F.lit(100.0) - 90).alias("lat"))
+    return geo.point_in_polygon(everywhere, shapes).select("user_id", "id")
 
 
 def within_radius(spark, sf_dir):
@@ -277,8 +279,8 @@ _COSINE = f"""{_COS}, cosn as materialized (select a, b, {_cos('reg')} as region
   coalesce((select n from siz where user_id = a), 0) as size_a, coalesce((select n from siz where user_id = b), 0) as size_b from edge)"""
 _POINTS = """pts as (select c_custkey as user_id, c_nationkey, ((c_custkey * 7919) % 35000) / 100.0::double - 175 as lon, ((c_custkey * 104729) % 15000) / 100.0::double - 70 as lat from customer)"""
 _EDGE_ROWS = ", ".join(
-    f"('{s['id']}', {p}, {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)"
-    for s in catalogue.packaged("polygons") for p, poly in enumerate(s["p"]) for ring in poly for a, b in zip(ring, ring[1:]))
+    f"('{s['id']}', {p}, {r}, {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)"
+    for s in catalogue.packaged("polygons") for p, poly in enumerate(s["p"]) for r, ring in enumerate(poly) for a, b in zip(ring, ring[1:]))
 _BOXES = ", ".join(f"('{b['name']}', {b['lon_min']}, {b['lat_min']}, {b['lon_max']}, {b['lat_max']})" for b in catalogue.packaged("boxes"))
 _B0 = catalogue.packaged("boxes")[0]
 _PINS = catalogue.packaged("pins")
@@ -335,9 +337,18 @@ CHECKS = {
       n as (select *, row_number() over (partition by a, b, other is not null and other <> user_id order by ts, event_id) as r from j)
       select event_id, case when other is null then user_id else a end as a, case when other is null then user_id else b end as b, case when other is null then 'invalid' when other = user_id then 'self'
         when r = 1 and (a, b) not in (select (edge.a, edge.b) from edge) then 'ok' else 'already' end as status from n""", "users", "attempt", "edge"),
-    "point_in_polygon": f"""with {_POINTS}, ed(id, polygon, x1, y1, x2, y2) as (values {_EDGE_ROWS}),
-      c as (select user_id, id, polygon, count(*) as n from pts join ed on (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 group by all)
-      select user_id, id from c where n % 2 = 1""",
+    # corners as vectors; the edge meets the meridian's plane where the plane's distances of its ends balance
+    "point_in_polygon": f"""with pts as (select c_custkey as user_id, radians(((c_custkey * 7919) % 36000) / 100.0::double - 180) as lon, radians(((c_custkey * 104729) % 18000) / 100.0::double - 90) as lat from customer),
+      raw(id, polygon, ring, x1, y1, x2, y2) as (values {_EDGE_ROWS}),
+      ed as (select id, polygon, ring, radians(x1) as l1, radians(x2) as l2, [cos(radians(y1)) * cos(radians(x1)), cos(radians(y1)) * sin(radians(x1)), sin(radians(y1))] as a,
+        cos(radians(y1)) as c1, cos(radians(y2)) as c2, sin(radians(y1)) as z1, sin(radians(y2)) as z2, x1, x2 from raw),
+      away as (select id, polygon, atan2(-sum(a[2]), -sum(a[1])) as lon, atan2(-sum(a[3]), sqrt(sum(a[1]) ** 2 + sum(a[2]) ** 2)) as lat from ed where ring = 0 group by all),
+      probe as (select p.user_id, k.id, k.polygon, p.lon, p.lat from pts p cross join away k union all select null, id, polygon, lon, lat from away),
+      hit as (select user_id, id, polygon, lat, c1 * sin(radians(x1 - degrees(lon))) as s1, c2 * sin(radians(x2 - degrees(lon))) as s2, c1 * cos(l1 - lon) as f1, c2 * cos(l2 - lon) as f2, z1, z2
+        from probe join ed using (id, polygon)),
+      n as (select user_id, id, polygon, count(*) filter ((s1 > 0) <> (s2 > 0) and abs(s2) * f1 + abs(s1) * f2 > 0
+        and (abs(s2) * z1 + abs(s1) * z2) * cos(lat) > (abs(s2) * f1 + abs(s1) * f2) * sin(lat)) % 2 as odd from hit group by all)
+      select n.user_id, n.id from n join n o on o.user_id is null and o.id = n.id and o.polygon = n.polygon where n.user_id is not null and n.odd <> o.odd""",
     "within_radius": f"""with {_POINTS}, h as (select user_id, sin(radians(lat - 41.9) / 2) ** 2 + cos(radians(lat)) * cos(radians(41.9)) * sin(radians(lon - 12.5) / 2) ** 2 as h from pts)
       select user_id, round(2 * asin(least(1.0, sqrt(h))), 6) as distance from h where 2 * asin(least(1.0, sqrt(h))) <= 1.5""",
     "bbox_overlap": f"""with {_POINTS}, r as (select cast(floor(lon / 10) * 100 + floor(lat / 10) as bigint) as ring, min(lon) as x0, min(lat) as y0, max(lon) as x1, max(lat) as y1 from pts group by 1),
