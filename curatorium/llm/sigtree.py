@@ -25,7 +25,7 @@ if no document of its component has an id.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,11 +121,12 @@ def _keyed(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _families(nodes: DataFrame) -> DataFrame:
-    """(content, family) of the sets that have a part in common with another one."""
-    dealt = nodes.select("content", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("_most")).where("least <> _most")
-    edges = dealt.join(shared.drop("_most"), "key").where("content <> least").select(F.col("content").alias("a"), F.col("least").alias("b"))
-    return components(keep(edges.distinct(), "part-edges")).select(F.col("node").alias("content"), F.col("component").alias("family"))
+    """(node, family) of the sets that have a part in common with another one. Nodes go by a 64-bit name of their content; two
+    under one name would only be in one family."""
+    dealt = nodes.select("node", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    edges = dealt.join(shared.drop("_n"), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return components(keep(edges.distinct(), "part-edges")).select("node", F.col("component").alias("family"))
 
 
 class Tree:
@@ -229,29 +230,48 @@ def _read(table: pa.Table, name: str = "shingles") -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in table.column(name).to_pylist()]
 
 
-def _edges(names: list, pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([names[x] for x, _ in pairs], pa.binary()), "b": pa.array([names[y] for _, y in pairs], pa.binary())})
+_NAMED = "content binary, component binary"
 
 
-_EDGE = "a binary, b binary"
+def _named(names: list, pairs: list[tuple[int, int]], first: int | None = None) -> list:
+    """The component of every set: the name of its smallest set, or of set `first` where that is in it."""
+    root = list(range(len(names)))
 
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(y)] = find(x)
+    least: dict[int, bytes] = {}
+    for k, name in enumerate(names):
+        least[find(k)] = min(least.get(find(k), name), name)
+    if first is not None:
+        least[find(first)] = names[first]
+    return [least[find(k)] for k in range(len(names))]
 
-def _small(members: DataFrame, percent: int) -> DataFrame:
-    """Links of families that fit one task each, many families to a task."""
+
+def small_families(members: DataFrame, percent: int, read: Callable[[pa.Table], list[np.ndarray]] = _read) -> DataFrame:
+    """(content, component) in families that fit one task each, many families to a task; `read` makes the sets of the rows,
+    which may repeat."""
 
     def solve(table: pa.Table) -> pa.Table:
-        names, sets = table.column("content").to_pylist(), _read(table)
-        _, family = np.unique(np.array([f.hex() for f in table.column("family").to_pylist()]), return_inverse=True)
+        once = {name: k for k, name in reversed(list(enumerate(table.column("content").to_pylist())))}
+        table = table.take(sorted(once.values()))
+        names, sets = table.column("content").to_pylist(), read(table)
+        _, family = np.unique(np.array([str(f) for f in table.column("family").to_pylist()]), return_inverse=True)
         order, pairs = np.argsort(family, kind="stable"), []
         cuts = np.flatnonzero(np.diff(family[order], prepend=-1))
         for own in np.split(order, cuts[1:]):
             part = [sets[k] for k in own]
             at = np.arange(len(own))
             pairs += [(own[x], own[y]) for x, y in links(part, at, None, list(range(len(own))), percent)]
-        return _edges(names, pairs)
+        return pa.table({"content": pa.array(names, pa.binary()), "component": pa.array(_named(names, pairs), pa.binary())})
 
     groups = max(1, -(-members.count() // CELL))
-    return members.groupBy(F.pmod(F.xxhash64("family"), F.lit(groups))).applyInArrow(solve, _EDGE)
+    return members.groupBy(F.pmod(F.xxhash64("family"), F.lit(groups))).applyInArrow(solve, _NAMED)
 
 
 def _bitmap() -> Column:
@@ -279,36 +299,39 @@ def _nodes(members: DataFrame, cell: str) -> DataFrame:
         F.min("component").alias("c1"), F.max("component").alias("c2"))
 
 
-def _large(members: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """Links of families of more than CELL sets."""
+def large_families(members: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """(content, component) in families of more than CELL sets."""
     placed = position(members, ["family"], ["n_shingles", "content"], "_at")
     placed = keep(placed.withColumn("cell", F.floor((F.col("_at") - 1) / CELL)).drop("_at"), "cells")
-    pivots = members.join(weights, "content").groupBy("family").agg(F.max_by("content", F.struct("_n", "content")).alias("content"))
+    pivots = members.select("content", "family").join(weights, "content").groupBy("family").agg(
+        F.max_by("content", F.struct("_n", "content")).alias("content"))
     pivot_sets = members.select("content", "shingles").join(pivots, "content").select("family", "content", "shingles")
     with_pivot = placed.select("family", "cell").distinct().join(pivot_sets, "family").select("family", "cell", "content", "shingles")
 
     def within(table: pa.Table) -> pa.Table:
-        names = table.column("content").to_pylist()
-        first = sorted({name: k for k, name in reversed(list(enumerate(names)))}.values())
-        sets = _read(table)
-        pivot = [k for k in first if table.column("pivot")[k].as_py()]
-        # the pivot's links first, so that what it joins is never compared again
+        # the pivot comes first; in its own cell its second row is left out of the traversal
+        table = table.sort_by([("pivot", "descending")])
+        names, sets = table.column("content").to_pylist(), _read(table)
+        others = np.array([k for k in range(1, len(names)) if names[k] != names[0]], np.int64)
         known = list(range(len(names)))
-        pairs = links(sets, np.array(pivot), np.array(first), known, percent) if pivot else []
-        for x, y in pairs:
-            known[y] = known[x]
-        return _edges(names, pairs + links(sets, np.array(first), None, known, percent))
-
-    both = with_pivot.withColumn("pivot", F.lit(True)).unionByName(
-        placed.select("family", "cell", "content", "shingles").withColumn("pivot", F.lit(False)))
-    inner = keep(both.groupBy("family", "cell").applyInArrow(within, _EDGE), "cell-links")
-    joined = components(inner).select(F.col("node").alias("content"), "component")
-    named = placed.join(joined, "content", "left").withColumn("component", F.coalesce("component", "content"))
-    named = keep(named.withColumn("bits", _bitmap()).withColumn("spare", F.col("n_shingles") - F.aggregate(
-        "bits", F.lit(0), lambda total, x: total + F.bit_count(x))), "named-cells")
-    sizes = named.groupBy("family", "component").agg(F.count(F.lit(1)).alias("_n"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("_n", "component")).alias("main"))
+        # the pivot's links first, so that what it joins is never compared again
+        pairs = links(sets, np.array([0]), others, known, percent) if len(others) else []
+        for _, y in pairs:
+            known[y] = 0
+        pairs += links(sets, others, None, known, percent) + [(0, k) for k in range(1, len(names)) if names[k] == names[0]]
+        found = _named(names, pairs, 0)
+        return pa.table({"content": pa.array(names[1:], pa.binary()), "component": pa.array(found[1:], pa.binary())})
+
+    columns = ["family", "cell", "content", "shingles"]
+    both = with_pivot.withColumn("pivot", F.lit(1)).unionByName(placed.select(*columns).withColumn("pivot", F.lit(0)))
+    inner = keep(both.groupBy("family", "cell").applyInArrow(within, _NAMED), "cell-links")
+    named = placed.join(inner, "content").withColumn("bits", _bitmap())
+    named = keep(named.withColumn("spare", F.col("n_shingles") - F.aggregate("bits", F.lit(0), lambda total, x: total + F.bit_count(x))), "named-cells")
+    main = named.groupBy("family", "component").agg(F.count(F.lit(1)).alias("_n")).groupBy("family").agg(
+        F.max_by("component", F.struct("_n", "component")).alias("main"))
     loose = named.join(main, "family").where("component <> main").drop("main", "cell")
+    if loose.isEmpty():
+        return inner
     loose = position(loose, ["family"], ["component", "n_shingles", "content"], "_at")
     loose = keep(loose.withColumn("own", F.floor((F.col("_at") - 1) / CELL)).drop("_at"), "loose-sets")
     one, two = _nodes(loose, "own"), _nodes(named, "cell")
@@ -325,20 +348,23 @@ def _large(members: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
             named.join(pairs, ["family", "cell"]).select(*columns).withColumn("left", F.lit(False))))
 
     def across(table: pa.Table) -> pa.Table:
-        names, sets, side = table.column("content").to_pylist(), _read(table), table.column("left").to_numpy(zero_copy_only=False)
-        known = table.column("component").to_pylist()
-        return _edges(names, links(sets, np.flatnonzero(side), np.flatnonzero(~side), known, percent))
+        sets, side, known = _read(table), table.column("left").to_numpy(zero_copy_only=False), table.column("component").to_pylist()
+        found = links(sets, np.flatnonzero(side), np.flatnonzero(~side), known, percent)
+        return pa.table({c: pa.array([known[p[n]] for p in found], pa.binary()) for n, c in enumerate("ab")})
 
-    return inner.union(sides.groupBy("family", "own", "cell").applyInArrow(across, _EDGE))
+    # links between components, not between sets
+    met = keep(sides.groupBy("family", "own", "cell").applyInArrow(across, "a binary, b binary").distinct(), "component-links")
+    merged = components(met).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
+    return inner.join(merged, "component", "left").select("content", F.coalesce("_whole", "component").alias("component"))
 
 
 def near_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: component_id is the smallest doc_id reachable over links."""
     rows = keep(_keyed(docs, percent), "keyed-texts")
     nodes = rows.where("n_shingles > 0").groupBy("content").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
-    nodes = keep(nodes, "sets")
-    families = keep(_families(nodes), "families")
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n"), F.first("keys").alias("keys"))
+    nodes = keep(nodes.withColumn("node", F.xxhash64("content")), "sets")
+    families = keep(_families(nodes).join(nodes.select("node", "content"), "node").select("content", "family"), "families")
     texts = one_text_each(docs, rows.select("doc_id", "row_hash", "content"), families)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,11 +378,10 @@ def near_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     made = texts.mapInArrow(again, "content binary, n_shingles long, shingles binary").dropDuplicates(["content"])
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
     members = keep(made.join(families.join(sizes, "family"), "content"), "family-sets")
-    found = _small(members.where(F.col("many") <= CELL), percent)
+    linked = small_families(members.where(F.col("many") <= CELL), percent)
     large = members.where(F.col("many") > CELL).drop("many")
     if not large.isEmpty():
-        found = found.union(_large(large, nodes.select("content", "_n"), percent))
-    linked = components(keep(found, "set-links")).select(F.col("node").alias("content"), "component")
+        linked = linked.union(large_families(large, nodes.select("content", "_n"), percent))
     named = nodes.join(linked, "content", "left").select("content", "first", "_n", F.coalesce("component", "content").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     names = keep(named.join(least, "component").select("content", "component_id", "_n"), "set-names")
