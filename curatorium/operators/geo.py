@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatorium.operators.bounded import small_or_shuffled
-from curatorium.operators.ordered import fold
+from curatorium.operators.ordered import Automaton, compose
 
 # ---- fixed values ----
 VIEW_RADIUS = 1.5        # radians
@@ -147,22 +148,46 @@ def snap(c: Column, step: float = SNAP_STEP) -> Column:
     return F.round(F.floor(c / step + 0.5) * step, 2)
 
 
-def _thin_step(min_distance: float):
-    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
-        x, y = values
-        if state and math.hypot(x - state[0], y - state[1]) < min_distance:
+class _Thinning(Automaton):
+    """The last kept point. A segment that one ring fills is entered either from a snapped point too close to its first point, of
+    which there are few, or from anywhere else (no number): then its first point is kept."""
+
+    start = (math.nan, math.nan)
+
+    def __init__(self, min_distance: float, step: float):
+        self.min_distance, self.reach, self.step_size = min_distance, math.ceil(min_distance / step) + 1, step
+
+    def entries(self, row: tuple) -> np.ndarray:
+        near = np.arange(-self.reach, self.reach + 1)
+        points = np.array([(_snapped(row[0] + i * self.step_size, self.step_size), _snapped(row[1] + j * self.step_size, self.step_size))
+                           for i in near for j in near])
+        return np.concatenate([points[np.hypot(*(points - row).T) < self.min_distance], [self.start]])
+
+    def advance(self, states: np.ndarray, row: tuple) -> np.ndarray:
+        close = np.hypot(row[0] - states[:, 0], row[1] - states[:, 1]) < self.min_distance
+        return np.where(close[:, None], states, np.array([row], float))
+
+    def leave(self, entries: np.ndarray, ends: np.ndarray, state: tuple, rows: int) -> tuple:
+        same = np.flatnonzero((entries == np.array(state)).all(1))
+        return tuple(ends[same[0] if len(same) else -1].tolist())
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        if math.hypot(row[0] - state[0], row[1] - state[1]) < self.min_distance:
             return state, (False,)
-        return (x, y), (True,)
+        return (row[0], row[1]), (True,)
+
 
-    return step
+def _snapped(v: float, step: float) -> float:
+    return round(math.floor(v / step + 0.5) * step, 2) + 0.0
 
 
 def thin_rings(points: DataFrame, key: str, order: str, min_distance: float = MIN_DISTANCE, parts: int | None = None) -> DataFrame:
     """Snapped ring points, each at least `min_distance` from the last kept one; rings are closed and
-    those left with fewer than four points dropped. Greedy, so it replays points in order."""
-    snapped = points.select(key, order, snap(F.col("lon")).alias("lon"), snap(F.col("lat")).alias("lat"))
-    kept = fold(snapped.withColumns({"px": F.col("lon"), "py": F.col("lat")}), [key], [order, "px", "py"],
-                {"x": F.col("px"), "y": F.col("py")}, (), _thin_step(min_distance), "keep boolean", parts).where("keep")
+    those left with fewer than four points dropped. Greedy, so it replays points in order: two passes over the points."""
+    # adding zero turns -0.0 into 0.0
+    snapped = points.select(key, order, (snap(F.col("lon")) + 0.0).alias("px"), (snap(F.col("lat")) + 0.0).alias("py"))
+    kept = compose(snapped, [key], [order, "px", "py"], {"x": F.col("px"), "y": F.col("py")}, _Thinning(min_distance, SNAP_STEP),
+                   "keep boolean", parts).where("keep")
     xy = F.struct(F.col("px").alias("x"), F.col("py").alias("y"))
     rings = kept.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.min_by(xy, order).alias("head"), F.max_by(xy, order).alias("tail"), F.max(order).alias("end")

@@ -6,11 +6,12 @@ that gives the same answer without putting a person's whole history into one tas
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatorium.functions import chance, dates
 from curatorium.functions.tiers import TIERS, tier_name, tier_rank
-from curatorium.operators.ordered import first_k, fold, position, running
+from curatorium.operators.ordered import Automaton, compose, first_k, fold, position, running
 from curatorium.session import cut_lineage
 
 # ---- fixed values: limits ----
@@ -152,26 +153,48 @@ def capped(calls: DataFrame, limits: DataFrame, month_cap: int = MONTH_CAP, day_
     ).drop("day_cut", "month_cut")
 
 
-def _guarantee_step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
-    since_ultra, since_superrare = state
-    drawn, icon = values
-    if icon:
-        drawn = "icon"
-    elif since_ultra >= ULTRA_AFTER:
-        drawn = "ultra"
-    elif since_superrare >= SUPERRARE_AFTER:
-        drawn = "superrare"
-    since_ultra = 0 if drawn == "ultra" else since_ultra + 1
-    since_superrare = 0 if drawn in ("ultra", "superrare") else since_superrare + 1
-    return (since_ultra, since_superrare), (drawn, since_ultra, since_superrare)
+class _Guarantee(Automaton):
+    """Misses since the last ultra and since the last superrare or better. Counts from ULTRA_AFTER and SUPERRARE_AFTER on act
+    alike, so a segment has (ULTRA_AFTER + 1) * (SUPERRARE_AFTER + 1) entries."""
+
+    start = (0, 0)
+
+    def entries(self, row: tuple) -> np.ndarray:
+        return np.stack(np.meshgrid(np.arange(ULTRA_AFTER + 1), np.arange(SUPERRARE_AFTER + 1), indexing="ij"), -1).reshape(-1, 2)
+
+    def advance(self, states: np.ndarray, row: tuple) -> np.ndarray:
+        drawn, icon = row
+        ultra, superrare = states[:, 0], states[:, 1]
+        due = np.zeros(len(states), bool) if icon else ultra >= ULTRA_AFTER
+        hit = due if icon else due | ((drawn == "ultra") & ~(superrare >= SUPERRARE_AFTER))
+        any_hit = hit if icon else hit | (superrare >= SUPERRARE_AFTER) | (drawn == "superrare")
+        return np.stack([np.where(hit, 0, ultra + 1), np.where(any_hit, 0, superrare + 1)], 1)
+
+    def leave(self, entries: np.ndarray, ends: np.ndarray, state: tuple, rows: int) -> tuple:
+        at = min(int(state[0]), ULTRA_AFTER) * (SUPERRARE_AFTER + 1) + min(int(state[1]), SUPERRARE_AFTER)
+        # a counter that was never reset has grown by a row each, from where it really stood
+        return tuple(int(own) + rows if end == entry + rows else int(end) for own, entry, end in zip(state, entries[at], ends[at]))
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        since_ultra, since_superrare = int(state[0]), int(state[1])
+        drawn, icon = row
+        if icon:
+            drawn = "icon"
+        elif since_ultra >= ULTRA_AFTER:
+            drawn = "ultra"
+        elif since_superrare >= SUPERRARE_AFTER:
+            drawn = "superrare"
+        since_ultra = 0 if drawn == "ultra" else since_ultra + 1
+        since_superrare = 0 if drawn in ("ultra", "superrare") else since_superrare + 1
+        return (since_ultra, since_superrare), (drawn, since_ultra, since_superrare)
 
 
 def guarantee(draws: DataFrame, chance_key: Column, parts: int | None = None) -> DataFrame:
     """Random draws with a guaranteed ultra after 99 misses and superrare after 24. An icon item (`is_icon`, if there is such
     a column) is always drawn as icon; the counters go on."""
     icon = F.coalesce("is_icon", F.lit(False)) if "is_icon" in draws.columns else F.lit(False)
-    return fold(
-        draws, ["user_id"], WHEN, {"drawn": chance.draw_tier(chance_key), "icon": icon}, (0, 0), _guarantee_step,
+    return compose(
+        draws, ["user_id"], WHEN, {"drawn": chance.draw_tier(chance_key), "icon": icon}, _Guarantee(),
         "tier string, since_ultra bigint, since_superrare bigint", parts)
 
 

@@ -8,7 +8,10 @@ A plain window sends a whole key to one task. Three replacements are used instea
   (key, order), which splits a hot key over many segments; each segment is windowed on its own and
   the few keys that cross a segment border get a carried-in value from a table with at most two
   rows per segment.
-* `fold`: a genuinely sequential state machine. Segments run in parallel from a guessed start
+* `compose`: a state machine of which only few start states can act differently. A first pass works out, per
+  segment, the end state for each of them; composed over the borders they give every segment's start
+  state, with which a second pass answers all rows. Two passes, however many segments a key fills.
+* `fold`: any sequential state machine. Segments run in parallel from a guessed start
   state; those whose start state turns out different run again until nothing changes. Since a
   segment only depends on earlier ones, the fixpoint is exactly the sequential result.
 """
@@ -20,6 +23,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -194,3 +198,109 @@ def fold(
         carries.update({s: state_of[into[s]] for s in changed})
         pending = changed & whole & sources
     return laid.select(*columns).mapInPandas(partial(emit, carries=carries), ", ".join([*kept, outputs]))
+
+
+class Automaton:
+    """A machine for `compose`. States are flat tuples of numbers; `entries` has one row for every group of start states that
+    act alike on a segment which begins with the given row."""
+
+    start: tuple = ()
+
+    def entries(self, row: tuple) -> np.ndarray:
+        raise NotImplementedError
+
+    def advance(self, states: np.ndarray, row: tuple) -> np.ndarray:
+        """`step` for many states at once."""
+        raise NotImplementedError
+
+    def leave(self, entries: np.ndarray, ends: np.ndarray, state: tuple, rows: int) -> tuple:
+        """The state after a segment of so many rows that was entered with `state`."""
+        raise NotImplementedError
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        raise NotImplementedError
+
+
+MERGE_EVERY = 16  # rows between looks for start states that have become one
+
+
+def compose(df: DataFrame, keys: list[str], order: list[str], inputs: dict[str, Column], machine: Automaton, outputs: str,
+            parts: int | None = None) -> DataFrame:
+    """Replay each key's rows in order through `machine`; returns keys, order and the output columns.
+
+    The first pass reads a segment once. While its rows have one key, all entries advance together, as arrays, and those that
+    reach the same state go on as one. What reaches the driver is a row per segment: its end state, or for a
+    segment that one key fills, the end state of each entry. Keys must not be null."""
+    given = {"_in_" + name: value for name, value in inputs.items()}
+    laid = segments(df.select(*keys, *order, *[c.alias(n) for n, c in given.items()]), keys, order, parts)
+    columns = [SEGMENT, *keys, *order, *given]
+    first_key, first_input = 1, 1 + len(keys) + len(order)
+    fields = {f.name: f.dataType.simpleString() for f in laid.schema.fields}
+    names = [*keys, *order, *[part.split()[0] for part in outputs.split(",")]]
+
+    def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in frames:
+            yield from zip(*[frame[c].tolist() for c in columns])
+
+    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin = key = segment = state = None
+        entries = states = inverse = None
+        n, whole = 0, True
+        for row in rows_of(frames):
+            segment, own, values = row[0], row[first_key : first_key + len(keys)], row[first_input:]
+            if begin is None:
+                begin = key = own
+                entries = np.asarray(machine.entries(values), float)
+                states, inverse = entries, np.arange(len(entries))
+                state = machine.start
+            if own != key:
+                key, whole, state = own, False, machine.start
+            if whole:
+                states = machine.advance(states, values)
+                if n % MERGE_EVERY == 0 and len(states) > 1:
+                    states, back = np.unique(states, axis=0, return_inverse=True)
+                    inverse = back.reshape(-1)[inverse]
+                n += 1
+            else:
+                state, _ = machine.step(state, values)
+        if begin is not None:
+            ends = states[inverse] if whole else np.array([state], float)
+            yield pd.DataFrame([(segment, *begin, *key, whole, n, entries.tobytes() if whole else b"", ends.tobytes(), ends.shape[1])], columns=table_names)
+
+    table_names = ["segment", *[f"_a{i}" for i in range(len(keys))], *[f"_b{i}" for i in range(len(keys))], "whole", "n", "entries", "ends", "width"]
+    kinds = [fields[k] for k in keys]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(table_names, ["int", *kinds, *kinds, "boolean", "long", "binary", "binary", "int"]))
+    found = sorted(laid.select(*columns).mapInPandas(tables, schema).collect(), key=lambda r: r["segment"])
+    carries: dict[int, tuple] = {}
+    last, state = None, None
+    for r in found:
+        begin, end = (tuple(r[f"_{side}{i}"] for i in range(len(keys))) for side in "ab")
+        if begin == last:
+            carries[r["segment"]] = state
+        ends = np.frombuffer(r["ends"], float).reshape(-1, r["width"])
+        if r["whole"]:
+            entries = np.frombuffer(r["entries"], float).reshape(-1, r["width"])
+            state = machine.leave(entries, ends, carries.get(r["segment"], machine.start), r["n"])
+        else:
+            state = tuple(ends[0].tolist())
+        last = end
+
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, out = None, None, []
+        for row in rows_of(frames):
+            own = row[first_key : first_key + len(keys)]
+            if key is None:
+                state = carries.get(row[0], machine.start)
+            elif own != key:
+                state = machine.start
+            key = own
+            state, values = machine.step(state, row[first_input:])
+            out.append(row[1:first_input] + values)
+            if len(out) == 20_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    kept = [f"{c} {fields[c]}" for c in (*keys, *order)]
+    return laid.select(*columns).mapInPandas(emit, ", ".join([*kept, outputs]))

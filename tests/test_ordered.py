@@ -84,3 +84,67 @@ def test_thin_rings_closes_and_drops(spark):
     df = spark.createDataFrame(square + tiny, "ring string, step long, lon double, lat double")
     got = [(r.ring, r.lon, r.lat) for r in geo.thin_rings(df, "ring", "step", parts=3).orderBy("ring", "step").collect()]
     assert got == [("a", 0.0, 0.0), ("a", 1.0, 0.0), ("a", 1.0, 1.0), ("a", 0.0, 1.0), ("a", 0.0, 0.0)]
+
+
+def passes(monkeypatch, df):
+    """Counts the passes over a frame in Python."""
+    seen, kind = [], type(df)
+    real = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, *a, **b: (seen.append(1), real(self, *a, **b))[1])
+    return seen
+
+
+def test_guarantees_over_many_segments_take_two_passes(spark, monkeypatch):
+    import datetime as dt
+
+    from curatorium.functions import chance
+    from curatorium.operators import ledger
+
+    rnd, key = random.Random(8), F.concat(F.lit("y"), F.col("event_id").cast("string"))
+    rows = [(1 if i % 40 else 2, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i, rnd.random() < (1.0 if 500 < i < 900 else 0.02)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, is_icon boolean")
+    drawn = {r.event_id: r.d for r in df.select("event_id", chance.draw_tier(key).alias("d")).collect()}
+    want = {}
+    for user in (1, 2):
+        su = ss = 0
+        for u, _, e, icon in rows:
+            if u == user:
+                tier = "icon" if icon else "ultra" if su >= 99 else "superrare" if ss >= 24 else drawn[e]
+                su, ss = 0 if tier == "ultra" else su + 1, 0 if tier in ("ultra", "superrare") else ss + 1
+                want[e] = (tier, su, ss)
+    assert max(w[1] for w in want.values()) > 150  # icons carry the counters past the guarantee
+    for parts in (1, 7, 55, 300):
+        seen = passes(monkeypatch, df)
+        got = {r.event_id: (r.tier, r.since_ultra, r.since_superrare) for r in ledger.guarantee(df, key, parts=parts).collect()}
+        assert got == want and len(seen) == 2
+        monkeypatch.undo()
+
+
+def test_one_ring_over_many_segments(spark, monkeypatch):
+    import math
+
+    rnd = random.Random(9)
+    rows = []
+    for ring in range(3):
+        x = y = 0.0
+        for i in range(1500 if ring == 0 else 40):
+            x, y = x + rnd.uniform(-0.2, 0.2), y + rnd.uniform(-0.2, 0.2)
+            if rnd.random() < 0.1 and ring == 0:
+                y = x = rnd.choice([0.0, -0.1, 3.0])  # stays close to one place for long stretches
+            rows.append((ring, i, x, y))
+    df = spark.createDataFrame(rows, "ring long, step long, lon double, lat double")
+    snapped = {(r.ring, r.step): (r.x, r.y) for r in df.select("ring", "step", geo.snap(F.col("lon")).alias("x"), geo.snap(F.col("lat")).alias("y")).collect()}
+    want = set()
+    for ring in range(3):
+        last, kept = None, []
+        for (_, i), p in sorted((k, v) for k, v in snapped.items() if k[0] == ring):
+            if last is None or math.hypot(p[0] - last[0], p[1] - last[1]) >= geo.MIN_DISTANCE:
+                last = p
+                kept.append((ring, i, *p))
+        if len(kept) >= 4:
+            want |= set(kept) | ({(ring, kept[-1][1] + 1, *kept[0][2:])} if kept[0][2:] != kept[-1][2:] else set())
+    for parts in (1, 40, 400):
+        seen = passes(monkeypatch, df)
+        got = {(r.ring, r.step, r.lon, r.lat) for r in geo.thin_rings(df, "ring", "step", parts=parts).collect()}
+        assert got == want and len(seen) == 2
+        monkeypatch.undo()
