@@ -12,10 +12,13 @@ So two grouped minima replace all pairwise comparison: no self join, no pairs wi
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from curatorium.functions.text import natural_key, norm_name
 from curatorium.functions.tiers import tier_name, tier_rank
+from curatorium.operators.components import components
+from curatorium.session import cut_lineage
 
 MIN_NORM = 3
 
@@ -94,15 +97,102 @@ def lookup_two_stage(attempts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def merge_survivors(items: DataFrame) -> DataFrame:
-    """One record per leader that absorbed others, with the fields that win.
+    """One record per leader that absorbed others, with the fields that win, as if the pairs were merged one by one, by the age of
+    the item that goes. A merge whose new key another item has at that moment is refused: only the label is taken over.
 
-    All rows a leader absorbs are merged in one step, oldest first, so "first non-empty" and
-    "longest, earliest on ties" are grouped minima. If another surviving item already owns the new
-    key, only the label is taken over.
+    Groups whose keys nobody else ever holds or claims are merged in one step: "first non-empty" and "longest, earliest
+    on ties" are grouped minima. The others are replayed merge by merge, together with those they compete with.
     """
     pairs = leaders(items)
     if "signals" not in items.columns:
         items = items.withColumn("signals", F.lit(None).cast("string"))
+    contested = cut_lineage(_contested(items, pairs))
+    free = pairs.join(contested.select("leader_id").distinct(), "leader_id", "left_anti")
+    return _merged_at_once(items, free).unionByName(_replayed(items, contested))
+
+
+def _contested(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(leader_id, item_id, claim, component, until, never) of the groups whose result depends on the order of merges.
+
+    A row's claim is the key its group would take with this row's name. It is contested if an item other than the leader and the
+    row holds it, or another group claims it. Groups that claim one key are a component; what else holds the key goes
+    at a known moment, that of its own merge (`until`), or stays (`never`)."""
+    keyed = items.select("item_id", "name", "maker", "created_at", natural_key(F.col("maker"), F.col("name")).alias("held"))
+    sizes = pairs.groupBy("leader_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("leader_id")
+    own = keyed.join(pairs.join(sizes, "leader_id"), "item_id")
+    heads = own.where("item_id = leader_id").select("leader_id", F.col("maker").alias("_maker"), F.col("held").alias("_head"))
+    rows = own.join(heads, "leader_id").withColumn("claim", natural_key(F.col("_maker"), F.col("name")))
+    holders = keyed.groupBy(F.col("held").alias("claim")).agg(F.count(F.lit(1)).alias("holders"))
+    claims = rows.groupBy("claim").agg(F.min("leader_id").alias("least"), F.max("leader_id").alias("most"))
+    theirs = F.when(F.col("_head") == F.col("claim"), 1).otherwise(0) + F.when(
+        (F.col("held") == F.col("claim")) & (F.col("item_id") != F.col("leader_id")), 1).otherwise(0)
+    judged = rows.join(claims, "claim").join(holders, "claim", "left").withColumn(
+        "clash", (F.coalesce("holders", F.lit(0)) > theirs) | (F.col("least") != F.col("most")))
+    wild = judged.groupBy("leader_id").agg(F.bool_or("clash").alias("clash")).where("clash").select("leader_id")
+    judged = cut_lineage(judged.join(wild, "leader_id").select("leader_id", "item_id", "claim", "least"))
+    joined = components(judged.select(F.col("leader_id").alias("a"), F.col("least").alias("b")))
+    named = judged.drop("least").join(joined.withColumnRenamed("node", "leader_id"), "leader_id", "left").withColumn(
+        "component", F.coalesce("component", "leader_id"))
+    dropped = pairs.where("item_id <> leader_id").select("item_id", F.lit(True).alias("goes"))
+    of = named.select("claim", "component").distinct()
+    inside = named.select("item_id", F.col("component").alias("_own"))
+    others = keyed.withColumnRenamed("held", "claim").join(of, "claim").join(inside, "item_id", "left").where(
+        ~F.col("_own").eqNullSafe(F.col("component"))).join(dropped, "item_id", "left")
+    outside = others.groupBy("claim").agg(
+        F.max(F.when(F.col("goes"), F.struct("created_at", "item_id"))).alias("until"), F.bool_or(F.col("goes").isNull()).alias("never"))
+    return named.join(outside, "claim", "left").withColumn("never", F.coalesce("never", F.lit(False)))
+
+
+_FIELDS = ("tier", "tier_reason", "first_user", "year", "signals")
+
+
+def _replay(frame: pd.DataFrame) -> pd.DataFrame:
+    """The merges of one component, in order; its rows compete for keys, so they must meet."""
+    def known(v):
+        return None if v is None or v is pd.NaT or v != v else v
+
+    rows = [{k: known(v) for k, v in zip(frame.columns, r)} for r in frame.itertuples(index=False, name=None)]
+    age = lambda at, item: (at is not None, at, item)
+    state = {r["item_id"]: dict(r, refused=False, absorbed=0) for r in rows if r["item_id"] == r["leader_id"]}
+    outside = {r["claim"]: (r["never"], age(r["until_at"], r["until_id"]) if r["until_id"] is not None else None) for r in rows}
+    claim_of = {(r["leader_id"], r["name"]): r["claim"] for r in rows}
+    holders: dict[str, int] = {}
+    for r in rows:
+        holders[r["held"]] = holders.get(r["held"], 0) + 1
+    for d in sorted((r for r in rows if r["item_id"] != r["leader_id"]), key=lambda r: age(r["created_at"], r["item_id"])):
+        k = state[d["leader_id"]]
+        k["absorbed"] += 1
+        if not k["label_locked"] and d["label_style"] is not None and (
+                d["label_version"] == 2 or k["label_style"] is None or d["label_locked"]):
+            k |= {c: d[c] for c in ("label_style", "label_version", "label_locked")}
+        longer = len(d["name"] or "") > len(k["name"] or "")
+        name = k["name"] if k["is_icon"] else d["name"] if d["is_icon"] or longer else k["name"]
+        holders[d["held"]] -= 1
+        claim, now = claim_of[k["leader_id"], name], age(d["created_at"], d["item_id"])
+        never, until = outside[claim]
+        taken = holders.get(claim, 0) - (k["held"] == claim) > 0 or never or (until is not None and until > now)
+        k["refused"] |= taken
+        if not taken:
+            holders[k["held"]] -= 1
+            holders[claim] = holders.get(claim, 0) + 1
+            k |= {"name": name, "held": claim, "is_icon": bool(k["is_icon"] or d["is_icon"])}
+            k |= {c: d[c] for c in _FIELDS if k[c] is None}
+    out = [{"item_id": k["item_id"], "name": k["name"], **{c: k[c] for c in _FIELDS}, "is_icon": bool(k["is_icon"]),
+            "label_style": k["label_style"], "key_taken": bool(k["refused"]), "absorbed": k["absorbed"]} for k in state.values()]
+    return pd.DataFrame(out).astype({c: "object" for c in ("tier", "tier_reason", "first_user", "year", "signals", "label_style")})
+
+
+def _replayed(items: DataFrame, contested: DataFrame) -> DataFrame:
+    columns = ["item_id", "name", "created_at", *_FIELDS, "is_icon", "label_style", "label_version", "label_locked"]
+    rows = items.select(*columns, natural_key(F.col("maker"), F.col("name")).alias("held")).join(contested, "item_id").select(
+        *columns, "held", "leader_id", "claim", "component", F.col("until.created_at").alias("until_at"), F.col("until.item_id").alias("until_id"), "never")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = ", ".join([*[f"{c} {kinds[c]}" for c in ("item_id", "name", *_FIELDS)], "is_icon boolean", f"label_style {kinds['label_style']}",
+                     "key_taken boolean", "absorbed bigint"])
+    return rows.groupBy("component").applyInPandas(_replay, out)
+
+
+def _merged_at_once(items: DataFrame, pairs: DataFrame) -> DataFrame:
     age = F.struct("created_at", "item_id")
     own = F.col("item_id") == F.col("leader_id")
     # the leader first, then the dropped by age
@@ -120,44 +210,19 @@ def merge_survivors(items: DataFrame) -> DataFrame:
     merged = rows.groupBy("leader_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min_by("name", name_order).alias("new_name"),
-        F.max(F.when(own, F.col("name"))).alias("old_name"),
-        F.max(F.when(own, F.col("maker"))).alias("maker"),
-        first_known("tier"), first_known("tier_reason"), first_known("first_user"), first_known("year"), first_known("signals"),
-        F.min_by("signals", F.when(own, age)).alias("own_signals"),
-        F.max(F.when(own, F.col("tier"))).alias("own_tier"),
-        F.max(F.when(own, F.col("tier_reason"))).alias("own_reason"),
-        F.max(F.when(own, F.col("first_user"))).alias("own_user"),
-        F.max(F.when(own, F.col("year"))).alias("own_year"),
+        *[first_known(c) for c in _FIELDS],
         F.max(F.when(own, F.col("label_style"))).alias("own_label"),
         F.bool_or(own & locked).alias("own_locked"),
         F.min_by("label_style", F.when(dropped_label & locked, age)).alias("first_locked"),
         F.max_by("label_style", F.when(dropped_label & (F.col("label_version") == 2), age)).alias("newest_drawn"),
         F.min_by("label_style", F.when(dropped_label, age)).alias("any_label"),
-        F.bool_or(icon).alias("is_icon"), F.bool_or(own & icon).alias("own_icon"),
+        F.bool_or(icon).alias("is_icon"),
     ).where("rows > 1")
-    new_key = natural_key(F.col("maker"), F.col("new_name"))
-    dropped = pairs.where("item_id <> leader_id").select("item_id")
-    alive = items.join(dropped, "item_id", "left_anti").select(
-        natural_key(F.col("maker"), F.col("name")).alias("new_key"), "item_id")
-    # a key is taken when a surviving item other than the leader has it: counts decide, no pairs
-    owners = alive.groupBy("new_key").agg(F.count(F.lit(1)).alias("owners"))
-    own_key = natural_key(F.col("maker"), F.col("old_name"))
-    out = merged.withColumn("new_key", new_key).join(owners, "new_key", "left").withColumn(
-        "key_taken", F.coalesce("owners", F.lit(0)) > F.when(own_key == F.col("new_key"), 1).otherwise(0))
     label = F.when(F.col("own_locked"), F.col("own_label")).otherwise(
         F.coalesce("first_locked", "newest_drawn", "own_label", "any_label"))
-
-    def unless_taken(new: str, old: str):
-        return F.when(F.col("key_taken"), F.col(old)).otherwise(F.col(new))
-
-    return out.select(
-        F.col("leader_id").alias("item_id"), unless_taken("new_name", "old_name").alias("name"),
-        unless_taken("tier", "own_tier").alias("tier"), unless_taken("tier_reason", "own_reason").alias("tier_reason"),
-        unless_taken("first_user", "own_user").alias("first_user"), unless_taken("year", "own_year").alias("year"),
-        unless_taken("signals", "own_signals").alias("signals"),
-        unless_taken("is_icon", "own_icon").alias("is_icon"), label.alias("label_style"), "key_taken",
-        (F.col("rows") - 1).alias("absorbed"),
-    )
+    return merged.select(
+        F.col("leader_id").alias("item_id"), F.col("new_name").alias("name"), *_FIELDS, "is_icon", label.alias("label_style"),
+        F.lit(False).alias("key_taken"), (F.col("rows") - 1).alias("absorbed"))
 
 
 def merge_facts(facts: DataFrame, pairs: DataFrame, given_tier: DataFrame | None = None) -> DataFrame:

@@ -100,23 +100,28 @@ CHECKS = {
         case when e.id is not null then 'exact' when f.id is not null then 'norm' else 'new' end as stage
       from keyed k left join e on e.name = k.name and e.maker = k.maker and e.color = k.color
       left join f on f.name = k.name and f.maker = k.maker and f.color = k.color""", "catalog"),
-    "merge_survivor": oracle(f"""with {_BLOCK},
-      r0 as (select catalog.*, al.leader_id from catalog join al using (item_id)),
-      g as (select leader_id, count(*) - 1 as absorbed,
-        arg_min(r.name, (case when is_icon then 0 else 1 end, case when is_icon then 0 else -length(r.name) end, {_TURN})) as new_name,
-        {_first('tier')}, {_first('tier_reason')}, {_first('first_user')}, {_first('year')}, {_first('signals')}, bool_or(is_icon) as is_icon,
-        (list(r.label_style order by r.created_at, r.item_id) filter (r.item_id <> leader_id and r.label_style is not null and label_locked))[1] as locked_label,
-        (list(r.label_style order by r.created_at desc, r.item_id desc) filter (r.item_id <> leader_id and r.label_style is not null and label_version = 2))[1] as drawn_label,
-        (list(r.label_style order by r.created_at, r.item_id) filter (r.item_id <> leader_id and r.label_style is not null))[1] as other_label
-        from r0 r group by leader_id having count(*) > 1),
-      live as (select *, lower(trim(maker)) || '|' || lower(trim(name)) as k from catalog where item_id not in (select item_id from gone)),
-      t as (select g.*, l.name as old_name, l.maker, l.tier as t0, l.tier_reason as r0, l.first_user as u0, l.year as y0, l.signals as s0, l.is_icon as i0, l.label_style as l0, l.label_locked as k0,
-        exists (select 1 from live x where x.item_id <> g.leader_id and x.k = lower(trim(l.maker)) || '|' || lower(trim(g.new_name))) as key_taken
-        from g join catalog l on l.item_id = g.leader_id)
-      select leader_id as item_id, case when key_taken then old_name else new_name end as name, case when key_taken then t0 else tier end as tier,
-        case when key_taken then r0 else tier_reason end as tier_reason, cast(case when key_taken then u0 else first_user end as bigint) as first_user,
-        cast(case when key_taken then y0 else year end as bigint) as year, case when key_taken then s0 else signals end as signals, case when key_taken then i0 else is_icon end as is_icon,
-        case when k0 then l0 else coalesce(locked_label, drawn_label, l0, other_label) end as label_style, key_taken, absorbed from t""", "catalog"),
+    # one pair after the other, in a table that every step sees as the last one left it
+    "merge_survivor": oracle(f"""with recursive {_BLOCK},
+      todo as (select leader_id as keep, led.item_id as gone_id, row_number() over (order by c.created_at, c.item_id) as n from led join catalog c on c.item_id = led.item_id),
+      w as (select item_id, 0::bigint as n, name, maker, lower(trim(coalesce(maker, ''))) || '|' || lower(trim(name)) as wk, tier, tier_reason, first_user, year, signals,
+          coalesce(is_icon, false) as icon, label_style as l, label_version as v, coalesce(label_locked, false) as locked, false as dead, 0::bigint as merged, false as refused from catalog),
+      st using key (item_id) as (select * from w
+        union
+        select q.* from (
+          with now_ as (select * from todo where n = (select max(n) from st) + 1),
+          kd as (select k, d, now_.n as step, case when k.icon then k.name when d.icon then d.name when length(d.name) > length(k.name) then d.name else k.name end as nm,
+              not k.locked and d.l is not null and (d.v = 2 or k.l is null or d.locked) as lab
+            from now_ join recurring.st k on k.item_id = keep join recurring.st d on d.item_id = gone_id),
+          j as (select *, lower(trim(coalesce(k.maker, ''))) || '|' || lower(trim(nm)) as nk from kd),
+          t as (select *, exists (select 1 from recurring.st x where not x.dead and x.item_id <> j.k.item_id and x.item_id <> j.d.item_id and x.wk = j.nk) as taken from j)
+          select k.item_id, step, case when taken then k.name else nm end, k.maker, case when taken then k.wk else nk end,
+            case when taken then k.tier else coalesce(k.tier, d.tier) end, case when taken then k.tier_reason else coalesce(k.tier_reason, d.tier_reason) end,
+            case when taken then k.first_user else coalesce(k.first_user, d.first_user) end, case when taken then k.year else coalesce(k.year, d.year) end,
+            case when taken then k.signals else coalesce(k.signals, d.signals) end, case when taken then k.icon else k.icon or d.icon end,
+            case when lab then d.l else k.l end, case when lab then d.v else k.v end, case when lab then d.locked else k.locked end, false, k.merged + 1, k.refused or taken from t
+          union all select d.item_id, step, d.name, d.maker, d.wk, d.tier, d.tier_reason, d.first_user, d.year, d.signals, d.icon, d.l, d.v, d.locked, true, d.merged, d.refused from t) q)
+      select item_id, name, tier, tier_reason, cast(first_user as bigint) as first_user, cast(year as bigint) as year, signals, icon as is_icon, l as label_style,
+        refused as key_taken, merged as absorbed from st where merged > 0 and not dead""", "catalog"),
     "merge_facts": oracle(f"""with {_BLOCK},
       rk as (select unnest(['common','rare','superrare','ultra','icon']) as tier, unnest([1,2,3,4,5]) as rank),
       gv as (select leader_id as item_id, case when bool_or(is_icon) then 'icon' else

@@ -75,3 +75,49 @@ def test_merge_in_one_step(spark):
     got = resolve.merge_survivors(spark.createDataFrame(rows, schema)).first()
     assert (got["item_id"], got["name"], got["tier"], got["first_user"], got["year"], got["label_style"], got["absorbed"]) == (
         1, "Château Rozier", "rare", 7, 2001, "drawn", 2)
+
+
+def one_by_one(items, leader_of):
+    """Merges in the order of the age of what goes, each against the keys of that moment."""
+    def key(maker, name):
+        return f"{(maker or '').strip().lower()}|{name.strip().lower()}"
+
+    state = {r["item_id"]: dict(r, key=key(r["maker"], r["name"]), refused=False, absorbed=0) for r in items}
+    order = sorted((r["created_at"], r["item_id"]) for r in items if leader_of.get(r["item_id"], r["item_id"]) != r["item_id"])
+    for _, gone in order:
+        d, k = state.pop(gone), state[leader_of[gone]]
+        k["absorbed"] += 1
+        if not k["label_locked"] and d["label_style"] is not None and (d["label_version"] == 2 or k["label_style"] is None or d["label_locked"]):
+            k.update({c: d[c] for c in ("label_style", "label_version", "label_locked")})
+        name = k["name"] if k["is_icon"] else d["name"] if d["is_icon"] or len(d["name"]) > len(k["name"]) else k["name"]
+        wanted = key(k["maker"], name)
+        if any(x is not k and x["key"] == wanted for x in state.values()):
+            k["refused"] = True
+            continue
+        k.update(name=name, key=wanted, is_icon=k["is_icon"] or d["is_icon"])
+        k.update({c: d[c] for c in ("tier", "tier_reason", "first_user", "year", "signals") if k[c] is None})
+    return sorted((k["item_id"], k["name"], k["tier"], k["tier_reason"], k["first_user"], k["year"], k["signals"], k["is_icon"],
+                   k["label_style"], k["refused"], k["absorbed"]) for k in state.values() if k["absorbed"])
+
+
+def test_merges_with_contested_keys_go_one_by_one(spark):
+    import datetime as dt
+    import random
+
+    rnd, items = random.Random(12), []
+    names = ["Rozier", "Château Rozier", "Chateau Rozier 1998", "Domaine Rozier", "Rozier 1999", "Rozier  ", "Picard", "Domaine Picard", "picard 2001"]
+    for i in range(260):
+        items.append({
+            "item_id": i, "name": rnd.choice(names), "maker": rnd.choice(["Dupont", "Domaine Dupont", "dupont ", "Maison Dupont", f"solo{i % 40}", f"Château solo{i % 40}", ""]),
+            "color": rnd.choice(["", "rood", "wit", "Rood"]), "created_at": dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randrange(200)),
+            "year": rnd.choice([None, 1990, 1991]), "is_icon": rnd.random() < 0.1, "tier": rnd.choice([None, "rare", "ultra"]),
+            "tier_reason": rnd.choice([None, f"r{i}"]), "first_user": rnd.choice([None, i]), "label_style": rnd.choice([None, f"l{i}"]),
+            "label_version": rnd.choice([1, 2]), "label_locked": rnd.random() < 0.1, "signals": rnd.choice([None, f"s{i}"])})
+    schema = ("item_id long, name string, maker string, color string, created_at timestamp_ntz, year int, is_icon boolean, tier string, tier_reason string, "
+              "first_user long, label_style string, label_version int, label_locked boolean, signals string")
+    df = spark.createDataFrame([tuple(i.values()) for i in items], schema)
+    leader_of = {r["item_id"]: r["leader_id"] for r in resolve.leaders(df).collect()}
+    columns = ["item_id", "name", "tier", "tier_reason", "first_user", "year", "signals", "is_icon", "label_style", "key_taken", "absorbed"]
+    got = sorted(tuple(r[c] for c in columns) for r in resolve.merge_survivors(df).collect())
+    want = one_by_one(items, leader_of)
+    assert got == want and 5 < sum(w[9] for w in want) < len(want)
