@@ -1,42 +1,5 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components of links between documents; see `operators.components`."""
 
-Every step is a grouped minimum (combined before the shuffle) and an equi join whose other side has one row a node, so
-a node with very many neighbours can be split. The published bound is O(log^2) rounds, so long chains of redirects end soon.
-"""
+from curatorium.operators.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
-
-from curatorium.session import cut_lineage
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("_m"))
-    moved = down.join(least, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-    return moved.union(least.select("a", F.col("_m").alias("b"))).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) of any ordered type -> (node, component), component being the smallest node reached. Nodes without a link
-    have no row; loops, nulls and repeated links change nothing."""
-    stars = cut_lineage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, now = None, _state(stars)
-    while before != now:
-        stars = cut_lineage(_small_star(_large_star(stars)))
-        before, now = now, _state(stars)
-    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+__all__ = ["components"]
