@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatorium.plans.bindings import Data
 from curatorium.plans import q_ledger, q_text
 from curatorium.sources.sinks import read_upserted, shared_folder, upsert_batch
-from curatorium.streaming import ledger as stream_ledger, queries, replay
+from curatorium.streaming import ledger, queries
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,63 +22,57 @@ def stream_daily(spark, sf_dir):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
+def stream_late(spark, sf_dir):
+    """Rows and late rows of the daily counts, from the log of their micro-batches."""
+    _, log = queries.run_with_log(queries.daily_counts(_events(spark, sf_dir)), shared_folder(spark, "stream-late"))
+    return log.agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
+
+
 def stream_active(spark, sf_dir):
-    out = queries.run_to_table(queries.rolling_active(_events(spark, sf_dir)), shared_folder(spark, "stream-active"))
-    # next to it the exact number, from the same windows in batch
-    exact = Data(spark, sf_dir).attempt.groupBy(F.window(F.col("ts").cast("timestamp"), "7 days", "1 day").alias("w")).agg(
-        F.countDistinct("user_id").alias("exact")).select(F.col("w.end").alias("until"), "exact")
-    return out.join(exact, "until").select(
-        F.date_format("until", "yyyy-MM-dd").alias("until"), F.col("exact").alias("users"),
-        (F.abs(F.col("users") - F.col("exact")) <= 0.06 * F.col("exact")).alias("close"))
-
-
-def _arriving(spark, rows, folder):
-    """The log as a stream of five files; a row may arrive up to an hour after later ones. A last row moves the watermark on."""
-    second = F.unix_seconds(F.col("ts").cast("timestamp"))
-    jitter = F.pmod(F.xxhash64("event_id"), F.lit(3600))
-    ends = rows.agg(F.min(second).alias("_a"), (F.max(second) + 3601).alias("_b"))
-    part = F.floor(4 * (second + jitter - F.col("_a")) / (F.col("_b") - F.col("_a")))
-    placed = rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_a", "_b")
-    for n in range(4):
-        # one file a trigger keeps a person's rows of a batch few
-        placed.where(F.least("_part", F.lit(3)) == n).drop("_part").repartition(1).write.parquet(f"{folder}/in/part={n}")
-    closing = rows.limit(1).select(*[
-        (F.lit(-1).cast("long") if c in ("user_id", "event_id") else F.col(c) + F.expr("INTERVAL 900 DAYS") if c == "ts" else F.col(c)).alias(c)
-        for c in rows.columns])
-    closing.write.parquet(f"{folder}/in/part=4")
-    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """People active in the seven days before each closed day, out of the stream."""
+    folder = shared_folder(spark, "stream-active")
+    changes, log = _with_state(spark, ledger.active_changes(_events(spark, sf_dir), delay=queries.WATERMARK), folder)
+    closed = log.agg(F.max(F.to_timestamp("watermark")).alias("w")).first()["w"]
+    return ledger.active_people(changes).where(F.col("until").cast("timestamp") <= F.lit(closed)).select(
+        F.date_format("until", "yyyy-MM-dd").alias("until"), "users")
 
 
 def _with_state(spark, stream, folder):
-    """Run with the state store that keyed state machines need."""
+    """Result and log, with the state store that keyed state machines need."""
     before = spark.conf.get(_STATE_STORE, None)
     spark.conf.set(_STATE_STORE, _ROCKSDB)
     try:
-        return queries.run_to_table(stream, folder)
+        return queries.run_with_log(stream, folder)
     finally:
         spark.conf.unset(_STATE_STORE) if before is None else spark.conf.set(_STATE_STORE, before)
 
 
 def stream_confirm(spark, sf_dir):
-    """The same statuses as confirm_within, one micro-batch at a time and out of order."""
-    a, folder = Data(spark, sf_dir).attempt, shared_folder(spark, "stream-confirm")
-    rows = a.where("event_type in ('view', 'click', 'purchase')").select(
+    """The statuses of confirm_within for all events that the watermark has passed."""
+    rows = _events(spark, sf_dir).where("event_type in ('view', 'click', 'purchase')").select(
         "user_id", "event_id", "ts", (F.col("event_type") == "view").alias("is_check"),
         F.when(F.col("item_id") % 5 != 0, 1990 + F.col("item_id") % 2).alias("year"))
-    out = _with_state(spark, stream_ledger.confirmations(_arriving(spark, rows, folder), minutes=720), folder)
-    log = a.where("event_type in ('click', 'purchase')").select("event_id")
-    checks = out.select("event_id", F.col("detail").alias("check_id"))
-    return replay.with_late(log, out).join(checks, "event_id", "left").select("event_id", "check_id", "status")
+    out, _ = _with_state(spark, ledger.confirmations(rows, minutes=720), shared_folder(spark, "stream-confirm"))
+    return out.select("event_id", F.col("detail").alias("check_id"), "status")
 
 
 def stream_admission(spark, sf_dir):
-    """The same ledger as admission_ledger, one micro-batch at a time and out of order."""
-    d, folder = Data(spark, sf_dir), shared_folder(spark, "stream-admission")
-    limits = d.users.withColumn("daily_limit", F.when(F.col("daily_limit") > 2, 2).otherwise(1))
-    rows = d.attempt.select("user_id", "event_id", "ts", (F.col("item_id") % 25).alias("item_id"))
-    out = _with_state(spark, stream_ledger.admission(_arriving(spark, rows, folder), limits), folder)
-    return replay.with_late(rows.select("event_id"), out).select("event_id", "status")
+    """The statuses of admission_ledger for all events that the watermark has passed."""
+    limits = Data(spark, sf_dir).users.withColumn("daily_limit", F.when(F.col("daily_limit") > 2, 2).otherwise(1))
+    rows = _events(spark, sf_dir).withColumn("item_id", F.col("item_id") % 25)
+    out, _ = _with_state(spark, ledger.admission(rows, limits), shared_folder(spark, "stream-admission"))
+    return out.select("event_id", "status")
+
+
+def stream_caps(spark, sf_dir):
+    """The statuses of cap_ledger for all events that the watermark has passed: caps per person, whose results are a stream of
+    their own into counts per month and hour."""
+    folder = shared_folder(spark, "stream-caps")
+    calls = _events(spark, sf_dir).withColumn("user_id", F.col("user_id") % 15)
+    judged, _ = _with_state(spark, ledger.day_caps(calls, Data(spark, sf_dir).users, day_cap=10), f"{folder}/days")
+    again = spark.readStream.schema(judged.schema).parquet(f"{folder}/days/data")
+    hours = queries.run_counts(ledger.hourly(again), f"{folder}/hours", ["month", "hour"])
+    return ledger.month_caps(judged, hours, month_cap=6000)
 
 
 def stream_upsert(spark, sf_dir):
@@ -96,16 +90,25 @@ def stream_upsert(spark, sf_dir):
         "user_id", "item_id", "event_type", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_daily, stream_active, stream_confirm, stream_admission, stream_upsert)}
+QUERIES = {f.__name__: f for f in (stream_daily, stream_late, stream_active, stream_confirm, stream_admission, stream_caps, stream_upsert)}
+
+
+
+def _passed(name: str, delay: str) -> str:
+    """The batch ledger's check, for the events before the last watermark."""
+    return f"select * from ({q_ledger.CHECKS[name]}) q where event_id in (select event_id from events where ts < (select max(ts) - interval '{delay}' from events))"
+
 
 CHECKS = {
+    "stream_late": "select count(*) as rows, 0 as late from events",
+    "stream_caps": _passed("cap_ledger", ledger.DELAY),
     "stream_daily": """select cast(ts::date as varchar) as day, count(*) as n from events
       where ts::date + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1""",
-    "stream_confirm": q_ledger.CHECKS["confirm_within"],
+    "stream_confirm": _passed("confirm_within", ledger.DELAY),
     "stream_upsert": q_text.CHECKS["upsert_latest"],
     "stream_active": """with d as (select distinct ts::date as day from events),
       u as (select distinct day + n::int as until from d, range(1, 8) r(n))
-      select cast(until::date as varchar) as until, count(distinct user_id) as users, true as close from u join events on ts::date >= until - 7 and ts::date < until
+      select cast(until::date as varchar) as until, count(distinct user_id) as users from u join events on ts::date >= until - 7 and ts::date < until
       where until <= (select max(ts) - interval 1 hour from events) group by 1""",
-    "stream_admission": q_ledger.CHECKS["admission_ledger"],
+    "stream_admission": _passed("admission_ledger", ledger.DELAY),
 }

@@ -1,70 +1,84 @@
 """Keyed state machines that see a stream's rows in event time order, whatever order they arrive in.
 
-Rows wait in state until the watermark has passed their hour and are then replayed by (ts, event_id). Rows later than the watermark are
-dropped by the engine and counted in its progress; `with_late` gives them a status. State of a key is what waits and what its
-machine keeps; a micro-batch is bounded by the source's trigger options.
+Rows wait in their key's list until the watermark has passed them. A key has one timer, at its earliest waiting row; when it
+fires, all rows before the watermark leave the list at once, sorted by (ts, event_id), and go through the machine together.
+So a key costs a few state calls a micro-batch, however many rows it has. Rows later than the watermark are dropped by the
+engine and counted in its progress; `with_late` gives them a status. State of a key is what waits and what its machine
+keeps; a micro-batch is bounded by the source's trigger options. A machine is sequential, so one key's rows of a micro-batch
+are one group.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 OUTPUT = "user_id long, event_id long, status string, detail long"
-HOUR_MS = 3_600_000
 
 
 class OrderedReplay(StatefulProcessor):
-    """Subclasses keep their state in `open` and answer one row at a time in `step`."""
+    """Subclasses name the columns they need (all longs), keep their state in `open`, and answer due rows in `drain`."""
+
+    columns: tuple[str, ...] = ()
+    output: tuple[str, ...] = ("user_id", "event_id", "status", "detail")
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def step(self, at: int, event: int, row: dict) -> tuple[str, int | None] | None:
+    def drain(self, key: int, rows: list[tuple]) -> list[tuple]:
+        """Output rows for rows (at, event, *columns) in order; missing values are None."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState(
-            "waiting", StructType([StructField("at", LongType()), StructField("event", LongType())]), StructType([StructField("row", StringType())]))
+        fields = [StructField(c, LongType()) for c in ("at", "event", *self.columns)]
+        self.waiting = handle.getListState("waiting", StructType(fields))
+        self.due = handle.getValueState("due", StructType([StructField("at", LongType())]))
         self.open(handle)
 
+    def _wait(self, earliest: int) -> None:
+        before = self.due.get()[0] if self.due.exists() else None
+        if before is None or earliest < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(earliest)
+            self.due.update((earliest,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hours = set()
+        names = ["at", "event_id", *self.columns]
         for frame in rows:
-            for at, event, row in zip(frame["at"], frame["event_id"], frame["row"]):
-                self.waiting.updateValue((int(at), int(event)), (row,))
-                hours.add((int(at) // HOUR_MS + 1) * HOUR_MS)
-        for hour in hours.difference(self.handle.listTimers()):
-            self.handle.registerTimer(hour)
+            if len(frame):
+                self.waiting.appendList([tuple(None if v != v else int(v) for v in r) for r in zip(*[frame[c].tolist() for c in names])])
+                self._wait(int(frame["at"].min()))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        due = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator() if k[0] < until)
-        for (at, event), row in due:
-            answer = self.step(at, event, json.loads(row))
-            self.waiting.removeKey((at, event))
-            if answer:
-                out.append((int(key[0]), event, *answer))
+        until = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(None if v is None else int(v) for v in r) for r in self.waiting.get()]
+        ready, later = sorted(r for r in rows if r[0] < until), [r for r in rows if r[0] >= until]
+        self.waiting.clear()
+        self.due.clear()
+        if later:
+            self.waiting.put(later)
+            self._wait(min(r[0] for r in later))
+        out = self.drain(int(key[0]), ready)
         if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "status", "detail"]).astype({"detail": "Int64"})
+            yield pd.DataFrame(out, columns=list(self.output)).convert_dtypes()
 
     def close(self) -> None:
         pass
 
 
-def replayed(events: DataFrame, machine: OrderedReplay, columns: list[str], delay: str) -> DataFrame:
-    """(user_id, event_id, status, detail) of the rows that the machine answers."""
+def replayed(events: DataFrame, machine: OrderedReplay, delay: str, output: str = OUTPUT) -> DataFrame:
+    """What the machine answers; rows need user_id, event_id, ts and the machine's columns."""
     rows = events.withWatermark("ts", delay).select(
-        "user_id", "event_id", "ts", F.unix_millis("ts").alias("at"), F.to_json(F.struct(*columns)).alias("row"))
+        "user_id", "event_id", "ts", F.unix_millis("ts").alias("at"), *[F.col(c).cast("long").alias(c) for c in machine.columns])
     return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=machine, outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
+        statefulProcessor=machine, outputStructType=output, outputMode="append", timeMode="EventTime")
 
 
 def with_late(log: DataFrame, statuses: DataFrame) -> DataFrame:
