@@ -47,3 +47,15 @@ def clean_elements(elements: Column) -> Column:
 def merge_fields(estimate: Column, verified: Column, names: list[str]) -> Column:
     """Verified values win wherever they are present."""
     return F.struct(*[F.coalesce(verified[n], estimate[n]).alias(n) for n in names])
+
+
+def merge_open(estimate: Column, verified: Column) -> Column:
+    """`merge_fields` for variants with whatever fields they have: each present verified value wins, JSON null counting as missing.
+    Fields that nobody has named yet are kept; null if neither side is an object."""
+    def fields(v: Column) -> Column:
+        known = F.when(F.schema_of_variant(v).startswith("OBJECT"), v.cast("map<string,variant>"))
+        present = F.map_filter(known, lambda _, x: x.isNotNull() & ~F.is_variant_null(x))
+        return F.coalesce(present, F.create_map().cast("map<string,variant>"))
+
+    merged = F.map_zip_with(fields(estimate), fields(verified), lambda _, old, new: F.coalesce(new, old))
+    return F.when(estimate.isNotNull() | verified.isNotNull(), F.to_variant_object(merged))

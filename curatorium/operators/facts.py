@@ -19,12 +19,17 @@ def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFra
 
 
 def upsert_latest(base: DataFrame, delta: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The base, one row per key, after the delta's last writes. Only keys of the delta are grouped; the rest of the base is
-    passed on, and isn't shuffled either while the delta's keys are few enough to be broadcast. Keys aren't null."""
-    touched = small_or_shuffled(delta.select(*keys).distinct())
-    old = base.join(touched, keys, "left_semi")
-    rest = base.join(touched, keys, "left_anti").select(*base.columns)
-    return rest.unionByName(latest(old.select(*base.columns).unionByName(delta), keys, order))
+    """The base, one row per key, after the delta's last writes. The delta is reduced to a row per key; each of them meets the
+    base's row in one join, in which the later one wins. Keys aren't null."""
+    columns = base.columns
+    new = latest(delta.select(*columns), keys, order).select(*keys, F.struct(*columns).alias("_new"))
+    old = base.select(*keys, F.struct(*columns).alias("_old"))
+
+    def at(row: str) -> Column:
+        return F.struct(*[F.col(row)[o].alias(f"o{i}") for i, o in enumerate(order)])
+
+    keep = F.col("_new").isNull() | (at("_old") > at("_new"))
+    return old.join(new, keys, "full").select(F.when(F.col("_old").isNotNull() & keep, F.col("_old")).otherwise(F.col("_new")).alias("r")).select("r.*")
 
 
 def upsert_counter(base: DataFrame, delta: DataFrame, keys: list[str], counter: str) -> DataFrame:

@@ -137,3 +137,22 @@ def rolling_active(events: DataFrame, days: int, name: str) -> DataFrame:
     spine = ends.select(F.explode(F.sequence("a", "b")).alias("day"))
     running = F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("day"))
     return spine.join(change, "day", "left").select("day", running.alias(name))
+
+
+LOG_REGISTERS = 12  # standard error about 1.6 %
+
+
+def daily_sketches(events: DataFrame) -> DataFrame:
+    """(day, sketch): a HyperLogLog sketch of each day's people, to be kept as a table; a row of 4 KB a day whatever the traffic."""
+    return events.groupBy(F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id", F.lit(LOG_REGISTERS)).alias("sketch"))
+
+
+def active_from_sketches(sketches: DataFrame, windows: tuple[int, ...] = ACTIVE_WINDOWS) -> DataFrame:
+    """(day, about7, about30, ...): people active in the window that ends with each day, by union of the days' sketches; the log is
+    not read. Days from the first to the last one with a sketch."""
+    days = sketches.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    served = sketches.select("day", "sketch", F.explode(F.sequence(F.lit(0), F.lit(max(windows) - 1))).alias("age")).select(
+        F.date_add("day", F.col("age")).alias("day"), "age", "sketch")
+    unions = served.groupBy("day").agg(*[
+        F.hll_sketch_estimate(F.hll_union_agg(F.when(F.col("age") < w, F.col("sketch")))).alias(f"about{w}") for w in windows])
+    return days.join(unions, "day", "left").select("day", *[F.coalesce(f"about{w}", F.lit(0)).alias(f"about{w}") for w in windows])

@@ -8,6 +8,7 @@ slots it fills. Signatures are few whatever the number of rules or items.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -77,41 +78,64 @@ def set_totals(slots: DataFrame) -> DataFrame:
     return slots.groupBy("set_id", "unlock", "secret", "always").agg(F.count(F.lit(1)).alias("total"))
 
 
-def filled_slots(facts: DataFrame, fills: DataFrame) -> DataFrame:
-    """Distinct (user, set, position); owning ten of an item fills nothing extra."""
-    owned = facts.select("user_id", "item_id")
-    return owned.join(fills.select("item_id", "set_id", "position"), "item_id").groupBy("user_id", "set_id", "position").agg(
-        F.count(F.lit(1)).alias("items"))
+WORD = 63  # positions to a long
+
+
+def _words(df: DataFrame) -> list[str]:
+    return sorted((c for c in df.columns if re.fullmatch(r"bits\d+", c)), key=lambda c: int(c[4:]))
+
+
+def filled_sets(facts: DataFrame, fills: DataFrame, slots: DataFrame) -> DataFrame:
+    """(user_id, set_id, bits0, bits1, ...): the filled positions of each set as bits, WORD to a column; owning ten of an item fills
+    nothing extra. One pass over the facts, of which one row per person and set leaves a task."""
+    words = (slots.agg(F.max("position")).first()[0] or 0) // WORD + 1
+    bit = F.expr(f"shiftleft(1L, cast(position % {WORD} as int))")
+    names = [f"bits{w}" for w in range(words)]
+    per_item = fills.groupBy("item_id", "set_id").agg(
+        *[F.coalesce(F.bit_or(F.when(F.floor(F.col("position") / WORD) == w, bit)), F.lit(0).cast("long")).alias(n) for w, n in enumerate(names)])
+    return facts.select("user_id", "item_id").join(per_item, "item_id").groupBy("user_id", "set_id").agg(*[F.bit_or(n).alias(n) for n in names])
+
+
+def set_totals(slots: DataFrame) -> DataFrame:
+    return slots.groupBy("set_id", "unlock", "secret", "always").agg(F.count(F.lit(1)).alias("total"))
 
 
 def set_progress(filled: DataFrame, slots: DataFrame) -> DataFrame:
-    counts = filled.groupBy("user_id", "set_id").agg(F.count(F.lit(1)).alias("filled"))
+    """How many slots of a set a person has filled, of how many; the bits stay."""
     totals = small_or_shuffled(set_totals(slots).select("set_id", "total"))
-    return counts.join(totals, "set_id").withColumn("complete", F.col("filled") == F.col("total"))
+    n = reduce(lambda a, b: a + b, [F.bit_count(w) for w in _words(filled)]).cast("long")
+    return filled.withColumn("filled", n).join(totals, "set_id").withColumn("complete", F.col("filled") == F.col("total"))
 
 
 def visible_sets(progress: DataFrame, users: DataFrame, slots: DataFrame) -> DataFrame:
-    """Sets each person can see: always, prerequisite complete, or (without one) something in it."""
-    sets = set_totals(slots)
+    """Sets each person can see: always, prerequisite complete, or (without one) something in it. A complete set brings the sets
+    it unlocks with it, so the progress is read once."""
+    sets, words = set_totals(slots), _words(progress)
     always = [r["set_id"] for r in sets.where("always").select("set_id").collect()]
-    started = progress.select("user_id", "set_id", "filled")
-    unlocked = progress.where("complete").select("user_id", F.col("set_id").alias("unlock")).join(
-        small_or_shuffled(sets.where(F.col("unlock").isNotNull()).select("set_id", "unlock")), "unlock").select(
-        "user_id", "set_id", F.lit(0).cast("long").alias("filled"), F.lit(True).alias("opened"))
-    shown = users.select("user_id", F.explode(F.lit(always).cast("array<string>")).alias("set_id")).select(
-        "user_id", "set_id", F.lit(0).cast("long").alias("filled"), F.lit(True).alias("opened"))
-    merged = started.withColumn("opened", F.lit(False)).unionByName(unlocked).unionByName(shown).groupBy("user_id", "set_id").agg(
-        F.max("filled").alias("filled"), F.bool_or("opened").alias("opened"))
+    unlocks = sets.where(F.col("unlock").isNotNull()).groupBy(F.col("unlock").alias("set_id")).agg(F.collect_list("set_id").alias("_opens"))
+    own = F.struct("set_id", "filled", *words, F.lit(False).alias("opened"))
+
+    def empty(set_id: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.struct(set_id.alias("set_id"), zero.alias("filled"), *[zero.alias(w) for w in words], F.lit(True).alias("opened"))
+
+    opened = F.transform(F.when(F.col("complete"), F.coalesce("_opens", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")), empty)
+    started = progress.join(small_or_shuffled(unlocks), "set_id", "left").select("user_id", F.explode(F.concat(F.array(own), opened)).alias("s")).select("user_id", "s.*")
+    shown = users.select("user_id", F.explode(F.lit(always).cast("array<string>")).alias("_set")).select("user_id", empty(F.col("_set")).alias("s")).select("user_id", "s.*")
+    merged = started.unionByName(shown).groupBy("user_id", "set_id").agg(
+        F.max("filled").alias("filled"), *[F.bit_or(w).alias(w) for w in words], F.bool_or("opened").alias("opened"))
     return merged.join(small_or_shuffled(sets), "set_id").where(
         F.col("opened") | (F.col("unlock").isNull() & (F.col("filled") > 0))
-    ).select("user_id", "set_id", "filled", "total", (F.col("filled") == F.col("total")).alias("complete"))
+    ).select("user_id", "set_id", "filled", "total", (F.col("filled") == F.col("total")).alias("complete"), *words)
 
 
-def gap_guide(visible: DataFrame, filled: DataFrame, slots: DataFrame) -> DataFrame:
-    """Empty slots of the sets a person sees, with where to find something that fits."""
+def gap_guide(visible: DataFrame, slots: DataFrame) -> DataFrame:
+    """Empty slots of the sets a person sees, with where to find something that fits: the guide's rows whose bit is not set."""
     guide = slots.select("set_id", "position", "slot", "difficulty", "guide.text", "guide.price", "guide.tip")
-    return visible.where("not complete").select("user_id", "set_id").join(small_or_shuffled(guide), "set_id").join(
-        filled.select("user_id", "set_id", "position"), ["user_id", "set_id", "position"], "left_anti")
+    words = _words(visible)
+    bits = F.element_at(F.array(*words), (F.floor(F.col("position") / WORD) + 1).cast("int"))
+    return visible.where("not complete").select("user_id", "set_id", *words).join(small_or_shuffled(guide), "set_id").where(
+        bits.bitwiseAND(F.expr(f"shiftleft(1L, cast(position % {WORD} as int))")) == 0).drop(*words)
 
 
 def leftovers(facts: DataFrame, fills: DataFrame) -> DataFrame:

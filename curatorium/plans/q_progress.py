@@ -16,8 +16,8 @@ BASICS = ["ribbon", "star", "stamp"]
 
 
 class _Album:
-    """The frames most progress queries share, built when first asked for. With `keep`, those that a query uses several times are
-    stored, so the big tables are read once."""
+    """The frames most progress queries share, built when first asked for. With `keep`, the facts are stored, for queries that use
+    them several times; so the big tables are joined once. Nothing else is stored."""
 
     def __init__(self, spark, sf_dir, keep=False):
         self.spark, self.d = spark, Data(spark, sf_dir)
@@ -33,7 +33,7 @@ class _Album:
 
     @cached_property
     def edge(self):
-        return self.store(self.d.edge, "edges")
+        return self.d.edge
 
     @cached_property
     def slots(self):
@@ -45,7 +45,7 @@ class _Album:
 
     @cached_property
     def filled(self):
-        return self.store(progress.filled_slots(self.facts, self.fills), "filled")
+        return progress.filled_sets(self.facts, self.fills, self.slots)
 
     @cached_property
     def progress(self):
@@ -53,7 +53,7 @@ class _Album:
 
     @cached_property
     def visible(self):
-        return self.store(progress.visible_sets(self.progress, self.d.users, self.slots), "visible")
+        return progress.visible_sets(self.progress, self.d.users, self.slots)
 
     @cached_property
     def shared(self):
@@ -85,16 +85,16 @@ def slot_fill(spark, sf_dir):
 
 
 def set_progress(spark, sf_dir):
-    return _Album(spark, sf_dir).progress
+    return _Album(spark, sf_dir).progress.select("user_id", "set_id", "filled", "total", "complete")
 
 
 def set_visible(spark, sf_dir):
-    return _Album(spark, sf_dir).visible
+    return _Album(spark, sf_dir).visible.select("user_id", "set_id", "filled", "total", "complete")
 
 
 def gap_guide(spark, sf_dir):
-    a = _Album(spark, sf_dir, keep=True)
-    return _long(progress.gap_guide(a.visible, a.filled, a.slots), "position", "difficulty")
+    a = _Album(spark, sf_dir)
+    return _long(progress.gap_guide(a.visible, a.slots), "position", "difficulty")
 
 
 def leftovers(spark, sf_dir):
@@ -123,7 +123,7 @@ def due_rewards(spark, sf_dir):
 
 
 def earned_badges(spark, sf_dir):
-    a = _Album(spark, sf_dir, keep=True)
+    a = _Album(spark, sf_dir, keep=True)  # facts for sets, counts and places
     return progress.earned_badges(a.d.users, a.facts, a.items, a.visible, a.opened, a.rewards, BASICS)
 
 
@@ -290,6 +290,7 @@ _ICON_ROWS = ", ".join("('{}', '{}', '(?i){}', {})".format(
 
 CHECKS = {
     "slot_fill": oracle(f"with {_FILL} select item_id, set_id, cast(position as bigint) as position from fill", "item", "fact", "users"),
+    "catalogue_stored": oracle(f"with {_FILL} select set_id, cast(position as bigint) as position, count(*) as items from fill group by all", "item", "fact", "users"),
     "set_progress": oracle(f"with {_FILL} select user_id, set_id, filled, total, complete from prog", "item", "fact", "users"),
     "set_visible": oracle(f"with {_FILL} select user_id, set_id, filled, total, complete from vis", "item", "fact", "users"),
     "gap_guide": oracle(f"""with {_FILL} select v.user_id, v.set_id, cast(s.position as bigint) as position, s.slot, cast(s.difficulty as bigint) as difficulty, guide as text, price, tip

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curatorium.functions.text import blank_to_null
 from curatorium.operators import facts as fact_ops, kpi, ranking
 from curatorium.plans.bindings import AS_OF, Data, oracle
+from curatorium.sources.sinks import stored
 
 
 def join_inner(spark, sf_dir):
@@ -58,6 +59,15 @@ def active_approx(spark, sf_dir):
     return both.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.06 * F.col("users")).alias("close"))
 
 
+def active_sketched(spark, sf_dir):
+    """Trailing windows of 7 and 30 days from a stored table of daily sketches, with the exact numbers beside them."""
+    sketches = stored(kpi.daily_sketches(Data(spark, sf_dir).attempt), "daily-sketches")
+    about = kpi.active_from_sketches(sketches).withColumn("day", F.col("day").cast("string"))
+    both = rolling_active(spark, sf_dir).join(about, "day")
+    close = {f"close{w}": F.abs(F.col(f"about{w}") - F.col(f"active{w}")) <= 0.08 * F.col(f"active{w}") + 1 for w in kpi.ACTIVE_WINDOWS}
+    return both.select("day", "active7", "active30", *[c.alias(n) for n, c in close.items()])
+
+
 def tier_map(spark, sf_dir):
     return kpi.tier_map(Data(spark, sf_dir).fact, ["user_id"]).select("user_id", F.to_json("tiers").alias("tiers"))
 
@@ -135,10 +145,14 @@ def neighbours(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    join_inner, join_left, owned_items, unowned_items, daily_spine, count_by, kpi_row, active_approx, tier_map, cost_month,
+    join_inner, join_left, owned_items, unowned_items, daily_spine, count_by, kpi_row, active_approx, active_sketched, tier_map, cost_month,
     nested_album, names_per_tier, host_count, country_heat, rolling_active, compact_ranks, stack_top, latest_value, milestones,
     newest_items, batch_pages, neighbours)}
 
+_ROLLING = oracle("""with d as (select d::date as day from (select min(ts)::date as lo, max(ts)::date as hi from attempt), generate_series(lo, hi, interval 1 day) g(d)), ud as (select distinct user_id, ts::date as day from attempt)
+      select cast(d.day as varchar) as day, count(distinct case when ud.day > d.day - 7 then user_id end) as active7, count(distinct user_id) as active30
+      from d left join ud on ud.day <= d.day and ud.day > d.day - 30 group by 1""", "attempt")
+
 CHECKS = {
     "join_inner": oracle("select fact_id, name, country, tier from fact join item using (item_id)", "item", "fact"),
     "join_left": oracle("""select conv_id, turn, coalesce(nullif(trim(display_name), ''), split_part(mail, '@', 1)) as who
@@ -180,9 +194,8 @@ CHECKS = {
     "country_heat": oracle("""with c as (select country, count(*) as n from fact join item using (item_id) group by 1)
       select country, n, round(0.6::double + 0.4::double * least(1.0::double, n / greatest(4, (select max(n) from c))), 6) as opacity from c""", "item", "fact"),
     "active_approx": oracle("select event_type, count(distinct user_id) as users, true as close from attempt group by 1", "attempt"),
-    "rolling_active": oracle("""with d as (select d::date as day from (select min(ts)::date as lo, max(ts)::date as hi from attempt), generate_series(lo, hi, interval 1 day) g(d)), ud as (select distinct user_id, ts::date as day from attempt)
-      select cast(d.day as varchar) as day, count(distinct case when ud.day > d.day - 7 then user_id end) as active7, count(distinct user_id) as active30
-      from d left join ud on ud.day <= d.day and ud.day > d.day - 30 group by 1""", "attempt"),
+    "active_sketched": f"select *, true as close7, true as close30 from ({_ROLLING}) q",
+    "rolling_active": _ROLLING,
     "compact_ranks": oracle("""select fact_id, case when r <= 10 then r end as new_rank from (select fact_id, row_number() over (partition by user_id order by fav_rank, fact_id) as r
       from fact where fav_rank is not null)""", "fact"),
     "stack_top": oracle("""select user_id, country, fact_id as top_fact, stack_size from (select *, count(*) over (partition by user_id, country) as stack_size,

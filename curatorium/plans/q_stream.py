@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curatorium.plans.bindings import Data
 from curatorium.plans import q_ledger, q_text
-from curatorium.sources.sinks import read_upserted, shared_folder, upsert_batch
+from curatorium.sources.sinks import Upserts, shared_folder
 from curatorium.streaming import ledger, queries
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -76,18 +76,20 @@ def stream_caps(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
-    """The last event per person and item, upserted from four micro-batches whose rows overlap in time."""
+    """The last event per person and item, upserted from micro-batches whose rows overlap in time and compacted half way."""
     cols = ["user_id", "item_id", "event_type", "ts", "event_id"]
-    folder = shared_folder(spark, "stream-upsert")
-    for part in range(4):
-        Data(spark, sf_dir).attempt.where(F.col("event_id") % 4 == part).select(*cols).write.parquet(f"{folder}/in/part={part}")
-    schema = Data(spark, sf_dir).attempt.select(*cols).schema
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = stream.writeStream.foreachBatch(upsert_batch(f"{folder}/out")).option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return read_upserted(spark, f"{folder}/out", schema, ["user_id", "item_id"], ["ts", "event_id"]).select(
-        "user_id", "item_id", "event_type", "event_id")
+    folder, rows = shared_folder(spark, "stream-upsert"), Data(spark, sf_dir).attempt.select(*cols)
+    rows.withColumn("part", F.col("event_id") % 4).write.partitionBy("part").parquet(f"{folder}/in")
+    table = Upserts(spark, f"{folder}/out", rows.schema, ["user_id", "item_id"], ["ts", "event_id"])
+
+    def save(batch, number):
+        table.write(batch, number)
+        if number % 3 == 2:
+            table.compact()
+
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("user_id", "item_id", "event_type", "event_id")
 
 
 QUERIES = {f.__name__: f for f in (stream_daily, stream_late, stream_active, stream_confirm, stream_admission, stream_caps, stream_upsert)}

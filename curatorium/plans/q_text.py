@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from curatorium.functions import chance, dates, money, signals, text
-from curatorium.operators import facts as fact_ops, matching, validate
+from curatorium.operators import facts as fact_ops, matching, progress, validate
 from curatorium.plans.bindings import AS_OF_YEAR, Data, oracle
 from curatorium.sources import catalogue, documents, objects, payload, sinks
 
@@ -162,6 +164,18 @@ def style_elements(spark, sf_dir):
                               F.max("position").cast("long").alias("last_position"))
 
 
+def merge_signals_open(spark, sf_dir):
+    """The same merge on documents whose fields nobody has fixed; `shelf`, `blend` and `seen` are unknown to the library."""
+    k = F.col("item_id")
+    i = Data(spark, sf_dir).item
+    rough = F.to_json(F.struct("nl_shops", "critic_max", "rarity_nl", (k % 7).alias("shelf"), F.struct((k % 3).alias("share")).alias("blend")))
+    checked = F.when(k % 5 != 0, F.to_json(F.struct(
+        F.when(k % 3 == 0, k % 12).alias("nl_shops"), F.when(k % 2 == 0, k % 11).alias("shelf"), (k % 4 == 0).alias("seen"))))
+    merged = i.select("item_id", signals.merge_open(F.parse_json(rough), F.parse_json(checked)).alias("m"))
+    read = {"nl_shops": "bigint", "critic_max": "bigint", "rarity_nl": "string", "shelf": "bigint", "blend.share": "bigint", "seen": "boolean"}
+    return merged.select("item_id", *[F.try_variant_get("m", f"$.{n}", t).alias(n.replace(".", "_")) for n, t in read.items()])
+
+
 def merge_signals(spark, sf_dir):
     names = ["price_eur_low", "price_eur_high", "nl_shops", "critic_max", "rarity_nl"]
     i = Data(spark, sf_dir).item
@@ -205,6 +219,20 @@ def ingest_payload(spark, sf_dir):
     )
 
 
+def catalogue_stored(spark, sf_dir):
+    """The rule catalogue as a file in storage, read with its own schema, and what each slot's rule asks for."""
+    folder = sinks.shared_folder(spark, "catalogue")
+    spark.createDataFrame([(json.dumps(catalogue.packaged("sets"), ensure_ascii=False),)], "value string").coalesce(1).write.text(folder)
+    fills = progress.slot_fill(_catalogue_items(spark, sf_dir), catalogue.slots(catalogue.read_sets(spark, folder)))
+    return fills.groupBy("set_id", F.col("position").cast("long").alias("position")).agg(F.count(F.lit(1)).alias("items"))
+
+
+def _catalogue_items(spark, sf_dir):
+    return Data(spark, sf_dir).item.select(
+        "item_id", "name", "maker", "region", "country", "appellation", "grape", "style", F.nullif("color", F.lit("")).alias("color"),
+        F.array("tag").alias("tags"))
+
+
 def catalogue_slots(spark, sf_dir):
     """Slots of the rule catalogue with the number of items from the set's own country."""
     d = Data(spark, sf_dir)
@@ -335,7 +363,7 @@ def pattern_override(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     norm_name, natural_key, stable_bucket, slug, year_extract, price_band, price_text, display_name, text_cap, local_day,
-    season_flag, blend_hex, squash_has, clean_elements, style_elements, merge_signals, ingest_payload, catalogue_slots,
+    season_flag, blend_hex, squash_has, clean_elements, style_elements, merge_signals, merge_signals_open, ingest_payload, catalogue_slots, catalogue_stored,
     usage_append, upsert_latest, upsert_counter, insert_if_absent, replace_or_delete, newest_object, move_plan, validate_rows,
     gate_status, entity_regex, pattern_override)}
 QUERIES["search_items"] = _search("Anvil")
@@ -445,6 +473,9 @@ CHECKS = {
       cast(case when item_id % 4 = 0 then item_id % 90 + 5 else price_eur_high end as double) as price_eur_high,
       cast(case when item_id % 3 = 0 then item_id % 12 else nl_shops end as bigint) as nl_shops, cast(critic_max as bigint) as critic_max,
       case when item_id % 6 = 0 then 'gewoon' else rarity_nl end as rarity_nl from item""", "item"),
+    "merge_signals_open": oracle("""select item_id, cast(case when item_id % 5 <> 0 and item_id % 3 = 0 then item_id % 12 else nl_shops end as bigint) as nl_shops,
+      cast(critic_max as bigint) as critic_max, rarity_nl, case when item_id % 5 <> 0 and item_id % 2 = 0 then item_id % 11 else item_id % 7 end as shelf,
+      item_id % 3 as blend_share, case when item_id % 5 <> 0 then item_id % 4 = 0 end as seen from item""", "item"),
     "ingest_payload": oracle("""with n as (select *, list_aggregate(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') as cap,
         upper(country[1]) || lower(country[2:]) as c1 from item)
       select item_id, case when item_id % 11 = 0 then '' else lower(trim(maker)) end || '|' || name as item_key, cap as name,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # ---- fixed values: file names ----
 LABEL_SUFFIX = ".label.jpg"
@@ -12,6 +12,16 @@ CARD_SUFFIX = ".jpg"
 _PATH = r"^([^/]+)/([^/.]+)(\.label)?\.jpg$"
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, created_at, updated_at, size) of all files below a folder, from what the file source knows about them; their contents
+    are not read. Paths are relative to the folder; stores keep one time only, the last change. Files of no bytes are not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("_metadata.*")
+    root = folder.split(":", 1)[-1].rstrip("/") + "/"
+    changed = F.col("file_modification_time")
+    return files.select(
+        F.substring_index(F.col("file_path"), root, -1).alias("path"), changed.alias("created_at"), changed.alias("updated_at"), F.col("file_size").alias("size"))
+
+
 def parse_listing(listing: DataFrame) -> DataFrame:
     """Owner, item and kind from the path; other files are ignored."""
     return (

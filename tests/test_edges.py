@@ -84,16 +84,79 @@ def test_upsert_groups_only_the_keys_of_the_delta(spark):
     assert got == {i: "old" for i in range(50)} | {3: "newer", 99: "fresh"}
 
 
-def test_upsert_batches_build_on_each_other_and_may_be_replayed(spark, tmp_path):
-    folder, schema = f"file://{tmp_path}/deltas", "k long, v string, t int"
-    write = sinks.upsert_batch(folder)
-    batches = [[(1, "a", 1), (2, "a", 1)], [(2, "b", 2)], [(3, "c", 3), (1, "early", 0)]]
-    for i in (0, 1, 1, 2, 0):
-        write(spark.createDataFrame(batches[i], schema), i)
-    frame = spark.createDataFrame([], schema)
-    got = {r["k"]: r["v"] for r in sinks.read_upserted(spark, folder, frame.schema, ["k"], ["t"]).collect()}
-    assert got == {1: "a", 2: "b", 3: "c"}
-
+def test_upsert_batches_are_compacted_bucket_by_bucket_and_may_be_replayed(spark, tmp_path):
+    import random
+
+    schema = spark.createDataFrame([], "k long, v long, t long").schema
+    table = sinks.Upserts(spark, str(tmp_path / "table"), schema, ["k"], ["t"], buckets=8)
+    assert table.read().collect() == [] and table.compact() is None
+    rnd, want, batches = random.Random(2), {}, []
+    for n in range(20):
+        rows = [(rnd.randrange(60), 100 * n + i, rnd.randrange(40)) for i in range(12)]
+        rows = list({r[0]: r for r in rows}.values())
+        batches.append(spark.createDataFrame(rows, schema))
+        table.write(batches[n], n)
+        for k, v, t in rows:
+            if k not in want or t >= want[k][1]:
+                want[k] = (v, t)
+        if n in (4, 19):
+            table.compact()
+
+    def rows_now():
+        return {r["k"]: (r["v"], r["t"]) for r in table.read().collect()}
+
+    assert rows_now() == want and table.manifest()["upto"] == 19
+    # a batch that is compacted already changes nothing, not even files
+    table.write(batches[3], 3)
+    assert rows_now() == want and table._young(19)[0] == []
+    one = spark.createDataFrame([(7, -1, 1000)], schema)
+    for _ in range(2):
+        table.write(one, 20)
+    want[7] = (-1, 1000)
+    young, touched = table._young(19)
+    assert rows_now() == want and len(young) == len(touched) == 1
+    plan = table.read()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+    before = table.manifest()
+    table.compact()
+    after = table.manifest()
+    moved = {b for b in after["buckets"] if after["buckets"][b] != before["buckets"].get(b)}
+    assert moved == {str(b) for b in touched} and rows_now() == want
+
+
+def test_listing_reads_no_contents(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from curatorium.sources import objects
+
+    root, when = tmp_path / "store", dt.datetime(2024, 5, 1, tzinfo=dt.timezone.utc).timestamp()
+    for i, name in enumerate(["7/a.jpg", "7/a.label.jpg", "8/a.label.jpg", "8/b.jpg", "9/b.jpg", "9/notes.txt"]):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * (i + 1))
+        os.utime(path, (when + i, when + i))
+    files = objects.listing(spark, str(root))
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
+    assert {r["path"]: r["size"] for r in files.collect()}["8/b.jpg"] == 4
+    assert {r["item"]: r["path"] for r in objects.newest_object(files).collect()} == {"a": "8/a.label.jpg", "b": "9/b.jpg"}
+    merges = spark.createDataFrame([("z", "a", False), ("b", "a", True)], "kept_id string, dropped_id string, moved boolean")
+    facts = spark.createDataFrame([(7, "z"), (8, "z")], "user_id long, item_id string")
+    (root / "8/z.label.jpg").write_bytes(b"x")
+    got = [tuple(r) for r in objects.move_plan(merges, facts, objects.listing(spark, str(root))).select("source", "target").collect()]
+    assert got == [("7/a.label.jpg", "7/z.label.jpg")]
+
+
+def test_unknown_signal_fields_are_merged(spark):
+    from curatorium.functions import signals
+
+    rows = [(1, '{"a": 1, "b": {"c": 2}, "n": null}', '{"b": 5, "new": [1, 2], "a": null}'), (2, None, '{"x": "y"}'), (3, '{"x": 1}', None),
+            (4, None, None), (5, "[1]", '{"x": 2}'), (6, "{}", "{}")]
+    df = spark.createDataFrame(rows, "i int, e string, v string")
+    got = {r["i"]: r["m"] for r in df.select("i", F.to_json(signals.merge_open(F.parse_json("e"), F.parse_json("v"))).alias("m")).collect()}
+    assert {i: None if m is None else json.loads(m) for i, m in got.items()} == {
+        1: {"a": 1, "b": 5, "new": [1, 2]}, 2: {"x": "y"}, 3: {"x": 1}, 4: None, 5: {"x": 2}, 6: {}}
 
 def test_override_by_maker_and_name(spark):
     items = spark.createDataFrame([(1, "Great Rod", "Brand#1"), (2, "Great Rod", "Other"), (3, "Hot rod", "brand#12"), (4, None, None)], "item_id long, name string, maker string")

@@ -26,7 +26,7 @@ def test_norm_name_of_long_filler_runs(spark):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("€6–12", (6, 12, False)), ("€25+", (25, None, True)), ("€15.000+", (15000, None, True)), ("€15–40 (37,5 cl)", (15, 40, False)), ("?", (None, None, False)),
+    ("€7–13", (7, 13, False)), ("€28+", (28, None, True)), ("€2.500+", (2500, None, True)), ("€18–36 (50 cl)", (18, 36, False)), ("?", (None, None, False)),
 ])
 def test_price_range(spark, raw, want):
     assert tuple(one(spark, text.price_range(F.lit(raw)))) == want
