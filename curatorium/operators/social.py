@@ -14,26 +14,31 @@ DEFAULT_COVER = "bordeaux"
 # ---- end of fixed values ----
 
 
+WORD = 63  # items to a long
+
+
 def shared_items(edges: DataFrame, facts: DataFrame, items: DataFrame) -> DataFrame:
     """(a, b, shared): different items both own, equal by natural key, or by id where a name is missing.
 
-    Only the smaller of the two collections is expanded per edge and probed in the other, so a
-    person with a huge album costs nothing per small friend.
+    A collection is a bitmap in rows of WORD neighbouring item numbers. Only the rows of the smaller one of an edge's two
+    collections are looked up in the other, and what both have is counted as bits; so a person with a huge album costs
+    nothing per small friend, and two of them cost their bitmaps.
     """
-    # equal keys share one number, so the big shuffles below carry two longs instead of text
+    # equal keys share one number, so the big shuffles below carry three longs instead of text
     keys = items.select("item_id", F.coalesce(
         natural_key(F.col("maker"), F.col("name")), F.concat(F.lit("#"), "item_id")).alias("key"))
-    keyed = keys.join(keys.groupBy("key").agg(F.min("item_id").alias("same")), "key").select("item_id", "same")
-    owned = facts.select("user_id", "item_id").join(keyed, "item_id").select("user_id", "same").distinct()
+    keyed = keys.join(keys.groupBy("key").agg(F.min("item_id").alias("same")), "key").select(
+        "item_id", F.floor(F.col("same") / WORD).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(same, {WORD}) as int))").alias("bit"))
+    owned = facts.select("user_id", "item_id").join(keyed, "item_id").groupBy("user_id", "word").agg(F.bit_or("bit").alias("bits"))
     sizes = owned.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
     sized = (
         edges.select("a", "b").join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
         .select("a", "b", F.when(F.col("size_a") <= F.col("size_b"), F.col("a")).otherwise(F.col("b")).alias("small"),
                 F.when(F.col("size_a") <= F.col("size_b"), F.col("b")).otherwise(F.col("a")).alias("large"))
     )
-    probes = sized.join(owned.select(F.col("user_id").alias("small"), "same"), "small")
-    both = probes.join(owned.select(F.col("user_id").alias("large"), "same"), ["large", "same"], "left_semi")
-    counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    probes = sized.join(owned.toDF("small", "word", "_bits"), "small")
+    both = probes.join(owned.withColumnRenamed("user_id", "large"), ["large", "word"])
+    counts = both.groupBy("a", "b").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("_bits")))).cast("long").alias("shared"))
     return edges.select("a", "b").join(counts, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 

@@ -30,7 +30,7 @@ def test_groups_are_limited_before_the_shuffle(spark, name):
 def test_scoring_never_shuffles_and_prunes_columns(spark):
     text = plan(spark, "score_tier")
     assert "Exchange hashpartitioning" not in text
-    assert "ReadSchema: struct<p_partkey:bigint,p_type:string,p_size:int>" in text or "p_retailprice" not in text
+    assert "ReadSchema" in text and "p_retailprice" not in text and "p_name" not in text
 
 
 def test_filters_reach_the_scan(spark):

@@ -4,11 +4,9 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry
+from curatorium.plans.registry import CHECKS, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
-# beyond SQL; tests/llm holds them against brute force, here every document must come back
-PER_DOCUMENT = {"minhash_groups", "op1_simhash", "op2_quality", "op3_langid", "op4_bpe", "op9_minhash"}
 
 
 @pytest.fixture(scope="module")
@@ -18,22 +16,17 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = QUERIES[name](spark, SF_DIR)
-    if name == "pipeline":
-        assert df.where("round_trip").count() == df.count() > 0
-        return
-    if name not in CHECKS:
-        assert name in PER_DOCUMENT, "a query needs check SQL or a test of its own"
-        ids = df.select("doc_id")
-        docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id")
-        assert ids.count() == docs.count() and docs.exceptAll(ids).isEmpty()
-        return
-    _, problems = compare(df, con, CHECKS[name])
+    _, problems = compare(QUERIES[name](spark, SF_DIR), con, CHECKS[name])
     assert not problems
 
 
+def test_the_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_every_check_has_a_query():
-    assert set(CHECKS) <= set(QUERIES)
+    assert set(CHECKS) == set(QUERIES)
 
 
 def test_entry(spark):
