@@ -105,3 +105,15 @@ def test_first_broken_rule_wins(spark):
     assert got == ["invalid_cover", "invalid_pages", "invalid_name", None, None]
     good, bad = validate.split(df, rules)
     assert (good.count(), bad.count()) == (2, 3)
+
+
+def test_the_score_as_one_expression(spark):
+    from curatorium.operators import scoring
+    from curatorium.plans.bindings import Data
+
+    items = Data(spark, "/root/testdata/sf0.001").item
+    for rules in (scoring.CURRENT, scoring.V1, scoring.V4):
+        both = scoring.with_score(items, 2024, rules).withColumn(
+            "s", scoring.score_of(F.struct(*[F.col(c) for c in items.columns]), 2024, rules))
+        same = F.struct("tier", "reason", "score").eqNullSafe(F.struct("s.tier", "s.reason", "s.score"))
+        assert both.where(~same).isEmpty() and both.count() == items.count()
