@@ -44,7 +44,10 @@ def arriving(spark, log, folder, extra=()):
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")  # fewer state stores to open a micro-batch
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
