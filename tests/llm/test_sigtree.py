@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from curatorium.llm import sigtree
 
@@ -73,9 +72,8 @@ def test_like_every_pair(spark):
     assert found(spark, rows, 75) == plain(rows, 75)
 
 
-@pytest.mark.parametrize("cell", [4, 16])
-def test_a_large_family_is_cut_into_cells(spark, monkeypatch, cell):
-    monkeypatch.setattr(sigtree, "CELL", cell)
+def test_a_large_family_is_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "CELL", 8)
     draw, rows = corpus(2)
     base = [f"v{draw.randrange(3000)}" for _ in range(300)]
     rows += [(10_000 + i, " ".join(changed(draw, base, draw.choice([0, 1, 3, 4, 6, 9]))), "c", i) for i in range(70)]
