@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
 The rank file's path and the split pattern are parameters; each Python worker loads the file once. Texts are encoded whole: long
-ones are cut where the pattern can never match across, so ids equal those of one pass. Null is the empty text: no ids.
+ones are cut before white space, where the pattern of `public_tokenizers` can never match across, so ids equal those of one
+pass. Another pattern must have that property too, or LONG must be raised. Null is the empty text: no ids.
 """
 
 from __future__ import annotations
