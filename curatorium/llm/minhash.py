@@ -22,9 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from curatorium.llm import words
+from curatorium.llm import sigtree, words
 from curatorium.llm.components import components
-from curatorium.llm.store import keep, parts_for
+from curatorium.llm.sigtree import small_families
+from curatorium.llm.store import attach, keep, parts_for
 from curatorium.operators.bounded import small_or_shuffled
 
 SHINGLE, HASHES, SEED = 5, 128, 20_240_229
@@ -169,9 +170,8 @@ def _compared(docs: DataFrame) -> DataFrame:
 
 
 BANDS, ROWS = 25, 5  # a pair of likeness 0.8 misses all bands with a chance of 5 in 100,000
-CROWD, CELL = 64, 256
+CROWD = 64
 _HASHED = StructType([StructField("content", BinaryType()), StructField("signature", BinaryType())])
-_SET = StructType([StructField("content", BinaryType()), StructField("shingles", BinaryType())])
 
 
 def _shingle_sets(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -200,15 +200,6 @@ def _hashed(fold: bool):
     return hashed
 
 
-def _sets(fold: bool):
-    @F.pandas_udf(_SET)
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        rows = [(c, own.tobytes()) for c, own in _shingle_sets(_column(texts, fold))]
-        return pd.DataFrame(rows, columns=["content", "shingles"])
-
-    return sets
-
-
 def jaccard(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) and not len(y):
@@ -221,13 +212,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, fold: bool = False
     """(doc_id, class_id) for every row: class_id is the smallest doc_id reachable over links of Jaccard likeness `similarity` or
     more between the texts' shingle sets; null where the whole class has none. `fold` takes ASCII letters in lower case.
 
-    Texts of equal shingle sets are one node. Signature bands join nodes that may be alike; the likeness of each such pair is
-    verified on the sets themselves, which are made again for those nodes only. Bands that many different nodes share are
-    cut into cells of bounded size, which return a spanning forest of their verified links instead of all of them."""
+    Texts of equal shingle sets are one node. Signature bands join nodes that may be alike; likeness is verified on the sets
+    themselves, which are made again for those nodes only."""
     text = F.coalesce("text", F.lit(""))
     rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(fold)(text).alias("x")).select(
         "doc_id", "row_hash", "x.*"), "hashed-texts")
-    return rows.join(_named(docs, rows, similarity, fold), "content").select("doc_id", "class_id")
+    return attach(rows.select("doc_id", "content"), _named(docs, rows, similarity, fold), "content").select("doc_id", "class_id")
 
 
 def with_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -235,63 +225,77 @@ def with_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     made = _compared(docs)
     rows = made.select("doc_id", "row_hash", "content", F.col("fingerprint").alias("signature"))
     named = _named(docs, rows, similarity, False)
-    return made.join(named, "content").drop("content", "row_hash")
+    return attach(made, named, "content").drop("content", "row_hash")
 
 
 def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool) -> DataFrame:
-    """(content, class_id) for the contents of rows (doc_id, row_hash, content, signature) made of `docs`."""
-    text = F.coalesce("text", F.lit(""))
-    nodes = rows.groupBy("content").agg(F.min("signature").alias("signature"))
-    keys = F.array(*[F.substring("signature", 1 + ROWS * i, ROWS) for i in range(BANDS)])
-    shared = Window.partitionBy("band", "key")
-    banded = keep(nodes.select("content", F.posexplode(keys).alias("band", "key")).withColumn(
-        "many", F.count(F.lit(1)).over(shared)).where("many > 1"), "bands")
-    plain = banded.where(F.col("many") <= CROWD).select("band", "key", "content")
-    pairs = plain.withColumnRenamed("content", "a").join(plain.withColumnRenamed("content", "b"), ["band", "key"]).where(
-        "a < b").select("a", "b").distinct()
-    # the sets of the nodes that met another one, each from one of its rows
-    met = banded.select("content").distinct()
-    rows_of = rows.join(met, "content", "left_semi").groupBy("content").agg(F.min("row_hash").alias("_row")).select("_row").distinct()
-    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("_own"))
-    found = texts.join(small_or_shuffled(rows_of), F.col("_own") == F.col("_row"), "left_semi")
-    # copies meet before their text is hashed again
-    sets = found.groupBy("_own", F.xxhash64(F.lit("second"), "text").alias("_other")).agg(F.min("text").alias("text")).select(
-        _sets(fold)("text").alias("x")).select("x.*").dropDuplicates(["content"])
-    sets = keep(sets, "shingle-sets")
-
-    @F.pandas_udf(DoubleType())
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype=float)
-
-    one, other = (sets.select(F.col("content").alias(c), F.col("shingles").alias(c + "_set")) for c in ("a", "b"))
-    links = pairs.join(one, "a").join(other, "b").where(alike("a_set", "b_set") >= similarity).select("a", "b")
-
-    def forest(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates("content")
-        names, values, out = cell["content"].tolist(), cell["shingles"].tolist(), []
-        open_ = list(range(len(names)))
-        while open_:
-            front = [open_.pop(0)]
-            while front and open_:
-                at = front.pop()
-                near = [i for i in open_ if jaccard(values[at], values[i]) >= similarity]
-                out += [(names[at], names[i]) for i in near]
-                open_ = [i for i in open_ if i not in set(near)]
-                front += near
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    slices = F.ceil(F.col("many") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("content"), F.col("slices")).cast("int")
-    cells = (
-        banded.where(F.col("many") > CROWD).withColumn("slices", slices).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}))
-    crowded = cells.join(sets, "content").groupBy("band", "key", "i", "j").applyInPandas(forest, "a binary, b binary")
-    groups = components(keep(links.union(crowded), "minhash-links")).select(F.col("node").alias("content"), "component")
-    firsts = rows.groupBy("content").agg(F.min("doc_id").alias("_first")).join(groups, "content", "left").withColumn(
+    """(content, class_id, _n) for the contents of rows (doc_id, row_hash, content, signature) made of `docs`, _n being their rows.
+
+    Bands link nodes by 64-bit names, whose collisions only bring more sets together. Sets that bands connect, over any chain,
+    are a family; a family of up to CELL sets is solved in one task, and each of its texts moves there once. In larger
+    families only the pairs that share a band are verified, and bands of more than CROWD sets as families of their own."""
+    percent = round(100 * similarity)
+    nodes = keep(rows.groupBy("content").agg(
+        F.min("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("row"), F.count(F.lit(1)).alias("_n"),
+        F.min("doc_id").alias("_first")).withColumn("node", F.xxhash64("content")), "contents")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + ROWS * i, ROWS)) for i in range(BANDS)])
+    banded = nodes.select("node", F.explode(keys).alias("key"))
+    groups = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least")).where("many > 1")
+    shared = keep(banded.join(groups, "key"), "bands")
+
+    def families(edges: DataFrame, name: str) -> DataFrame:
+        found = components(keep(edges.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), name))
+        found = keep(found.select("node", F.col("component").alias("family")), name + "-found")
+        return found.join(found.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family")
+
+    def with_text(members: DataFrame) -> DataFrame:
+        """One text of every member's content, with the member's columns."""
+        chosen = keep(nodes.select("node", "content", F.col("row.doc_id").alias("_id"), F.col("row.row_hash").alias("_hash")).join(
+            members, "node"), "chosen-rows")
+        text = F.coalesce("text", F.lit(""))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_own"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+        return texts.join(small_or_shuffled(chosen), same).select("text", *[c for c in chosen.columns if c not in ("_id", "_hash")])
+
+    def read(table: pa.Table) -> list[np.ndarray]:
+        texts = table.column("text").combine_chunks().cast(pa.large_string())
+        return [own for _, own in _shingle_sets(pc.ascii_lower(texts) if fold else texts)]
+
+    everyone = keep(families(shared, "band-edges"), "families")
+    found = small_families(with_text(everyone.where(F.col("size") <= sigtree.CELL)), percent, read)
+    large = keep(shared.join(everyone.where(F.col("size") > sigtree.CELL).select("node"), "node", "left_semi"), "large-bands")
+    if not large.isEmpty():
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = read(pa.Table.from_batches([batch]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), batch.column("content"), pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())],
+                    names=["node", "content", "n_shingles", "shingles"])
+
+        bodies = with_text(large.select("node").distinct()).mapInArrow(
+            sets, "node long, content binary, n_shingles long, shingles binary").dropDuplicates(["content"])
+        bodies = keep(bodies, "shingle-sets")
+        crowds = bodies.join(families(large.where(F.col("many") > CROWD), "crowds").drop("size"), "node").drop("node")
+        weights = nodes.select("content", "_n")
+        plain = large.where(F.col("many") <= CROWD).select("key", "node")
+        pairs = plain.withColumnRenamed("node", "x").join(plain.withColumnRenamed("node", "y"), "key").where("x < y").select("x", "y").distinct()
+        size = bodies.select("node", "n_shingles")
+        near = pairs.join(size.toDF("x", "x_size"), "x").join(size.toDF("y", "y_size"), "y").where(
+            100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")).select("x", "y")
+
+        @F.pandas_udf(DoubleType())
+        def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype=float)
+
+        one, other = (bodies.select(F.col("node").alias(n), F.col("content").alias(c), F.col("shingles").alias(c + "_set")) for n, c in (("x", "a"), ("y", "b")))
+        crowded = sigtree.large_families(crowds, weights, percent).where("content <> component")
+        edges = near.join(one, "x").join(other, "y").where(alike("a_set", "b_set") >= similarity).select("a", "b").union(crowded)
+        found = found.union(components(keep(edges, "minhash-links")))
+    groups = keep(found, "linked-sets")
+    firsts = nodes.select("content", "_first", "_n").join(groups, "content", "left").withColumn(
         "component", F.coalesce("component", "content"))
     smallest = firsts.groupBy("component").agg(F.min("_first").alias("class_id"))
-    return firsts.join(smallest, "component").select("content", "class_id")
+    return keep(firsts.join(smallest, "component").select("content", "class_id", "_n"), "classes")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

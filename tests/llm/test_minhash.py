@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from curatorium.llm import minhash, words
+from curatorium.llm import minhash, sigtree, words
 
 
 def shingles(text):
@@ -103,7 +103,7 @@ def classes(rows, least=0.8):
 @pytest.mark.parametrize("crowd", [64, 2])
 def test_groups_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(minhash, "CROWD", crowd)
-    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(sigtree, "CELL", 4)
     rows = [(i, prose(150, i)) for i in range(12)]
     for i in range(6):
         w = rows[i][1].split()
