@@ -203,4 +203,12 @@ def captures(records: DataFrame, payload: bool = True) -> DataFrame:
         out = out.join(side.withColumnRenamed("concurrent_to", "capture_id"), "capture_id", "left")
     found = out.select(F.col("capture_id").alias("_seen"), F.struct(
         F.col("capture_id").alias("record_id"), F.col("metadata.page_id").alias("page_id")).alias("refers_to")).where("_seen is not null")
-    return out.join(found, F.col("response.refers_to") == F.col("_seen"), "left").drop("_seen")
+    # responses that very many revisits refer to, 200 at most, are broadcast; and rows that refer to nothing (or to those) are
+    # dealt out by a name nobody else has instead of meeting under one missing key
+    many = main.where("refers_to is not null").groupBy("refers_to").agg(F.count(F.lit(1)).alias("_n"))
+    frequent = many.where(F.col("_n") * 200 > main.count()).select(F.col("refers_to").alias("_seen"))
+    hot = F.broadcast(keep(found.join(F.broadcast(frequent), "_seen"), "frequent-responses").toDF("_often", "_at_once"))
+    out = out.join(hot, F.col("response.refers_to") == F.col("_often"), "left")
+    own = F.when(F.col("_often").isNull(), F.col("response.refers_to"))
+    joined = out.withColumn("_key", F.coalesce(own, F.concat(F.lit("-"), "capture_id"))).join(found, F.col("_key") == F.col("_seen"), "left")
+    return joined.withColumn("refers_to", F.coalesce("_at_once", "refers_to")).drop("_often", "_at_once", "_key", "_seen")
