@@ -17,6 +17,7 @@ smaller vec_id; repeated ids are rows and queries of their own, and a query neve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from curatorium.llm.store import keep
 
-PIVOTS, GROUP_QUERIES, BLOCK = 64, 1024, 4096
+PIVOTS, MOST_PIVOTS, GROUP_QUERIES, BLOCK = 64, 1024, 1024, 4096
 
 
 def integers(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -60,10 +61,12 @@ def _distances(rows: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_ex
     return np.sqrt(np.maximum(square, 0))
 
 
-def _search(data: DataFrame, queries: DataFrame, dim: int, k: int, pivots: int, group_queries: int, block: int) -> DataFrame:
+def _search(data: DataFrame, queries: DataFrame, dim: int, k: int, pivots: int | None, group_queries: int, block: int) -> DataFrame:
     spark = data.sparkSession
     count, top = data.agg(F.count(F.lit(1)), F.max("norm2")).first()
-    # a bounded number of vectors; equal ones are one pivot
+    # as many pivots as the root of the number of vectors, so cells grow slower than the data; a bounded number in the end,
+    # since each query has a bound per pivot. Equal vectors are one pivot
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(count)))
     marks = np.unique(_stack([r["v"] for r in data.dropDuplicates(["v"]).orderBy(F.xxhash64("v")).limit(pivots).collect()]), axis=0)
     marks_norm = (marks.astype(np.float64) ** 2).sum(1)
     far = float(top)
@@ -162,7 +165,7 @@ def _groups(sizes: dict[int, int], apart: np.ndarray, most: int) -> dict[int, in
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, pivots: int = PIVOTS,
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, pivots: int | None = None,
           group_queries: int = GROUP_QUERIES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k best rows of `vectors`, both with vec_id and embedding."""
     data, asked = keep(integers(vectors, scale), "vectors"), keep(
