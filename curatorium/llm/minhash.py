@@ -170,7 +170,7 @@ def _compared(docs: DataFrame) -> DataFrame:
 
 
 BANDS, ROWS = 25, 5  # a pair of likeness 0.8 misses all bands with a chance of 5 in 100,000
-CROWD = 64
+CROWD, FEW_CELLS = 64, 64
 _HASHED = StructType([StructField("content", BinaryType()), StructField("signature", BinaryType())])
 
 
@@ -275,20 +275,26 @@ def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool) -> D
         bodies = with_text(large.select("node").distinct()).mapInArrow(
             sets, "node long, content binary, n_shingles long, shingles binary").dropDuplicates(["content"])
         bodies = keep(bodies, "shingle-sets")
-        crowds = bodies.join(families(large.where(F.col("many") > CROWD), "crowds").drop("size"), "node").drop("node")
+        # crowds of one family are taken together while that is cheap; else those that share crowded bands are families of their own
+        core = keep(large.where(F.col("many") > CROWD).select("node").distinct(), "crowded")
+        if core.count() <= FEW_CELLS * sigtree.CELL:
+            of = core.join(everyone.select("node", "family"), "node")
+        else:
+            of = families(large.where(F.col("many") > CROWD), "crowds").drop("size")
+        crowds = bodies.join(of, "node").drop("node")
         weights = nodes.select("content", "_n")
-        plain = large.where(F.col("many") <= CROWD).select("key", "node")
-        pairs = plain.withColumnRenamed("node", "x").join(plain.withColumnRenamed("node", "y"), "key").where("x < y").select("x", "y").distinct()
-        size = bodies.select("node", "n_shingles")
-        near = pairs.join(size.toDF("x", "x_size"), "x").join(size.toDF("y", "y_size"), "y").where(
-            100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")).select("x", "y")
+        plain = large.where(F.col("many") <= CROWD).select("key", "node").join(bodies.select("node", F.col("n_shingles").alias("n")), "node")
+        near = plain.toDF("x", "key", "x_size").join(plain.toDF("y", "key", "y_size"), "key").where(
+            (F.col("x") < F.col("y")) & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))).select("x", "y").distinct()
 
         @F.pandas_udf(DoubleType())
         def alike(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype=float)
 
         one, other = (bodies.select(F.col("node").alias(n), F.col("content").alias(c), F.col("shingles").alias(c + "_set")) for n, c in (("x", "a"), ("y", "b")))
-        crowded = sigtree.large_families(crowds, weights, percent).where("content <> component")
+        inner, met = sigtree.large_families(crowds, weights, percent)
+        crowded = inner.where("content <> component").toDF("a", "b")
+        crowded = crowded if met is None else crowded.union(met)
         edges = near.join(one, "x").join(other, "y").where(alike("a_set", "b_set") >= similarity).select("a", "b").union(crowded)
         found = found.union(components(keep(edges, "minhash-links")))
     groups = keep(found, "linked-sets")

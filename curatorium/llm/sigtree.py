@@ -299,8 +299,9 @@ def _nodes(members: DataFrame, cell: str) -> DataFrame:
         F.min("component").alias("c1"), F.max("component").alias("c2"))
 
 
-def large_families(members: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
-    """(content, component) in families of more than CELL sets."""
+def large_families(members: DataFrame, weights: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(content, component) in families of more than CELL sets, as far as cells and pivots tell; and the links (a, b) between such
+    components, if there can be any."""
     placed = position(members, ["family"], ["n_shingles", "content"], "_at")
     placed = keep(placed.withColumn("cell", F.floor((F.col("_at") - 1) / CELL)).drop("_at"), "cells")
     pivots = members.select("content", "family").join(weights, "content").groupBy("family").agg(
@@ -331,7 +332,7 @@ def large_families(members: DataFrame, weights: DataFrame, percent: int) -> Data
         F.max_by("component", F.struct("_n", "component")).alias("main"))
     loose = named.join(main, "family").where("component <> main").drop("main", "cell")
     if loose.isEmpty():
-        return inner
+        return inner, None
     loose = position(loose, ["family"], ["component", "n_shingles", "content"], "_at")
     loose = keep(loose.withColumn("own", F.floor((F.col("_at") - 1) / CELL)).drop("_at"), "loose-sets")
     one, two = _nodes(loose, "own"), _nodes(named, "cell")
@@ -353,7 +354,13 @@ def large_families(members: DataFrame, weights: DataFrame, percent: int) -> Data
         return pa.table({c: pa.array([known[p[n]] for p in found], pa.binary()) for n, c in enumerate("ab")})
 
     # links between components, not between sets
-    met = keep(sides.groupBy("family", "own", "cell").applyInArrow(across, "a binary, b binary").distinct(), "component-links")
+    return inner, keep(sides.groupBy("family", "own", "cell").applyInArrow(across, "a binary, b binary").distinct(), "component-links")
+
+
+def joined_families(inner: DataFrame, met: DataFrame | None) -> DataFrame:
+    """(content, component) of both parts of `large_families`."""
+    if met is None:
+        return inner
     merged = components(met).select(F.col("node").alias("component"), F.col("component").alias("_whole"))
     return inner.join(merged, "component", "left").select("content", F.coalesce("_whole", "component").alias("component"))
 
@@ -381,7 +388,7 @@ def near_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked = small_families(members.where(F.col("many") <= CELL), percent)
     large = members.where(F.col("many") > CELL).drop("many")
     if not large.isEmpty():
-        linked = linked.union(large_families(large, nodes.select("content", "_n"), percent))
+        linked = linked.union(joined_families(*large_families(large, nodes.select("content", "_n"), percent)))
     named = nodes.join(linked, "content", "left").select("content", "first", "_n", F.coalesce("component", "content").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     names = keep(named.join(least, "component").select("content", "component_id", "_n"), "set-names")
