@@ -27,3 +27,9 @@ def small_or_shuffled(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int =
     on it then shuffles. Counting stops at the bound."""
     n, total = df.limit(rows + 1).select(_bytes(df).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
     return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the input, for an equi join that shuffles. The planner goes by the size of compressed files and
+    would send tables of a million rows through the driver, once a join."""
+    return df.hint("merge")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curatorium.functions.text import natural_key, norm_name
 from curatorium.functions.tiers import tier_name, tier_rank
+from curatorium.operators.bounded import shuffled
 from curatorium.operators.components import components
 from curatorium.session import cut_lineage
 
@@ -45,13 +46,13 @@ def leaders(items: DataFrame) -> DataFrame:
     firsts = colors.groupBy(*block).agg(
         F.min("first.created_at").alias("_t"), F.min(F.struct("first", "norm_color")).alias("head")
     ).select(*block, F.col("head.first").alias("block_first"), F.col("head.norm_color").alias("block_color"))
-    target = colors.join(firsts, block).select(
+    target = colors.join(shuffled(firsts), block).select(
         *block, "norm_color",
         F.when((F.col("block_color") == "") | (F.col("norm_color") == ""), F.col("block_first.item_id"))
         .otherwise(F.col("first.item_id")).alias("leader_id"),
     )
     # null never equals null in a join, and none of the keys can be null here
-    return rows.join(target, [*block, "norm_color"]).select("item_id", "leader_id")
+    return rows.join(shuffled(target), [*block, "norm_color"]).select("item_id", "leader_id")
 
 
 def duplicate_pairs(items: DataFrame) -> DataFrame:
@@ -103,11 +104,11 @@ def merge_survivors(items: DataFrame) -> DataFrame:
     Groups whose keys nobody else ever holds or claims are merged in one step: "first non-empty" and "longest, earliest
     on ties" are grouped minima. The others are replayed merge by merge, together with those they compete with.
     """
-    pairs = leaders(items)
+    pairs = cut_lineage(leaders(items))
     if "signals" not in items.columns:
         items = items.withColumn("signals", F.lit(None).cast("string"))
     contested = cut_lineage(_contested(items, pairs))
-    free = pairs.join(contested.select("leader_id").distinct(), "leader_id", "left_anti")
+    free = pairs.join(shuffled(contested.select("leader_id").distinct()), "leader_id", "left_anti")
     return _merged_at_once(items, free).unionByName(_replayed(items, contested))
 
 
@@ -119,28 +120,28 @@ def _contested(items: DataFrame, pairs: DataFrame) -> DataFrame:
     at a known moment, that of its own merge (`until`), or stays (`never`)."""
     keyed = items.select("item_id", "name", "maker", "created_at", natural_key(F.col("maker"), F.col("name")).alias("held"))
     sizes = pairs.groupBy("leader_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("leader_id")
-    own = keyed.join(pairs.join(sizes, "leader_id"), "item_id")
+    own = keyed.join(shuffled(pairs.join(shuffled(sizes), "leader_id")), "item_id")
     heads = own.where("item_id = leader_id").select("leader_id", F.col("maker").alias("_maker"), F.col("held").alias("_head"))
-    rows = own.join(heads, "leader_id").withColumn("claim", natural_key(F.col("_maker"), F.col("name")))
+    rows = own.join(shuffled(heads), "leader_id").withColumn("claim", natural_key(F.col("_maker"), F.col("name")))
     holders = keyed.groupBy(F.col("held").alias("claim")).agg(F.count(F.lit(1)).alias("holders"))
     claims = rows.groupBy("claim").agg(F.min("leader_id").alias("least"), F.max("leader_id").alias("most"))
     theirs = F.when(F.col("_head") == F.col("claim"), 1).otherwise(0) + F.when(
         (F.col("held") == F.col("claim")) & (F.col("item_id") != F.col("leader_id")), 1).otherwise(0)
-    judged = rows.join(claims, "claim").join(holders, "claim", "left").withColumn(
+    judged = rows.join(shuffled(claims), "claim").join(shuffled(holders), "claim", "left").withColumn(
         "clash", (F.coalesce("holders", F.lit(0)) > theirs) | (F.col("least") != F.col("most")))
     wild = judged.groupBy("leader_id").agg(F.bool_or("clash").alias("clash")).where("clash").select("leader_id")
-    judged = cut_lineage(judged.join(wild, "leader_id").select("leader_id", "item_id", "claim", "least"))
+    judged = cut_lineage(judged.join(shuffled(wild), "leader_id").select("leader_id", "item_id", "claim", "least"))
     joined = components(judged.select(F.col("leader_id").alias("a"), F.col("least").alias("b")))
-    named = judged.drop("least").join(joined.withColumnRenamed("node", "leader_id"), "leader_id", "left").withColumn(
+    named = judged.drop("least").join(shuffled(joined.withColumnRenamed("node", "leader_id")), "leader_id", "left").withColumn(
         "component", F.coalesce("component", "leader_id"))
     dropped = pairs.where("item_id <> leader_id").select("item_id", F.lit(True).alias("goes"))
     of = named.select("claim", "component").distinct()
     inside = named.select("item_id", F.col("component").alias("_own"))
-    others = keyed.withColumnRenamed("held", "claim").join(of, "claim").join(inside, "item_id", "left").where(
-        ~F.col("_own").eqNullSafe(F.col("component"))).join(dropped, "item_id", "left")
+    others = keyed.withColumnRenamed("held", "claim").join(shuffled(of), "claim").join(shuffled(inside), "item_id", "left").where(
+        ~F.col("_own").eqNullSafe(F.col("component"))).join(shuffled(dropped), "item_id", "left")
     outside = others.groupBy("claim").agg(
         F.max(F.when(F.col("goes"), F.struct("created_at", "item_id"))).alias("until"), F.bool_or(F.col("goes").isNull()).alias("never"))
-    return named.join(outside, "claim", "left").withColumn("never", F.coalesce("never", F.lit(False)))
+    return named.join(shuffled(outside), "claim", "left").withColumn("never", F.coalesce("never", F.lit(False)))
 
 
 _FIELDS = ("tier", "tier_reason", "first_user", "year", "signals")
@@ -184,7 +185,7 @@ def _replay(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _replayed(items: DataFrame, contested: DataFrame) -> DataFrame:
     columns = ["item_id", "name", "created_at", *_FIELDS, "is_icon", "label_style", "label_version", "label_locked"]
-    rows = items.select(*columns, natural_key(F.col("maker"), F.col("name")).alias("held")).join(contested, "item_id").select(
+    rows = items.select(*columns, natural_key(F.col("maker"), F.col("name")).alias("held")).join(shuffled(contested), "item_id").select(
         *columns, "held", "leader_id", "claim", "component", F.col("until.created_at").alias("until_at"), F.col("until.item_id").alias("until_id"), "never")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join([*[f"{c} {kinds[c]}" for c in ("item_id", "name", *_FIELDS)], "is_icon boolean", f"label_style {kinds['label_style']}",
@@ -197,7 +198,7 @@ def _merged_at_once(items: DataFrame, pairs: DataFrame) -> DataFrame:
     own = F.col("item_id") == F.col("leader_id")
     # the leader first, then the dropped by age
     turn = F.struct((~own).alias("later"), "created_at", "item_id")
-    rows = items.join(pairs, "item_id").withColumn("turn", turn)
+    rows = items.join(shuffled(pairs), "item_id").withColumn("turn", turn)
 
     def first_known(name: str):
         return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("turn"))).alias(name)

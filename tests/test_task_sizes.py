@@ -18,3 +18,16 @@ def test_no_sketch_for_every_person(spark, tmp_path):
     assert {tuple(r) for r in out.collect()} == {("a", 2, True), (None, 1, True), ("b", 0, True)}
     sketched = re.findall(r"Aggregate\(keys=\[([^\]]*)\], functions=\[[^\]]*approx_count_distinct", out._jdf.queryExecution().executedPlan().toString())
     assert sketched and not any("user_id" in keys for keys in sketched)
+
+
+def test_merges_send_no_table_through_the_driver(spark, tmp_path):
+    from curatorium.operators import resolve
+
+    rows = [(i, f"wine {i // 3}", "maker", ["", "red", None][i % 3], DAY, False, None, None, None, 1990, None, 1, False) for i in range(30)]
+    spark.createDataFrame(
+        rows, "item_id long, name string, maker string, color string, created_at timestamp_ntz, is_icon boolean, tier string, tier_reason string, "
+        "first_user long, year int, label_style string, label_version int, label_locked boolean").write.parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    for out, want in ((resolve.leaders(items), 30), (resolve.merge_survivors(items), 10)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == want
