@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF_YEAR = 2024
+ROWS_PER_TASK, MANY_TASKS = 500_000, 16
 AS_OF = "2024-01-31 00:00:00"   # the events end on 30 January 2024
 
 
@@ -165,8 +166,16 @@ class Data:
     def role(self, name: str) -> DataFrame:
         text = ROLES[name](SPARK)
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
+        if "lineitem" in used and (parts := self.tasks("orders", "lineitem")):
+            used |= {t: used[t].repartition(parts, k) for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))}
         return self.spark.sql(text, **used)
 
+    def tasks(self, *tables: str) -> int | None:
+        """As many tasks as the tables' rows need. The planner may give each core one task, whatever that holds; None where a
+        task or two per core hold everything."""
+        parts = sum(self.table(t).count() for t in tables) // ROWS_PER_TASK
+        return parts if parts >= MANY_TASKS else None
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:
             return self.role(name)

@@ -129,7 +129,8 @@ def latest_value(spark, sf_dir):
 
 
 def milestones(spark, sf_dir):
-    return ranking.milestones(Data(spark, sf_dir).fact).select(
+    d = Data(spark, sf_dir)
+    return ranking.milestones(d.fact, d.tasks("orders", "lineitem")).select(
         "user_id", F.col("n").cast("long").alias("n"), "item_id", F.date_format("created_at", "yyyy-MM-dd").alias("reached"))
 
 

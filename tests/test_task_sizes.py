@@ -31,3 +31,18 @@ def test_merges_send_no_table_through_the_driver(spark, tmp_path):
     for out, want in ((resolve.leaders(items), 30), (resolve.merge_survivors(items), 10)):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
         assert out.count() == want
+
+
+def test_tasks_follow_the_rows_of_a_join(spark, tmp_path, monkeypatch):
+    from curatorium.plans import bindings
+
+    orders = [(o, o % 3, DAY + dt.timedelta(days=o)) for o in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(o, (7 * o + n) % 90, n, float(n)) for o in range(60) for n in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(QUERIES["milestones"](spark, str(tmp_path)).collect())
+    monkeypatch.setattr(bindings, "ROWS_PER_TASK", 10)
+    dealt = QUERIES["milestones"](spark, str(tmp_path))
+    # 300 rows in tasks of ten: both sides of the join, and the facts
+    assert dealt._jdf.queryExecution().executedPlan().toString().count(", 30), REPARTITION_BY_NUM") == 3
+    assert sorted(dealt.collect()) == want and {r["n"] for r in want} == {10, 25, 50}
