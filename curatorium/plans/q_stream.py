@@ -37,30 +37,36 @@ def stream_active(spark, sf_dir):
         F.date_format("until", "yyyy-MM-dd").alias("until"), "users")
 
 
-def _with_state(spark, stream, folder):
+def _with_state(spark, stream, folder, run=queries.run_with_log):
     """Result and log, with the state store that keyed state machines need."""
     before = spark.conf.get(_STATE_STORE, None)
     spark.conf.set(_STATE_STORE, _ROCKSDB)
     try:
-        return queries.run_with_log(stream, folder)
+        return run(stream, folder)
     finally:
         spark.conf.unset(_STATE_STORE) if before is None else spark.conf.set(_STATE_STORE, before)
 
 
+def _to_end(stream, folder):
+    return queries.run_to_end(stream, folder, ledger.DELAY)
+
+
 def stream_confirm(spark, sf_dir):
-    """The statuses of confirm_within for all events that the watermark has passed."""
+    """The statuses of confirm_within for all events; a closing moment releases the last ones."""
+    folder = shared_folder(spark, "stream-confirm")
     rows = _events(spark, sf_dir).where("event_type in ('view', 'click', 'purchase')").select(
         "user_id", "event_id", "ts", (F.col("event_type") == "view").alias("is_check"),
         F.when(F.col("item_id") % 5 != 0, 1990 + F.col("item_id") % 2).alias("year"))
-    out, _ = _with_state(spark, ledger.confirmations(rows, minutes=720), shared_folder(spark, "stream-confirm"))
+    out, _ = _with_state(spark, ledger.confirmations(rows, minutes=720, closing=queries.closings(spark, folder)), folder, _to_end)
     return out.select("event_id", F.col("detail").alias("check_id"), "status")
 
 
 def stream_admission(spark, sf_dir):
-    """The statuses of admission_ledger for all events that the watermark has passed."""
+    """The statuses of admission_ledger for all events; a closing moment releases the last ones."""
+    folder = shared_folder(spark, "stream-admission")
     limits = Data(spark, sf_dir).users.withColumn("daily_limit", F.when(F.col("daily_limit") > 2, 2).otherwise(1))
     rows = _events(spark, sf_dir).withColumn("item_id", F.col("item_id") % 25)
-    out, _ = _with_state(spark, ledger.admission(rows, limits), shared_folder(spark, "stream-admission"))
+    out, _ = _with_state(spark, ledger.admission(rows, limits, closing=queries.closings(spark, folder)), folder, _to_end)
     return out.select("event_id", "status")
 
 
@@ -106,11 +112,11 @@ CHECKS = {
     "stream_caps": _passed("cap_ledger", ledger.DELAY),
     "stream_daily": """select cast(ts::date as varchar) as day, count(*) as n from events
       where ts::date + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1""",
-    "stream_confirm": _passed("confirm_within", ledger.DELAY),
+    "stream_confirm": q_ledger.CHECKS["confirm_within"],
     "stream_upsert": q_text.CHECKS["upsert_latest"],
     "stream_active": """with d as (select distinct ts::date as day from events),
       u as (select distinct day + n::int as until from d, range(1, 8) r(n))
       select cast(until::date as varchar) as until, count(distinct user_id) as users from u join events on ts::date >= until - 7 and ts::date < until
       where until <= (select max(ts) - interval 1 hour from events) group by 1""",
-    "stream_admission": _passed("admission_ledger", ledger.DELAY),
+    "stream_admission": q_ledger.CHECKS["admission_ledger"],
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -9,9 +10,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from curatorium.functions.dates import HOME_ZONE, local_day
 from curatorium.operators.ledger import CAP_PER_LIMIT, CONFIRM_MINUTES, DAY_CAP, DEFAULT_DAILY_LIMIT, MONTH_CAP
 from curatorium.operators.ordered import first_k
-from curatorium.streaming.replay import OrderedReplay, replayed
+from curatorium.streaming.replay import PACKED, OrderedReplay, packed, replayed, unpacked
 
 DELAY = "2 hours"
+ENTRIES = 16  # a person's owned items are put together after so many
 _EPOCH = "1970-01-01"
 
 
@@ -19,6 +21,11 @@ def _longs(*names: str) -> StructType:
     return StructType([StructField(n, LongType()) for n in names])
 
 
+def _items(items) -> tuple[bytes]:
+    values = np.array(sorted(items), np.int64)
+    return (packed([values], [np.zeros(len(values), np.bool_)]),)
+
+
 def _day(zone: str):
     return F.date_diff(local_day(F.col("ts"), zone), F.lit(_EPOCH).cast("date"))
 
@@ -35,33 +42,37 @@ class Admission(OrderedReplay):
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.today = handle.getValueState("today", _longs("day", "used"))
-        self.owned = handle.getMapState("owned", _longs("item"), _longs("event"))
+        self.owned = handle.getListState("owned", PACKED)
 
     def drain(self, key: int, rows: list[tuple]) -> list[tuple]:
         today, used = (int(v) for v in self.today.get()) if self.today.exists() else (None, 0)
-        owned: dict[int, bool] = {}
-        out = []
+        entries = [bytes(e[0]) for e in self.owned.get()]
+        owned = {item for e in entries for item, in unpacked(e, 1)}
+        out, gained = [], []
         for _, event, item, day, limit in rows:
-            if item not in owned:
-                owned[item] = self.owned.containsKey((item,))
             used = used if day == today else 0
             today = day
-            if owned[item]:
+            if item in owned:
                 out.append((key, event, "duplicate", None))
             elif used >= limit:
                 out.append((key, event, "limit", None))
             else:
-                owned[item], used = True, used + 1
-                self.owned.updateValue((item,), (event,))
+                owned.add(item)
+                gained.append(item)
+                used += 1
                 out.append((key, event, "new", None))
+        if gained and len(entries) >= ENTRIES:
+            self.owned.put([_items(owned)])
+        elif gained:
+            self.owned.appendValue(_items(gained))
         if rows:
             self.today.update((today, used))
         return out
 
 
-def admission(attempts: DataFrame, limits: DataFrame, zone: str = HOME_ZONE, delay: str = DELAY) -> DataFrame:
+def admission(attempts: DataFrame, limits: DataFrame, zone: str = HOME_ZONE, delay: str = DELAY, closing: DataFrame | None = None) -> DataFrame:
     """Streaming attempts (user_id, item_id, event_id, ts) joined with static limits."""
-    return replayed(_limited(attempts.where("item_id is not null"), limits, zone), Admission(), delay)
+    return replayed(_limited(attempts.where("item_id is not null"), limits, zone), Admission(), delay, closing=closing)
 
 
 class Confirmation(OrderedReplay):
@@ -94,9 +105,9 @@ class Confirmation(OrderedReplay):
         return out
 
 
-def confirmations(events: DataFrame, minutes: int = CONFIRM_MINUTES, delay: str = DELAY) -> DataFrame:
+def confirmations(events: DataFrame, minutes: int = CONFIRM_MINUTES, delay: str = DELAY, closing: DataFrame | None = None) -> DataFrame:
     """Streaming checks and confirmations (user_id, event_id, ts, is_check, year); one row per confirmation, `detail` its check."""
-    return replayed(events, Confirmation(minutes), delay)
+    return replayed(events, Confirmation(minutes), delay, closing=closing)
 
 
 class DayCap(OrderedReplay):

@@ -10,6 +10,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOG_SCHEMA = "batch long, rows long, late long, watermark string"
+CLOSING_SCHEMA = "ts timestamp"
 WATERMARK = "1 hour"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -51,6 +52,22 @@ def run_with_log(stream: DataFrame, folder: str, mode: str = "append") -> tuple[
     return spark.read.schema(stream.schema).parquet(f"{folder}/data"), spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/log")
 
 
+def closings(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of closing moments of the folder's run; `run_to_end` adds one."""
+    spark.createDataFrame([], CLOSING_SCHEMA).write.mode("append").parquet(f"{folder}/closing")
+    return spark.readStream.schema(CLOSING_SCHEMA).parquet(f"{folder}/closing")
+
+
+def run_to_end(stream: DataFrame, folder: str, delay: str) -> tuple[DataFrame, DataFrame]:
+    """`run_with_log` for a log that has ended: once everything is read, a closing moment behind the last event moves the watermark
+    past it, and the same run goes on. The stream reads `closings` of the folder; `delay` is its watermark's."""
+    _, log = run_with_log(stream, folder)
+    # the watermark is the last event less the delay
+    ends = log.agg((F.max(F.to_timestamp("watermark")) + F.expr(f"2 * INTERVAL {delay} + INTERVAL 1 SECOND")).alias("ts"))
+    ends.where("ts is not null").coalesce(1).write.mode("append").parquet(f"{folder}/closing")
+    return run_with_log(stream, folder)
+
+
 def run_counts(counts: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Run a streaming count (keys and `n`) and return the latest value of every key. Each micro-batch leaves the counts it
     changed under its id, so one that runs again replaces its own."""
