@@ -27,8 +27,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (5-word shingles, Jaccard 0.8 or more), that of the smallest doc_id."""
-    return minhash.one_of_each(docs)
+    """One document of each class of near-duplicates (5-word shingles, Jaccard 0.8 or more), that of the smallest doc_id. SimHash
+    links of up to 4 bits and MinHash bands bring texts together; the likeness of what they bring is verified."""
+    return minhash.one_of_each(docs, max_bits=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from curatorium.llm import sigtree, words
+from curatorium.llm import sigtree, simhash, words
 from curatorium.llm.components import components
 from curatorium.llm.sigtree import small_families
 from curatorium.llm.store import attach, keep, parts_for
@@ -208,16 +208,25 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, fold: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, fold: bool = False, max_bits: int | None = None) -> DataFrame:
     """(doc_id, class_id) for every row: class_id is the smallest doc_id reachable over links of Jaccard likeness `similarity` or
     more between the texts' shingle sets; null where the whole class has none. `fold` takes ASCII letters in lower case.
 
     Texts of equal shingle sets are one node. Signature bands join nodes that may be alike; likeness is verified on the sets
-    themselves, which are made again for those nodes only."""
+    themselves, which are made again for those nodes only. With `max_bits`, so do SimHash classes of that many bits."""
     text = F.coalesce("text", F.lit(""))
-    rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(fold)(text).alias("x")).select(
-        "doc_id", "row_hash", "x.*"), "hashed-texts")
-    return attach(rows.select("doc_id", "content"), _named(docs, rows, similarity, fold), "content").select("doc_id", "class_id")
+    prints = [] if max_bits is None else [simhash.fingerprint(text).alias("fp")]
+    rows = keep(docs.select("doc_id", F.xxhash64(text).alias("row_hash"), _hashed(fold)(text).alias("x"), *prints).select(
+        "doc_id", "row_hash", "x.*", *(["fp"] if prints else [])), "hashed-texts")
+    alike = _alike_bits(rows, max_bits) if prints else None
+    return attach(rows.select("doc_id", "content"), _named(docs, rows, similarity, fold, alike), "content").select("doc_id", "class_id")
+
+
+def _alike_bits(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(content, class) by SimHash: pigeonhole blocks, their join and the Hamming distance, of the different fingerprints."""
+    prints = keep(rows.select("content", "fp").distinct(), "content-prints")
+    groups = components(simhash.links(prints, max_bits)).select(F.col("node").alias("fp"), "component")
+    return prints.join(groups, "fp", "left").select("content", F.coalesce("component", "fp").alias("class"))
 
 
 def with_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -228,18 +237,21 @@ def with_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return attach(made, named, "content").drop("content", "row_hash")
 
 
-def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool) -> DataFrame:
+def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool, alike: DataFrame | None = None) -> DataFrame:
     """(content, class_id, _n) for the contents of rows (doc_id, row_hash, content, signature) made of `docs`, _n being their rows.
 
     Bands link nodes by 64-bit names, whose collisions only bring more sets together. Sets that bands connect, over any chain,
     are a family; a family of up to CELL sets is solved in one task, and each of its texts moves there once. In larger
-    families only the pairs that share a band are verified, and bands of more than CROWD sets as families of their own."""
+    families only the pairs that share a band are verified, and bands of more than CROWD sets as families of their own.
+    A class of `alike` (content, class) is one more band."""
     percent = round(100 * similarity)
     nodes = keep(rows.groupBy("content").agg(
         F.min("signature").alias("signature"), F.min(F.struct("doc_id", "row_hash")).alias("row"), F.count(F.lit(1)).alias("_n"),
         F.min("doc_id").alias("_first")).withColumn("node", F.xxhash64("content")), "contents")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + ROWS * i, ROWS)) for i in range(BANDS)])
     banded = nodes.select("node", F.explode(keys).alias("key"))
+    if alike is not None:
+        banded = banded.union(alike.select(F.xxhash64("content"), F.xxhash64(F.lit("simhash"), "class")).distinct())
     groups = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least")).where("many > 1")
     shared = keep(banded.join(groups, "key"), "bands")
 
@@ -304,9 +316,9 @@ def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool) -> D
     return keep(firsts.join(smallest, "component").select("content", "class_id", "_n"), "classes")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, max_bits: int | None = None) -> DataFrame:
     """Documents without those of verified likeness, over any chain of links, to a document of smaller id; ASCII letters in lower
     case. Of rows that share the smallest id all stay; null ids stay only where their whole class has none."""
-    found = near_duplicates(docs, similarity, fold=True)
+    found = near_duplicates(docs, similarity, True, max_bits)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
