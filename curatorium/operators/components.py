@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from curatorium.session import cut_lineage
 
+LINKS_PER_TASK, LEAST_TASKS = 50_000, 8
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,12 +34,18 @@ def _settled(stars: DataFrame) -> bool:
     return seen.where((F.col("leaves") > 1) | ((F.col("leaves") > 0) & (F.col("enters") > 0))).isEmpty()
 
 
+def _fewer(df: DataFrame, rows: int) -> DataFrame:
+    """No more tasks, each with files of its own in every shuffle of a round, than so many links need."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // LINKS_PER_TASK)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) of any ordered type -> (node, component), component being the smallest node reached. Nodes without a link
     have no row; loops, nulls and repeated links change nothing."""
     stars = cut_lineage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = stars.count()
     while not _settled(stars):
-        stars = cut_lineage(_small_star(_large_star(stars)))
+        stars = cut_lineage(_fewer(_small_star(_fewer(_large_star(_fewer(stars, rows)), rows)), rows))
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -46,3 +46,21 @@ def test_tasks_follow_the_rows_of_a_join(spark, tmp_path, monkeypatch):
     # 300 rows in tasks of ten: both sides of the join, and the facts
     assert dealt._jdf.queryExecution().executedPlan().toString().count(", 30), REPARTITION_BY_NUM") == 3
     assert sorted(dealt.collect()) == want and {r["n"] for r in want} == {10, 25, 50}
+
+
+def test_few_links_take_few_tasks_a_round(spark, monkeypatch):
+    from curatorium.operators import components
+
+    seen, cut = [], components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df: seen.append(kept := cut(df)) or kept)
+    confs = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = components.components(spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(7)]
+    assert len(seen) > 1 and all(df.rdd.getNumPartitions() <= components.LEAST_TASKS for df in seen[1:])
