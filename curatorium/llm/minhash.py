@@ -14,7 +14,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from curatorium.llm import sigtree, simhash, words
+from curatorium.llm.bpe import slices
 from curatorium.llm.components import components
 from curatorium.llm.sigtree import small_families
 from curatorium.llm.store import attach, keep, parts_for
@@ -104,8 +104,6 @@ def _compare(ids: list, texts: list[str], nexts: list[str], prints: np.ndarray,
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of a sorted partition's rows but the last; its first and last row as they are, for the joints."""
-    from curatorium.llm.bpe import slices
-
     part = TaskContext.get().partitionId()
     empty = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(),
              "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(), "content": pa.binary(), "row_hash": pa.int64()}
@@ -185,22 +183,20 @@ def _shingle_sets(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
             yield hashlib.md5(own.tobytes()).digest(), own
 
 
-def _column(texts: pd.Series, fold: bool) -> pa.Array:
-    column = pa.array(texts, pa.large_string())
-    return pc.ascii_lower(column) if fold else column
-
-
 def _hashed(fold: bool):
-    @F.pandas_udf(_HASHED)
-    def hashed(texts: pd.Series) -> pd.DataFrame:
-        column = _column(texts, fold)
-        content = [c for c, _ in _shingle_sets(column)]
-        return pd.DataFrame({"content": content, "signature": [p.tobytes() for p in signatures(column)]})
+    @F.arrow_udf(_HASHED)
+    def hashed(texts: pa.Array) -> pa.Array:
+        content, prints = [], [np.zeros((0, HASHES), np.uint8)]
+        for part in words.parts(texts):
+            column = pc.ascii_lower(part) if fold else part
+            content += [c for c, _ in _shingle_sets(column)]
+            prints.append(signatures(column))
+        return pa.StructArray.from_arrays([pa.array(content, pa.binary()), _binary(np.concatenate(prints))], names=_HASHED.names)
 
     return hashed
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+def jaccard(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) and not len(y):
         return 1.0
@@ -278,7 +274,7 @@ def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool, alik
     large = keep(shared.join(everyone.where(F.col("size") > sigtree.CELL).select("node"), "node", "left_semi"), "large-bands")
     if not large.isEmpty():
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "text")):
                 made = read(pa.Table.from_batches([batch]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), batch.column("content"), pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())],
@@ -299,9 +295,9 @@ def _named(docs: DataFrame, rows: DataFrame, similarity: float, fold: bool, alik
         near = plain.toDF("x", "key", "x_size").join(plain.toDF("y", "key", "y_size"), "key").where(
             (F.col("x") < F.col("y")) & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))).select("x", "y").distinct()
 
-        @F.pandas_udf(DoubleType())
-        def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype=float)
+        @F.arrow_udf(DoubleType())
+        def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+            return pa.array([jaccard(a.as_buffer(), b.as_buffer()) for a, b in zip(x, y)], pa.float64())
 
         one, other = (bodies.select(F.col("node").alias(n), F.col("content").alias(c), F.col("shingles").alias(c + "_set")) for n, c in (("x", "a"), ("y", "b")))
         inner, met = sigtree.large_families(crowds, weights, percent)

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
@@ -30,7 +29,6 @@ from curatorium.llm.store import keep, packed, unpacked
 BITS, GRADES, STEM = 22, 3, 6
 SAMPLE, MAX_FEATURES, MIN_TEXTS = 12_000, 8192, 8
 LEAST_CHI2 = 20.0  # with two degrees of freedom, one bucket in 20,000 gets there by chance
-_CHUNK = 1 << 20
 
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[65:91] += 32
@@ -89,25 +87,27 @@ def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys >> BITS, keys & ((1 << BITS) - 1), values
 
 
-def _texts(values: pd.Series) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, starts = words.raw(pa.array(values, pa.large_string()))
-    for a, b in words.blocks(starts, _CHUNK):
+def _texts(values: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, starts = words.raw(values)
+    for a, b in words.blocks(starts):
         yield a, b, data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
 
 
 _SPARSE = StructType([StructField("bucket", ArrayType(IntegerType())), StructField("value", ArrayType(FloatType()))])
 
 
-@F.pandas_udf(_SPARSE)
-def _sparse(values: pd.Series) -> pd.DataFrame:
-    buckets, shares = [], []
+@F.arrow_udf(_SPARSE)
+def _sparse(values: pa.Array) -> pa.Array:
+    counts, buckets, shares = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for a, b, data, starts in _texts(values):
         text, bucket, value = features(data, starts)
         order = np.argsort(text, kind="stable")
-        cuts = np.searchsorted(text[order], np.arange(1, b - a))
-        buckets += np.split(bucket[order].astype(np.int32), cuts)
-        shares += np.split(value[order].astype(np.float32), cuts)
-    return pd.DataFrame({"bucket": buckets, "value": shares})
+        counts.append(np.bincount(text, minlength=b - a))
+        buckets.append(bucket[order].astype(np.int32))
+        shares.append(value[order].astype(np.float32))
+    ends = pa.array(np.cumsum(np.concatenate(counts)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts))) for parts in (buckets, shares)]
+    return pa.StructArray.from_arrays(lists, names=_SPARSE.names)
 
 
 @dataclass
@@ -222,12 +222,13 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, max_features:
 def _narrowed(buckets: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, values = [], []
-            for x in batch.column("x").to_pylist():
-                bucket, value = np.array(x["bucket"], np.int64), np.array(x["value"], np.float32)
-                used = np.isin(bucket, buckets)
-                places.append(np.searchsorted(buckets, bucket[used]).astype(np.int32).tobytes())
-                values.append(value[used].tobytes())
+            lists = batch.column("x").flatten()
+            owner = np.repeat(np.arange(len(batch)), lists[0].value_lengths().to_numpy())
+            bucket, value = (x.flatten().to_numpy() for x in lists)
+            used = np.isin(bucket, buckets)
+            cuts = np.searchsorted(owner[used], np.arange(1, len(batch)))
+            places = [x.tobytes() for x in np.split(np.searchsorted(buckets, bucket[used]).astype(np.int32), cuts)[: len(batch)]]
+            values = [x.tobytes() for x in np.split(value[used], cuts)[: len(batch)]]
             yield pa.RecordBatch.from_pydict({"grade": batch.column("grade"), "at": pa.array(places, pa.binary()),
                                               "value": pa.array(values, pa.binary())})
     return run
@@ -241,15 +242,16 @@ def judged(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFram
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_clean": F.lit(None).cast("double"),
                                  "accepted": F.lit(True)})
 
-    @F.pandas_udf(StructType([StructField("expected_grade", DoubleType()), StructField("p_clean", DoubleType())]))
-    def run(values: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(StructType([StructField("expected_grade", DoubleType()), StructField("p_clean", DoubleType())]))
+    def run(values: pa.Array) -> pa.Array:
         out = np.zeros((len(values), 2))
         for a, b, data, starts in _texts(values):
             tails = model.tails(model.score(data, starts))
             _, first = words.word_hashes(data, starts)
             tails[np.diff(first) == 0] = 0
             out[a:b] = np.stack([tails.sum(1), tails[:, -1]], 1)
-        return pd.DataFrame(out, columns=["expected_grade", "p_clean"])
+        # a grade that is no number is null
+        return pa.StructArray.from_arrays([pa.array(x, from_pandas=True) for x in out.T], names=["expected_grade", "p_clean"])
 
     found = packed(docs).withColumn("_judged", run(F.col("_row.text")))
     return found.select(*unpacked(docs), "_judged.expected_grade", "_judged.p_clean", (F.col("_judged.p_clean") >= least).alias("accepted"))

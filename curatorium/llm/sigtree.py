@@ -277,16 +277,14 @@ def small_families(members: DataFrame, percent: int, read: Callable[[pa.Table],
 def _bitmap() -> Column:
     """Bits of the set's elements as an array of longs."""
 
-    @F.pandas_udf("array<long>")
-    def bits(values):
-        import pandas as pd
-
-        def one(b: bytes) -> np.ndarray:
+    @F.arrow_udf("array<long>")
+    def bits(values: pa.Array) -> pa.Array:
+        def one(b: pa.Buffer) -> np.ndarray:
             out = np.zeros(64 * LONGS, bool)
             out[(np.frombuffer(b, np.uint64) % np.uint64(64 * LONGS)).astype(np.int64)] = True
             return np.packbits(out).view(np.int64)
 
-        return pd.Series([one(b) for b in values])
+        return pa.array([one(b.as_buffer()) for b in values], pa.list_(pa.int64()))
 
     return bits("shingles")
 

@@ -17,10 +17,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
+from curatorium.llm import words
 from curatorium.llm.components import components
 from curatorium.llm.store import keep
 
@@ -31,15 +33,15 @@ STEP = 1 << 16
 
 
 def simhash(text: bytes, size: int = 4) -> int:
-    words = text.lower().split()
-    if not words:
+    found = text.lower().split()
+    if not found:
         return 0
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    joined = b" ".join(found)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    size = min(size, len(words))
-    total = len(words) - size + 1
+    size = min(size, len(found))
+    total = len(found) - size + 1
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, total, STEP):
@@ -51,10 +53,11 @@ def simhash(text: bytes, size: int = 4) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    values = np.fromiter((simhash(t.encode()) if t else 0 for t in texts), np.uint64, len(texts))
-    return pd.Series(values.view(np.int64))
+@F.arrow_udf(LongType())
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    encoded = (t for part in words.parts(texts) for t in part.cast(pa.large_binary()).to_pylist())
+    values = np.fromiter((simhash(t) if t else 0 for t in encoded), np.uint64, len(texts))
+    return pa.array(values.view(np.int64))
 
 
 def fingerprint(text: Column) -> Column:

@@ -118,6 +118,12 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     return mix(total), out
 
 
+def parts(column: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
+    """A column of texts in slices of about `size` bytes, one text at least, so that copies of a batch are never made whole."""
+    for a, b in blocks(raw(column)[1], size):
+        yield column.slice(a, b - a)
+
+
 def blocks(starts: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `size` bytes together, one text at least."""
     at, n = 0, len(starts) - 1

@@ -60,23 +60,27 @@ def segments(df: DataFrame, keys: list[str], order: list[str], parts: int | None
     )
 
 
-def _edges(laid: DataFrame, keys: list[str]) -> dict[int, list[tuple]]:
+def _edge_rows(laid: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the first and last row of every segment; one or two small rows per segment."""
     sizes = laid.groupBy(SEGMENT).agg(F.max(ROW).alias("_last"))
     edge = (F.col(ROW) == 0) | (F.col(ROW) == F.col("_last"))
+    return laid.join(F.broadcast(sizes), SEGMENT).where(edge).select(SEGMENT, ROW, *keys)
+
+
+def _edges(rows: DataFrame, keys: list[str]) -> dict[int, list[tuple]]:
     out: dict[int, list[tuple]] = {}
-    for r in laid.join(F.broadcast(sizes), SEGMENT).where(edge).select(SEGMENT, ROW, *keys).orderBy(SEGMENT, ROW).collect():
+    for r in rows.orderBy(SEGMENT, ROW).collect():
         out.setdefault(r[SEGMENT], []).append(tuple(r[k] for k in keys))
     return out
 
 
-def _crossing(edges: dict[int, list[tuple]]) -> set[tuple]:
-    """(segment, key) pairs of keys that continue over a segment border: at most two per segment."""
+def _crossing(edges: dict[int, list[tuple]]) -> set[int]:
+    """Edge rows of keys that continue over a segment border, by twice the segment, one more if not its first row."""
     out = set()
     order = sorted(edges)
     for left, right in zip(order, order[1:]):
         if edges[left][-1] == edges[right][0]:
-            out |= {(left, *edges[left][-1]), (right, *edges[right][0])}
+            out |= {2 * left + len(edges[left]) - 1, 2 * right}
     return out
 
 
@@ -100,11 +104,13 @@ def running(
             totals.append(combine(value).alias(name))
         carried.append((F.max if kind == "max" else F.sum)(name).over(earlier).alias("_c_" + name))
     out = laid.withColumns(local)
-    pairs = _crossing(_edges(laid, keys))
-    if pairs:
+    edges = cut_lineage(_edge_rows(laid, keys))
+    wanted = _crossing(_edges(edges, keys))
+    if wanted:
         # both small sides have at most two rows per segment, so the partition count bounds the broadcast
         small = ["_k_" + c for c in (SEGMENT, *keys)]
-        crossing = laid.sparkSession.createDataFrame(list(pairs), laid.select(SEGMENT, *keys).schema).toDF(*small)
+        # chosen from the edge rows, as rows made on the driver would start Python workers in the executors
+        crossing = edges.where((2 * F.col(SEGMENT) + (F.col(ROW) > 0).cast("int")).isin(wanted)).select(SEGMENT, *keys).toDF(*small)
         # null-safe, since a missing key is a group of its own
         same = [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in (SEGMENT, *keys)]
         summary = laid.join(F.broadcast(crossing), same, "left_semi").groupBy(SEGMENT, *keys).agg(*totals)
@@ -177,7 +183,7 @@ def fold(
             yield pd.DataFrame([(last[0], json.dumps(last[3]))], columns=["segment", "state"])
 
     # which key runs over a border, and into which segment
-    edges = _edges(laid, keys)
+    edges = _edges(_edge_rows(laid, keys), keys)
     order_of = sorted(edges)
     into = {b: a for a, b in zip(order_of, order_of[1:]) if edges[a][-1] == edges[b][0]}
     whole = {s for s in order_of if edges[s][0] == edges[s][-1]}
